@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 SLICE_BYTES = 1 << 20
@@ -65,7 +66,7 @@ class Words:
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about `limit` bytes of text; a longer text stands alone."""
-    sizes = np.asarray(pa.compute.binary_length(column).fill_null(0), dtype=np.int64)
+    sizes = np.asarray(pc.binary_length(column).fill_null(0), dtype=np.int64)
     ends = np.cumsum(sizes)
     at = 0
     while at < len(sizes):
