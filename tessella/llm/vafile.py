@@ -1,14 +1,13 @@
 """Exact top-k inner-product search by a vector-approximation file.
 
-Every vector is stored as a row of small cell numbers, one for each dimension. A scan of the cells alone bounds each
-query's score with each candidate from both sides; the kth best lower bound is a score that k candidates surely reach,
-so only candidates whose upper bound is not below it are read exactly. The exact scores of those decide.
+A block of vectors is approximated by small cell numbers, one for each dimension, over quantile cells of the block. A
+scan of the cells bounds each query's score with each candidate from both sides; the kth best lower bound is a score that
+k candidates surely reach, so only candidates whose upper bound is not below it are read exactly. Their exact scores
+decide the block's best k; the best k of all blocks are the answer.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.frames import cut
 
-CELLS = 16
+CELLS = 64
 BLOCK = 2048
 
 
@@ -27,26 +26,34 @@ def quantise(vectors: DataFrame, id_col: str, vector_col: str, scale: int = 256)
     return vectors.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).where(~bad & (F.size(vector_col) > 0)).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
 
 
-def bounds(candidates: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Of one block of candidates and one of queries, the pairs that can be among a query's best k."""
-    exact = np.stack(candidates["v"].to_numpy()).astype(np.float64)
+def nearest(candidates: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The best k of one block of candidates for each query of one block: cells bound the scores, survivors are read exactly."""
+    exact = np.stack(candidates["v"].to_numpy()).astype(np.int64)
     edges = np.quantile(exact, np.linspace(0, 1, CELLS + 1), axis=0)
-    cells = np.empty(exact.shape, np.uint8)
-    low, high = np.empty_like(exact), np.empty_like(exact)
+    low, high = np.empty(exact.shape), np.empty(exact.shape)
     for d in range(exact.shape[1]):
-        cells[:, d] = np.clip(np.searchsorted(edges[1:-1, d], exact[:, d], side="right"), 0, CELLS - 1)
-        low[:, d] = np.floor(edges[cells[:, d], d])
-        high[:, d] = np.ceil(edges[cells[:, d] + 1, d])
-    q = np.stack(queries["v"].to_numpy()).astype(np.float64)
-    up, down = np.maximum(q, 0), np.minimum(q, 0)
+        cell = np.searchsorted(edges[1:-1, d], exact[:, d], side="right").astype(np.uint8)
+        low[:, d] = np.floor(edges[cell, d])
+        high[:, d] = np.ceil(edges[cell + 1, d])
+    q = np.stack(queries["v"].to_numpy()).astype(np.int64)
+    ids, asked = candidates["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
+    up, down = np.maximum(q, 0).astype(np.float64), np.minimum(q, 0).astype(np.float64)
     most = up @ high.T + down @ low.T
     least = up @ low.T + down @ high.T
-    own = queries["vec_id"].to_numpy()[:, None] == candidates["vec_id"].to_numpy()[None, :]
+    own = asked[:, None] == ids[None, :]
     most[own] = least[own] = -np.inf
     n = most.shape[1]
     sure = np.partition(least, n - k, axis=1)[:, n - k] if n > k else np.full(len(q), -np.inf)
     at, to = np.nonzero((most >= sure[:, None]) & ~own)
-    return pd.DataFrame({"query_id": queries["vec_id"].to_numpy()[at], "vec_id": candidates["vec_id"].to_numpy()[to], "most": most[at, to], "least": least[at, to]})
+    scores = np.empty(len(at), np.int64)
+    for lo in range(0, len(at), 1 << 14):
+        part = slice(lo, lo + (1 << 14))
+        scores[part] = np.einsum("ij,ij->i", q[at[part]], exact[to[part]])
+    order = np.lexsort((ids[to], -scores, at))
+    at, to, scores = at[order], to[order], scores[order]
+    place = np.arange(len(at)) - np.searchsorted(at, at, side="left")
+    kept = place < k
+    return pd.DataFrame({"query_id": asked[at[kept]], "vec_id": ids[to[kept]], "score": scores[kept]})
 
 
 def search(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -67,17 +74,12 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_i
 
     def meet(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if len(candidates) == 0 or len(queries) == 0:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "most": [], "least": []}).astype({"query_id": "int64", "vec_id": "int64", "most": "float64", "least": "float64"})
-        return bounds(candidates, queries, k)
-
-    near = each.groupBy("dim", "c", "g").cogroup(asked.groupBy("dim", "c", "g")).applyInPandas(meet, "query_id long, vec_id long, most double, least double")
-    near = cut(near)
-    sure = near.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("least"), "vec_id"))).where(F.col("n") == k).select("query_id", F.col("least").alias("sure"))
-    read = near.join(sure, "query_id", "left").where(F.col("sure").isNull() | (F.col("most") >= F.col("sure"))).select("query_id", "vec_id")
-    pairs = read.join(exact, "vec_id").join(exact.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
-    scored = pairs.select("query_id", "vec_id", F.aggregate(F.zip_with("v", "q", lambda x, y: x * y), F.lit(0).cast("long"), lambda s, x: s + x).alias("score"))
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+        return nearest(candidates, queries, k)
+
+    near = each.groupBy("dim", "c", "g").cogroup(asked.groupBy("dim", "c", "g")).applyInPandas(meet, "query_id long, vec_id long, score long")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return near.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def brute(ids: list[int], vectors: list, k: int = 5, every: int = 50, scale: int = 256) -> list[tuple]:
