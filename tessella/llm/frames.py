@@ -50,3 +50,8 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         raise RuntimeError(f"components: no fixpoint after {limit} steps")
     roots = links.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return links.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
+
+
+def bounded(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """Mark a frame of a few longs a row for broadcast if it was counted to at most `rows` rows; else leave the join to shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, langid, quality, secrets, vafile
+from tessella.llm import bpe, langid, ngramjoin, quality, secrets, vafile
 from tessella.sources.tables import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -22,6 +22,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.group(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -36,8 +40,8 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op5_quality, op7_language_id, op9_secret_scan, op10_exact_topk)}
+    return {f.__name__: f for f in (op1_byte_bpe, op5_quality, op6_ngram_jaccard, op7_language_id, op9_secret_scan, op10_exact_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_topk": vafile.ORACLE}
+    return {"op6_ngram_jaccard": ngramjoin.ORACLE, "op10_exact_topk": vafile.ORACLE}
