@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, langid, ngramjoin, quality, secrets, vafile
+from tessella.llm import bpe, langid, ngramjoin, quality, secrets, unitdedup, vafile
 from tessella.sources.tables import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -30,6 +30,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unitdedup.removals(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     findings, _ = secrets.scan(table(spark, sf_dir, "documents"))
     return secrets.digest(findings)
@@ -40,7 +44,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op5_quality, op6_ngram_jaccard, op7_language_id, op9_secret_scan, op10_exact_topk)}
+    return {f.__name__: f for f in (op1_byte_bpe, op5_quality, op6_ngram_jaccard, op7_language_id, op8_unit_dedup, op9_secret_scan, op10_exact_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
