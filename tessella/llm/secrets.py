@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from tessella.llm.frames import cut, empty
 
-LEDGER = "blob string, rule_version string, spans array<struct<start:int,end:int,kind:string>>"
+#: rule_versions: the rules that a row has applied to its blob, as kind@version, comma-joined; a blob may have several rows.
+LEDGER = "blob string, rule_versions string, spans array<struct<start:int,end:int,kind:string>>"
 
 
 @dataclass(frozen=True)
@@ -70,19 +71,20 @@ def scanner(rules: tuple[Rule, ...]) -> Callable[[str], list[tuple[int, int, str
 
 
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """Findings of (blob, text) rows in the ledger's form: one row for each blob and rule version."""
+    """Ledger rows of (blob, text, missing) rows, missing being the comma-joined rule versions to apply."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = scanner(rules)
+        scans: dict[str, Callable] = {}
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
         for batch in batches:
-            rows = []
-            for blob, text in zip(batch.column(0), batch.column(1), strict=True):
-                spans = scan(text.as_py() or "")
-                rows += [{"blob": blob.as_py(), "rule_version": r.key, "spans": [{"start": a, "end": b, "kind": k} for a, b, k in spans if k == r.kind]} for r in rules]
-            kind = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())])
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("blob", pa.string()), ("rule_version", pa.string()), ("spans", pa.list_(kind))]))
+            found = []
+            for text, missing in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+                if missing not in scans:
+                    scans[missing] = scanner(tuple(r for r in rules if r.key in missing.split(",")))
+                found.append([{"start": a, "end": b, "kind": k} for a, b, k in scans[missing](text.as_py() or "")])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, kind)], ["blob", "rule_versions", "spans"])
 
-    return blobs.select("blob", "text").mapInArrow(run, LEDGER)
+    return blobs.select("blob", "text", "missing").mapInArrow(run, LEDGER)
 
 
 def scan(paths: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, path_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -95,16 +97,20 @@ def scan(paths: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, .
     """
     spark = paths.sparkSession
     ledger = empty(spark, LEDGER) if ledger is None else ledger
-    wanted = [r.key for r in rules]
+    wanted = F.array(*[F.lit(r.key) for r in rules])
     order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
+    kinds = [r.kind for r in rules]
     held = paths.select(F.col(path_col).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
-    known = ledger.where(F.col("rule_version").isin(wanted)).dropDuplicates(["blob", "rule_version"])
-    full = known.groupBy("blob").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(wanted)).select("blob")
+    known = ledger.where(F.arrays_overlap(F.split("rule_versions", ","), wanted)).dropDuplicates(["blob", "rule_versions"])
+    seen = known.groupBy("blob").agg(F.flatten(F.collect_set(F.split("rule_versions", ","))).alias("seen"))
     index = cut(held.select("path", "blob"))
-    chosen = index.groupBy("blob").agg(F.min("path").alias("path")).join(full, "blob", "left_anti").select(F.col("blob").alias("chosen"), F.col("path").alias("at"))
-    unseen = held.join(chosen.hint("shuffle_hash"), F.col("path").eqNullSafe(F.col("at")) & (F.col("blob") == F.col("chosen"))).select("blob", "text")
-    news = cut(scan_blobs(unseen, rules).dropDuplicates(["blob", "rule_version"]).join(known.select("blob", "rule_version"), ["blob", "rule_version"], "left_anti"))
-    spans = known.unionByName(news).where(F.size("spans") > 0).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    chosen = index.groupBy("blob").agg(F.min("path").alias("at")).join(seen, "blob", "left")
+    missing = F.array_join(F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>"))), ",")
+    chosen = chosen.select(F.col("blob").alias("chosen"), "at", missing.alias("missing")).where("missing <> ''")
+    unseen = held.join(chosen.hint("shuffle_hash"), F.col("path").eqNullSafe(F.col("at")) & (F.col("blob") == F.col("chosen"))).select("blob", "text", "missing")
+    news = cut(scan_blobs(unseen, rules).dropDuplicates(["blob", "rule_versions"]))
+    spans = known.unionByName(news).where(F.size("spans") > 0).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+    spans = spans.withColumn("spans", F.filter("spans", lambda s: s["kind"].isin(kinds)))
     ordered = F.transform(F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("o"), s["end"].alias("end"), s["kind"].alias("kind")))), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     none = F.from_json(F.lit("[]"), "array<struct<start:int,end:int,kind:string>>")
     findings = index.join(spans, "blob", "left").select(F.col("path").alias(path_col), "blob", F.coalesce(ordered, none).alias("spans"))
