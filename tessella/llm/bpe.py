@@ -14,6 +14,7 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -247,13 +248,12 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 ids.append(sha(packed).hexdigest())
                 decoded.append(sha(own.decode(packed)).hexdigest())
                 if keep_ids:
-                    numbers = array.array("I")
-                    numbers.frombytes(packed)
-                    kept.append(numbers.tolist())
+                    kept.append(packed)
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
             names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
             if keep_ids:
-                columns.append(pa.array(kept, pa.list_(pa.int32())))
+                offsets = np.cumsum([0, *counts], dtype=np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(kept), dtype=np.int32))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 

@@ -3,21 +3,32 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise a frame in the shared checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under the checkpoint folder that driver and executors share."""
+    context = spark.sparkContext
+    ready(spark)
+    return f"{context._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
 
-    The folder is the cluster's spark.checkpoint.dir; a folder of our own is set only where that is unset, as in tests.
-    """
-    spark = df.sparkSession
+
+def ready(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessella-"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise a frame in the shared checkpoint folder and cut its lineage.
+
+    The folder is the cluster's spark.checkpoint.dir; a folder of our own is set only where that is unset, as in tests.
+    """
+    ready(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -23,6 +23,7 @@ BUCKETS = 1 << 15
 SAMPLE = 20_000
 SWITCH = 12.0
 FOREIGN = 1e-3
+LEAST = 0.5
 #: First code points of script ranges, up to the next; 0 is common to all scripts.
 SCRIPTS = {
     0x0000: 1, 0x0370: 2, 0x0400: 3, 0x0530: 4, 0x0590: 5, 0x0600: 6, 0x0900: 7, 0x0E00: 8, 0x1100: 9, 0x1200: 0,
@@ -230,6 +231,12 @@ def predict(docs: DataFrame, model: Model, switch: float = SWITCH, spans: bool =
     return docs.select(id_col, "text").mapInArrow(run, schema)
 
 
+def accept(docs: DataFrame, model: Model, least: float = LEAST, switch: float = SWITCH) -> DataFrame:
+    """The documents, with all their columns, whose language is known: not `und`, and one language holds `least` of the letters."""
+    known = predict(docs.withColumn("__row", F.struct(*docs.columns)), model, switch, id_col="__row")
+    return known.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("__row.*")
+
+
 def identify(docs: DataFrame, limit: int = SAMPLE) -> DataFrame:
     """Learn from the documents whose crc32(id) mod 5 is not 0, then predict all: doc_id, held_out, lang_pred, score."""
     return predict(docs, learn(docs, limit)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -174,6 +174,12 @@ def group(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id"
     return joined.unionByName(alone).withColumnRenamed("doc_id", id_col)
 
 
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The documents without those that a smaller id of their component stands for. Rows under one id, or none, stay as they are."""
+    gone = cut(group(docs, k, percent).where("doc_id <> component_id").select("doc_id").distinct())
+    return docs.join(bounded(gone), "doc_id", "left_anti").select(*docs.columns)
+
+
 ORACLE = """
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, langid, linededup, mixing, ngramjoin, quality, secrets, unitdedup, vafile
+from tessella.llm import bpe, htmltext, langid, linededup, mixing, ngramjoin, quality, secrets, unitdedup, vafile
 from tessella.sources.tables import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -18,6 +18,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op3_source_mixing, op4_line_dedup, op5_quality, op6_ngram_jaccard, op7_language_id, op8_unit_dedup, op9_secret_scan, op10_exact_topk)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_html_text, op3_source_mixing, op4_line_dedup, op5_quality, op6_ngram_jaccard, op7_language_id, op8_unit_dedup, op9_secret_scan, op10_exact_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
