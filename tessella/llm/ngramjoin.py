@@ -131,23 +131,28 @@ def group(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id"
     rows = cut(features(docs, heavy, k, percent, id_col, text_col))
     own = rows.where("doc_id IS NOT NULL AND n > 0")
     classes = cut(own.groupBy("digest").agg(F.min("doc_id").alias("id")))
-    chosen = own.withColumnRenamed("doc_id", "id").join(classes.select("id", "digest"), ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
+    chosen = own.withColumnRenamed("doc_id", "id").join(bounded(classes.select("id")), "id", "left_semi")
     prefixes = chosen.select("id", F.explode("p1").alias("token"))
     shared = prefixes.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("token")
     tokens = cut(prefixes.join(shared, "token"))
-    facts = cut(chosen.join(tokens.select("id").distinct(), "id", "left_semi").select("id", "n", "sketch", "p2", "p3"))
-    side = lambda s: facts.select(*[F.col(c).alias(c if s == c else f"{s}_{c}") for c in ("id", "n", "sketch", "p2", "p3")]).withColumnRenamed(f"{s}_id", s)
-    labels = tokens.select("id").distinct().withColumn("comp", F.col("id"))
+    several = cut(tokens.select("id").distinct())
+    facts = cut(chosen.join(bounded(several), "id", "left_semi").select("id", "n", "sketch"))
+    side = lambda s: facts.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("n", "sketch")])
+    labels = several.withColumn("comp", F.col("id"))
     links = None
 
     def filtered(pairs: DataFrame) -> DataFrame:
-        near = pairs.join(side("a"), "a").join(side("b"), "b").where(alike(percent))
-        return near.where(F.arrays_overlap("a_p2", "b_p2") & F.arrays_overlap("a_p3", "b_p3")).select("a", "b").distinct()
+        near = cut(pairs.join(side("a"), "a").join(side("b"), "b").where(alike(percent)).select("a", "b"))
+        wide = chosen.join(bounded(ends(near)), "id", "left_semi").select("id", "p2", "p3")
+        one, two = wide.toDF("a", "a_p2", "a_p3"), wide.toDF("b", "b_p2", "b_p3")
+        return near.join(one, "a").join(two, "b").where(F.arrays_overlap("a_p2", "b_p2") & F.arrays_overlap("a_p3", "b_p3")).select("a", "b").distinct()
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs)
-        ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-        sets = cut(sets_of(docs, ids, k, id_col, text_col))
+        sets = cut(sets_of(docs, ends(pairs), k, id_col, text_col))
         met = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
         both = F.size(F.array_intersect("x", "y"))
         return cut(met.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b"))
@@ -167,7 +172,7 @@ def group(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id"
             found = verified(filtered(met.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()))
         links = found if links is None else links.union(found)
         named = components(links)
-        labels = cut(tokens.select("id").distinct().join(named, "id", "left").select("id", F.coalesce("component", "id").alias("comp")))
+        labels = cut(several.join(named, "id", "left").select("id", F.coalesce("component", "id").alias("comp")))
     of_class = classes.join(labels, "id", "left").select("digest", F.coalesce("comp", "id").alias("comp"))
     joined = own.select("doc_id", "n", "digest").join(of_class, "digest").select("doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
     alone = rows.where("doc_id IS NULL OR n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
