@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from tessella.plans import selection, tables
+
 
 def queries() -> dict:
-    return {}
+    return {**selection.QUERIES, **tables.QUERIES}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {**selection.ORACLES, **tables.ORACLES}

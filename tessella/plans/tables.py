@@ -1,0 +1,2 @@
+QUERIES: dict = {}
+ORACLES: dict = {}
