@@ -116,6 +116,52 @@ def test_line_dedup_keeps_one_of_equal_and_near_lines(spark):
     assert linededup.report(frame.where("doc_id < 0")).count() == 0
 
 
+def word_edits(x, y):
+    row = list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        before, row[0] = row[0], i
+        for j, b in enumerate(y, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (a != b))
+    return row[-1]
+
+
+def test_line_dedup_finds_every_pair_at_the_promised_similarity(spark):
+    dice, rows = random.Random(11), []
+    for n in [4, 5, 6, 9, 10, 15, 20, 40, 80]:
+        for _ in range(6):
+            base = [f"word{dice.randrange(500)}" for _ in range(n)]
+            for times in (n // 5, n // 5 + 1):
+                other = list(base)
+                for _ in range(times):
+                    at = dice.randrange(len(other))
+                    other[at : at + dice.choice([0, 1])] = dice.choice([["new"], [f"other{dice.randrange(900)}"]])
+                rows.append(" ".join(other))
+            rows.append(" ".join(base))
+    rows += ["a a a a a", "a a b a a", "one two three four", "one two three four five"]
+    split = [r.split() for r in rows]
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for j in range(len(rows)):
+        for i in range(j):
+            if 5 * word_edits(split[i], split[j]) <= max(len(split[i]), len(split[j])):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    gone = linededup.repeats(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), least_words=1)
+    wanted = {i for i in range(len(rows)) if top(i) != i}
+    assert {r.doc_id for r in gone.collect()} == wanted and len(wanted) > 50
+
+
+def test_line_dedup_removes_a_near_line(spark):
+    base = [f"token{i}" for i in range(20)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:7], "changed", *base[8:]]))]
+    assert [tuple(r) for r in linededup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [(2, 0)]
+
+
 def test_unit_dedup_equals_brute_force(docs):
     found: dict = {}
     for r in unitdedup.removals(docs).collect():
