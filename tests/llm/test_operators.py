@@ -162,6 +162,12 @@ def test_line_dedup_removes_a_near_line(spark):
     assert [tuple(r) for r in linededup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [(2, 0)]
 
 
+def test_line_dedup_query_removes_repeats_of_short_lines(spark):
+    rows = [(1, "Share this\nHome\n今日は良い天気です\n one  two three FOUR"), (2, "home\nother\nshare  THIS"), (3, "今日は良い天気です\none two three four\none two three")]
+    found = linededup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.removed for r in found} == {2: [0, 2], 3: [0, 1]}
+
+
 def test_unit_dedup_equals_brute_force(docs):
     found: dict = {}
     for r in unitdedup.removals(docs).collect():
