@@ -8,10 +8,11 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
-from tessella.llm import bpe, htmltext, langid, linededup, mixing, ngramjoin, quality, secrets, unitdedup, vafile
+from tessella.llm import bpe, htmltext, kernels, langid, linededup, mixing, ngramjoin, quality, secrets, unitdedup, vafile
 from tessella.llm.registry import VOCABULARY
 
 PATH = public_tokenizers.path(VOCABULARY)
@@ -175,6 +176,20 @@ def test_unit_dedup_equals_brute_force(docs):
     assert {k: sorted(v) for k, v in found.items()} == unitdedup.brute(dict(enumerate(TEXTS)))
 
 
+def test_unit_dedup_removes_short_repeated_lines_and_weighs_dense_scripts(spark):
+    han = "今日は良い天気ですから公園へ散歩に行きましょうと友達が言いましたので私も一緒に行きました"
+    texts = {1: f"Share this\nfirst text\nend of it {han} one", 2: f"second text\n  share  THIS\nmore {han} two", 3: "first text and more\nsecond text"}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found: dict = {}
+    for r in unitdedup.removals(frame).collect():
+        found.setdefault(r.doc_id, []).append((r.start, r.end))
+    assert {k: sorted(v) for k, v in found.items()} == unitdedup.brute(texts)
+    left = {r.doc_id: r.text for r in unitdedup.remove(frame, unitdedup.removals(frame)).collect()}
+    words = kernels.split(pa.array([han, "three plain words"]), lower=True)
+    assert unitdedup.weights(words, np.array([0, 1]), np.array([1, 4])).tolist() == [len(han) // 2, 3]
+    assert "THIS" not in left[2] and "second text" not in left[3] and left[1] == texts[1]
+
+
 def test_mixing_fits_targets_and_keeps_rows(spark, docs):
     rows = mixing.mix(docs).collect()
     assert len(rows) == len(TEXTS) and all(0 <= r.probability <= 1 for r in rows)
