@@ -61,6 +61,57 @@ def seeds(points: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return points[picked].copy()
 
 
+def spread_seeds(rows: DataFrame, k: int, starts: list[int]) -> np.ndarray:
+    """What seeds() does, over all rows on Spark, for each start at once: its draws by distance are the least of exponential races.
+
+    A row's race of a draw comes from the hash of its row_idx, so partitions do not matter. Two passes a seed.
+    """
+    centres: list[list[np.ndarray]] = [[] for _ in starts]
+
+    def gaps(v: np.ndarray, picked: list[np.ndarray]) -> np.ndarray:
+        return np.maximum(0.0, 1.0 - (v @ np.stack(picked).T).max(axis=1)) if picked else np.ones(len(v))
+
+    def chances(ids: np.ndarray, *salt: int) -> np.ndarray:
+        x = ids.astype(np.uint64) ^ np.random.default_rng(salt).integers(1 << 64, dtype=np.uint64)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        return (((x ^ (x >> np.uint64(31))) >> np.uint64(11)) + 0.5) / float(1 << 53)
+
+    for step in range(k):
+        tries = 2 + int(np.log(k)) if step else 1
+        held = [list(c) for c in centres]
+
+        def race(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch) == 0:
+                    continue
+                v, ids, out = np.stack(batch["v"]), batch["row_idx"].to_numpy(), []
+                for i, picked in enumerate(held):  # noqa: B023
+                    gap = gaps(v, picked)
+                    for t in range(tries):  # noqa: B023
+                        time = -np.log(chances(ids, starts[i], step, t)) / np.where(gap > 0, gap, 1.0)  # noqa: B023
+                        j = int(np.lexsort((ids, time, gap <= 0))[0])
+                        out.append((i, t, int(gap[j] <= 0), time[j], ids[j], v[j]))
+                yield pd.DataFrame(out, columns=["i", "t", "flat", "time", "row_idx", "v"])
+
+        ran = rows.select("row_idx", "v").mapInPandas(race, "i int, t int, flat int, time double, row_idx long, v array<double>")
+        drawn = {(x[0], x[1]): np.asarray(x[2]["v"]) for x in ran.groupBy("i", "t").agg(F.min(F.struct("flat", "time", "row_idx", "v"))).collect()}
+
+        def after(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch):
+                    v = np.stack(batch["v"])
+                    yield pd.DataFrame([(i, t, gaps(v, [*held[i], c]).sum()) for (i, t), c in drawn.items()], columns=["i", "t", "total"])  # noqa: B023
+
+        totals = {key: 0.0 for key in drawn}
+        if tries > 1:
+            left = rows.select("v").mapInPandas(after, "i int, t int, total double")
+            totals = {(x[0], x[1]): x[2] for x in left.groupBy("i", "t").agg(F.sum("total")).collect()}
+        for i, picked in enumerate(centres):
+            picked.append(drawn[i, min(range(tries), key=lambda t: (totals[i, t], t))])  # noqa: B023
+    return np.stack([np.stack(c) for c in centres])
+
+
 def lloyd_pass(rows: DataFrame, before: np.ndarray | None, now: np.ndarray, spare: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]:
     """One pass over all rows for all restarts at once: member sums, counts, moved rows and cosine sums by restart.
 
@@ -111,21 +162,21 @@ def lloyd_pass(rows: DataFrame, before: np.ndarray | None, now: np.ndarray, spar
 def fit(rows: DataFrame, k: int, seed: int = 0, restarts: int = 10, most: int = 300, reseed: str = "off_prototype", init: str = "plusplus") -> Fit:
     """Spherical k-means over (row_idx, v), v unit vectors; the restart of the least summed distance, the earliest on ties.
 
-    Restart i is seeded by seed * restarts + i over at most SEED_ROWS rows in hash order (all rows, if fewer). A restart rests when a
+    Restart i is seeded by seed * restarts + i over all rows: on the driver up to SEED_ROWS, on Spark beyond. A restart rests when a
     pass moves no row. An empty prototype takes the farthest row: with reseed="off_prototype" only one that is off its
     own prototype. `init="first_k"` starts from the first k rows by row_idx.
     """
     n = rows.count()
     if not 1 <= k <= n:
         raise ValueError(f"k={k} must be in [1, N={n}]")
-    chosen = rows.orderBy("row_idx").limit(k) if init == "first_k" else rows.orderBy(F.xxhash64("row_idx"), "row_idx").limit(SEED_ROWS)
-    points = np.stack([np.asarray(x[1]) for x in sorted(chosen.select("row_idx", "v").collect())])
     restarts = 1 if init == "first_k" else restarts
-    if init == "first_k":
-        now = points[None, :k].copy()
-    else:
-        now = np.stack([seeds(points, k, np.random.default_rng(seed * restarts + i)) for i in range(restarts)])
     rows = rows.select("row_idx", "v").persist()
+    if init != "first_k" and n > SEED_ROWS:
+        now = spread_seeds(rows, k, [seed * restarts + i for i in range(restarts)])
+    else:
+        chosen = rows.orderBy("row_idx").limit(k) if init == "first_k" else rows
+        points = np.stack([np.asarray(x[1]) for x in sorted(chosen.collect())])
+        now = points[None, :k].copy() if init == "first_k" else np.stack([seeds(points, k, np.random.default_rng(seed * restarts + i)) for i in range(restarts)])
     try:
         return rest(rows, now, n, seed, restarts, most, reseed)
     finally:
