@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BROADCAST_ROWS = 1_000_000
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under the checkpoint folder that driver and executors share."""
     context = spark.sparkContext
@@ -20,6 +23,8 @@ def ready(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessella-"))
 
 
@@ -46,9 +51,10 @@ def empty(spark: SparkSession, schema: str) -> DataFrame:
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """Connected components of (a long, b long) edges: (id, component), the component being its smallest id.
 
-    Alternating large-star and small-star steps; every node's neighbours are only ever reduced to a minimum, so a hub
-    is never gathered in one place. Self-loops and repeats are allowed. The number of steps grows with the logarithm
-    of the diameter. Ends when a step changes nothing.
+    Alternating large-star and small-star steps. A node's neighbours are reduced to their minimum before the shuffle; the minima
+    come back to the edges by broadcast if the edges were counted to half of BROADCAST_ROWS; else they are written and joined by two
+    plain shuffles, whose hubs adaptive execution splits. Self-loops and repeats are allowed. The number of steps grows with the logarithm of the diameter.
+    Ends when a step changes nothing.
     """
     links = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     links = cut(links)
@@ -58,10 +64,12 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         if now == state or now[0] == 0:
             break
         state = now
+        few = 2 * now[0] <= BROADCAST_ROWS
+        minima, kept = (F.broadcast, lambda df: df) if few else (cut, cut)
         both = links.union(links.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = minima(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = kept(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        least = minima(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         links = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
     else:
@@ -70,6 +78,6 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     return links.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
 
 
-def bounded(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a frame of a few longs a row for broadcast if it was counted to at most `rows` rows; else leave the join to shuffle."""
     return F.broadcast(df) if df.count() <= rows else df

@@ -2,13 +2,13 @@
 
 Exact copies of a shingle set form one class. Classes link when 100 * |A & B| >= percent * |A | B|. Candidates must
 share a prefix token under each of three global token orders; frequent tokens come last in all of them, so
-boilerplate stays out of the prefixes. The first order's prefixes make the candidates, a 512-bit parity sketch bounds
-the symmetric difference from below, the other orders' prefixes are intersected, and the sets of what is left are
-compared.
+boilerplate stays out of the prefixes. The first order's prefixes make the candidates: its tokens are shuffled once, and
+those of a single class end there. Near sizes and a 512-bit parity sketch, which bounds the symmetric difference from
+below, sort out pairs; of what is left the other orders' prefixes are intersected, then the sets are compared.
 
-Groups of copies do not turn into all pairs: each prefix token first pairs its classes with one leader, for some rounds;
-only classes of one token that are still in different components after that are paired with each other. Pairs left out
-are joined already, so the components are those of all links.
+Groups of copies do not turn into all pairs: each prefix token first pairs its classes with one leader, for some rounds.
+Tokens whose classes are in one component are done. Of the rest, classes outside a token's largest component are paired
+with its other classes. Pairs left out are joined already, so the components are those of all links.
 """
 
 from __future__ import annotations
@@ -18,14 +18,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import kernels as K
-from tessella.llm.frames import bounded, components, cut
+from tessella.llm.frames import bounded, components, cut, stored
 
-HEAVY_SHARE = 0.002
+HEAVY_SHARE = 0.0005
 HEAVY_ROWS = 100_000
+HEAVY_BATCH = 1 << 22
 ROUNDS = 2
 SKETCH = 8
 _ORDERS = (K.U64(0xD6E8FEB86659FD93), K.U64(0xA0761D6478BD642F))
@@ -34,21 +35,22 @@ _ORDERS = (K.U64(0xD6E8FEB86659FD93), K.U64(0xA0761D6478BD642F))
 def heavy_tokens(docs: DataFrame, k: int, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     """Frequent shingles, sorted, and their ranks by count. They only order tokens, so that a bound on them loses nothing."""
 
+    def often(sets: list[np.ndarray], texts: int) -> pa.RecordBatch:
+        token, n = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
+        kept = n >= max(4, HEAVY_SHARE * texts)
+        return pa.RecordBatch.from_arrays([pa.array(np.append(token[kept].view(np.int64), 0)), pa.array(np.append(n[kept], 0)), pa.array(np.append(np.zeros(kept.sum(), np.int64), texts))], ["token", "n", "rows"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, counts, rows = [], [], 0
+        sets, held, texts = [], 0, 0
         for batch in batches:
-            rows += batch.num_rows
             for lo, hi in K.slices(batch.column(0)):
                 hashes, _ = K.windows(K.split(batch.column(0)[lo:hi], lower=True), k)
-                hashes.sort()
-                edge = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1], [True]))) if len(hashes) else np.zeros(1, np.int64)
-                n = np.diff(edge)
-                often = n >= max(4, (hi - lo) // 100)
-                kept.append(hashes[edge[:-1][often]])
-                counts.append(n[often])
-        token, at = np.unique(np.concatenate(kept) if kept else np.zeros(0, np.uint64), return_inverse=True)
-        n = np.bincount(at, weights=np.concatenate(counts), minlength=len(token)).astype(np.int64) if len(token) else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(token.view(np.int64), 0)), pa.array(np.append(n, 0)), pa.array(np.append(np.zeros(len(token), np.int64), rows))], ["token", "n", "rows"])
+                sets.append(hashes)
+                held, texts = held + len(hashes), texts + hi - lo
+                if held >= HEAVY_BATCH:
+                    yield often(sets, texts)
+                    sets, held, texts = [], 0, 0
+        yield often(sets, texts)
 
     found = docs.select(text_col).mapInArrow(run, "token long, n long, rows long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))
     found = cut(found)
@@ -59,63 +61,94 @@ def heavy_tokens(docs: DataFrame, k: int, text_col: str) -> tuple[np.ndarray, np
     return tokens[order], (len(tokens) - np.arange(len(tokens)))[order]
 
 
-def prefix(tokens: np.ndarray, last: np.ndarray, p: int, order: np.uint64 | None) -> np.ndarray:
-    """The first p tokens: common ones by the order, then frequent ones from the rarest on."""
-    if p >= len(tokens):
-        return np.concatenate((tokens, last[: p - len(tokens)]))
-    if order is None:
-        return tokens[:p]
-    return tokens[np.argpartition(tokens * order, p - 1)[:p]]
+def parted(tokens: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A set's usual tokens, and its frequent ones from the rarest on."""
+    frequent, rank = heavy
+    if len(frequent) and len(tokens):
+        at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
+        hit = frequent[at] == tokens
+        if hit.any():
+            return tokens[~hit], tokens[hit][np.argsort(rank[at[hit]])]
+    return tokens, tokens[:0]
+
+
+def length(n: int, percent: int) -> int:
+    """How many tokens of a set of n make its prefix."""
+    return n - (percent * n + 99) // 100 + 1 if n else 0
+
+
+def prefix(usual: np.ndarray, last: np.ndarray, p: int, order: np.uint64) -> np.ndarray:
+    """The first p tokens: usual ones by the order, then frequent ones from the rarest on."""
+    if p >= len(usual):
+        return np.concatenate((usual, last[: p - len(usual)]))
+    return usual[np.argpartition(usual * order, p - 1)[:p]]
 
 
 def features(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Of every row: its set's size and digest, a parity sketch, and the prefixes under three orders."""
+    """Of every row: its set's size and digest, a parity sketch, and the usual and the frequent tokens of its prefix under the first order."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, rank = shared.value
         for batch in batches:
             for lo, hi in K.slices(batch.column(1)):
-                sizes, digests, sketches, firsts, seconds, thirds = [], [], [], [], [], []
+                sizes, digests, sketches, firsts, lasts = [], [], [], [], []
                 for tokens in K.shingle_sets(K.split(batch.column(1)[lo:hi], lower=True), k):
-                    n = len(tokens)
-                    sizes.append(n)
+                    p = length(len(tokens), percent)
+                    sizes.append(len(tokens))
                     digests.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
                     sketches.append(np.packbits((np.bincount((tokens >> K.U64(55)).astype(np.int64), minlength=512) & 1).astype(np.uint8)).view(np.int64))
-                    p = n - (percent * n + 99) // 100 + 1 if n else 0
-                    usual, last = tokens, tokens[:0]
-                    if len(frequent) and n:
-                        at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-                        hit = frequent[at] == tokens
-                        if hit.any():
-                            usual, last = tokens[~hit], tokens[hit][np.argsort(rank[at[hit]])]
-                    firsts.append(prefix(usual, last, p, None).view(np.int64))
-                    seconds.append((prefix(usual, last, p, _ORDERS[0]) >> K.U64(32)).astype(np.uint32).view(np.int32))
-                    thirds.append((prefix(usual, last, p, _ORDERS[1]) & K.U64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
-                columns = [batch.column(0)[lo:hi], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), K.lists(sketches, pa.int64()), K.lists(firsts, pa.int64()), K.lists(seconds, pa.int32()), K.lists(thirds, pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "digest", "sketch", "p1", "p2", "p3"])
+                    usual, last = parted(tokens, shared.value)
+                    firsts.append(usual[:p].view(np.int64))
+                    lasts.append(last[: max(0, p - len(usual))].view(np.int64))
+                columns = [batch.column(0)[lo:hi], pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), K.lists(sketches, pa.int64()), K.lists(firsts, pa.int64()), K.lists(lasts, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "digest", "sketch", "usual", "frequent"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, n long, digest binary, sketch array<long>, p1 array<long>, p2 array<int>, p3 array<int>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, n int, digest binary, sketch array<long>, usual array<long>, frequent array<long>")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, tokens) of the documents with those ids, from their texts."""
+def sets_of(docs: DataFrame, ids: DataFrame, heavy: tuple[np.ndarray, np.ndarray], k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, second, third, tokens) of the documents with those ids, from their texts: the prefixes under the other orders, and the set."""
+    shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in K.slices(batch.column(1)):
-                sets = [s.view(np.int64) for s in K.shingle_sets(K.split(batch.column(1)[lo:hi], lower=True), k)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], K.lists(sets, pa.int64())], ["id", "tokens"])
+                sets, seconds, thirds = [], [], []
+                for tokens in K.shingle_sets(K.split(batch.column(1)[lo:hi], lower=True), k):
+                    usual, last = parted(tokens, shared.value)
+                    p = length(len(tokens), percent)
+                    sets.append(tokens.view(np.int64))
+                    seconds.append(prefix(usual, last, p, _ORDERS[0]).view(np.int64))
+                    thirds.append(prefix(usual, last, p, _ORDERS[1]).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], K.lists(seconds, pa.int64()), K.lists(thirds, pa.int64()), K.lists(sets, pa.int64())], ["id", "second", "third", "tokens"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), text_col).join(bounded(ids), "id", "left_semi")
-    return picked.mapInArrow(run, "id long, tokens array<long>")
+    return picked.mapInArrow(run, "id long, second array<long>, third array<long>, tokens array<long>")
+
 
+def sized(percent: int, a: str, b: str) -> Column:
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
-def alike(percent: int):
+
+def alike(percent: int) -> Column:
     """What two linked sets (a_n, a_sketch, b_n, b_sketch) surely fulfil: near sizes, and a small enough sketch distance."""
     apart = sum((F.bit_count(F.col("a_sketch")[i].bitwiseXOR(F.col("b_sketch")[i])) for i in range(SKETCH)), F.lit(0))
-    total = F.col("a_n") + F.col("b_n")
-    return (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & ((100 + percent) * apart <= (100 - percent) * total)
+    return sized(percent, "a_n", "b_n") & ((100 + percent) * apart <= (100 - percent) * (F.col("a_n") + F.col("b_n")))
+
+
+def shared_tokens(chosen: DataFrame) -> DataFrame:
+    """(token, id, n, leader) of the tokens that several classes hold; leader is one of them, (id, n).
+
+    Usual tokens are shuffled once, for counting and for reading. Frequent ones, each of which many rows can hold, are counted
+    before they move and get their leaders by a broadcast; they are at most HEAVY_ROWS.
+    """
+    leader = F.min(F.struct(F.xxhash64("id").alias("h"), "id", "n")).alias("leader")
+    usual = chosen.select("id", "n", F.explode("usual").alias("token")).repartition("token")
+    several = usual.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), leader).where("lo < hi").select("token", "leader")
+    frequent = chosen.select("id", "n", F.explode("frequent").alias("token"))
+    led = bounded(cut(frequent.groupBy("token").agg(leader)))
+    both = usual.join(several.hint("shuffle_hash"), "token").unionByName(frequent.join(led, "token"))
+    return both.select("token", "id", "n", F.struct("leader.id", "leader.n").alias("leader"))
 
 
 def group(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -128,54 +161,53 @@ def group(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id"
     """
     docs = docs.select(id_col, text_col)
     heavy = heavy_tokens(docs, k, text_col)
-    rows = cut(features(docs, heavy, k, percent, id_col, text_col))
+    rows = stored(features(docs, heavy, k, percent, id_col, text_col))
     own = rows.where("doc_id IS NOT NULL AND n > 0")
-    classes = cut(own.groupBy("digest").agg(F.min("doc_id").alias("id")))
+    classes = stored(own.groupBy("digest").agg(F.min("doc_id").alias("id")))
     chosen = own.withColumnRenamed("doc_id", "id").join(bounded(classes.select("id")), "id", "left_semi")
-    prefixes = chosen.select("id", F.explode("p1").alias("token"))
-    shared = prefixes.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("token")
-    tokens = cut(prefixes.join(shared, "token"))
-    several = cut(tokens.select("id").distinct())
-    facts = cut(chosen.join(bounded(several), "id", "left_semi").select("id", "n", "sketch"))
+    facts = chosen.select("id", "n", "sketch")
     side = lambda s: facts.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("n", "sketch")])
-    labels = several.withColumn("comp", F.col("id"))
-    links = None
-
-    def filtered(pairs: DataFrame) -> DataFrame:
-        near = cut(pairs.join(side("a"), "a").join(side("b"), "b").where(alike(percent)).select("a", "b"))
-        wide = chosen.join(bounded(ends(near)), "id", "left_semi").select("id", "p2", "p3")
-        one, two = wide.toDF("a", "a_p2", "a_p3"), wide.toDF("b", "b_p2", "b_p3")
-        return near.join(one, "a").join(two, "b").where(F.arrays_overlap("a_p2", "b_p2") & F.arrays_overlap("a_p3", "b_p3")).select("a", "b").distinct()
-
-    def ends(pairs: DataFrame) -> DataFrame:
-        return cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    pair = [F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")]
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs)
-        sets = cut(sets_of(docs, ends(pairs), k, id_col, text_col))
-        met = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
-        both = F.size(F.array_intersect("x", "y"))
-        return cut(met.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b"))
-
-    for turn in range(ROUNDS + 1):
-        held = tokens.join(labels, "id")
-        leader = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("id"), F.col("comp").alias("comp"))).alias("leader")
+        pairs = stored(pairs)
+        near = stored(pairs.join(side("a"), "a").join(side("b"), "b").where(alike(percent)).select("a", "b").distinct())
+        if near.isEmpty():
+            return near
+        ends = stored(near.select(F.col("a").alias("id")).union(near.select("b")).distinct())
+        wide = stored(sets_of(docs, ends, heavy, k, percent, id_col, text_col))
+        end = lambda s, *columns: wide.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in columns])
+        met = near.join(end("a", "second", "third"), "a").join(end("b", "second", "third"), "b")
+        met = met.where(F.arrays_overlap("a_second", "b_second") & F.arrays_overlap("a_third", "b_third")).select("a", "b")
+        both = F.size(F.array_intersect("a_tokens", "b_tokens"))
+        enough = 100 * both >= percent * (F.size("a_tokens") + F.size("b_tokens") - both)
+        return stored(met.join(end("a", "tokens"), "a").join(end("b", "tokens"), "b").where(enough).select("a", "b").distinct())
+
+    tokens = stored(shared_tokens(chosen))
+    links = verified(tokens.where("id <> leader.id").where(sized(percent, "n", "leader.n")).select("id", F.col("leader.id").alias("other")).select(*pair).distinct())
+    named = components(links)
+    for turn in range(ROUNDS):
+        held = tokens.select("token", "id", "n").join(bounded(named), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+        leader = F.min(F.struct(F.xxhash64("id", F.lit(turn + 1)).alias("h"), "id", "n", "comp")).alias("leader")
         mixed = held.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), leader).where("lo < hi").select("token", "leader")
-        if turn < ROUNDS:
-            pairs = held.join(mixed, "token").where("comp <> leader.comp").select(F.least("id", "leader.id").alias("a"), F.greatest("id", "leader.id").alias("b")).distinct()
-            found = verified(filtered(pairs))
+        mixed = stored(mixed)
+        if mixed.isEmpty():
+            break
+        tokens = stored(held.join(bounded(mixed), "token"))
+        if turn + 1 < ROUNDS:
+            apart = tokens.where("comp <> leader.comp").where(sized(percent, "n", "leader.n")).select("id", F.col("leader.id").alias("other"))
         else:
-            open_ = cut(held.join(mixed.select("token"), "token").join(facts.select("id", "n", "sketch"), "id"))
-            one = open_.select("token", *[F.col(c).alias(f"a_{c}") for c in ("id", "comp", "n", "sketch")])
-            two = open_.select("token", *[F.col(c).alias(f"b_{c}") for c in ("id", "comp", "n", "sketch")])
-            met = one.join(two, (one["token"] == two["token"]) & (F.col("a_id") < F.col("b_id")) & (F.col("a_comp") != F.col("b_comp")) & alike(percent))
-            found = verified(filtered(met.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()))
-        links = found if links is None else links.union(found)
+            most = stored(tokens.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("rows"))).groupBy("token").agg(F.max(F.struct("rows", "comp")).alias("most"))
+            each = stored(tokens.join(bounded(stored(most)), "token").join(facts.select("id", "sketch"), "id").select("token", "id", "n", "sketch", "comp", (F.col("comp") != F.col("most.comp")).alias("minor")))
+            one = each.where("minor").select("token", *[F.col(c).alias(f"a_{c}") for c in ("id", "n", "sketch", "comp")])
+            two = each.select(F.col("token").alias("token2"), *[F.col(c).alias(f"b_{c}") for c in ("id", "n", "sketch", "comp")], "minor")
+            met = one.join(two, (F.col("token") == F.col("token2")) & (F.col("a_comp") != F.col("b_comp")) & (~F.col("minor") | (F.col("a_id") < F.col("b_id"))) & alike(percent))
+            apart = met.select(F.col("a_id").alias("id"), F.col("b_id").alias("other"))
+        links = links.union(verified(apart.select(*pair).distinct()))
         named = components(links)
-        labels = cut(several.join(named, "id", "left").select("id", F.coalesce("component", "id").alias("comp")))
-    of_class = classes.join(labels, "id", "left").select("digest", F.coalesce("comp", "id").alias("comp"))
-    joined = own.select("doc_id", "n", "digest").join(of_class, "digest").select("doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
-    alone = rows.where("doc_id IS NULL OR n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    of_class = classes.join(bounded(named), "id", "left").select("digest", F.coalesce("component", "id").alias("comp"))
+    joined = own.select("doc_id", "n", "digest").join(bounded(stored(of_class)), "digest").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("comp").alias("component_id"))
+    alone = rows.where("doc_id IS NULL OR n = 0").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return joined.unionByName(alone).withColumnRenamed("doc_id", id_col)
 
 
