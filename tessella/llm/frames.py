@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-BROADCAST_ROWS = 1_000_000
+#: Rows of a few longs each, some 40 bytes.
+BROADCAST_ROWS = 500_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -79,5 +80,5 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a frame of a few longs a row for broadcast if it was counted to at most `rows` rows; else leave the join to shuffle."""
+    """Mark a frame of a few longs a row for broadcast if it was counted to at most `rows` rows, some 20 MB; else leave the join to shuffle."""
     return F.broadcast(df) if df.count() <= rows else df

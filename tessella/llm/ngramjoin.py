@@ -3,8 +3,9 @@
 Exact copies of a shingle set form one class. Classes link when 100 * |A & B| >= percent * |A | B|. Candidates must
 share a prefix token under each of three global token orders; frequent tokens come last in all of them, so
 boilerplate stays out of the prefixes. The first order's prefixes make the candidates: its tokens are shuffled once, and
-those of a single class end there. Near sizes and a 512-bit parity sketch, which bounds the symmetric difference from
-below, sort out pairs; of what is left the other orders' prefixes are intersected, then the sets are compared.
+those of a single class end there. Near sizes and parity sketches, which bound the symmetric difference from below, sort out
+pairs: one of 512 bits, and for larger sets one of at least as many bits as tokens, folded to the narrower of two. Of what is left
+the other orders' prefixes are intersected, then the sets are compared.
 
 Groups of copies do not turn into all pairs: each prefix token first pairs its classes with one leader, for some rounds.
 Tokens whose classes are in one component are done. Of the rest, classes outside a token's largest component are paired
@@ -27,7 +28,8 @@ from tessella.llm.frames import bounded, components, cut, stored
 HEAVY_SHARE = 0.0005
 HEAVY_ROWS = 100_000
 HEAVY_BATCH = 1 << 22
-ROUNDS = 2
+#: Turns after the first; in the last one all pairs of a token meet that are still apart.
+ROUNDS = 1
 SKETCH = 8
 _ORDERS = (K.U64(0xD6E8FEB86659FD93), K.U64(0xA0761D6478BD642F))
 
@@ -84,46 +86,61 @@ def prefix(usual: np.ndarray, last: np.ndarray, p: int, order: np.uint64) -> np.
     return usual[np.argpartition(usual * order, p - 1)[:p]]
 
 
+def parity(at: np.ndarray, width: int) -> np.ndarray:
+    """The parities of the counts of each place, packed."""
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=width) & 1).astype(np.uint8)).view(np.int64)
+
+
 def features(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Of every row: its set's size and digest, a parity sketch, and the usual and the frequent tokens of its prefix under the first order."""
+    """Of every row: its set's size and digest, parity sketches, and the usual and the frequent tokens of its prefix under the first order."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in K.slices(batch.column(1)):
-                sizes, digests, sketches, firsts, lasts = [], [], [], [], []
+                sizes, digests, sketches, wides, firsts, lasts = [], [], [], [], [], []
                 for tokens in K.shingle_sets(K.split(batch.column(1)[lo:hi], lower=True), k):
                     p = length(len(tokens), percent)
                     sizes.append(len(tokens))
                     digests.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
-                    sketches.append(np.packbits((np.bincount((tokens >> K.U64(55)).astype(np.int64), minlength=512) & 1).astype(np.uint8)).view(np.int64))
+                    sketches.append(parity(tokens >> K.U64(55), 64 * SKETCH))
+                    wide = 1 << (len(tokens) - 1).bit_length() if len(tokens) > 64 * SKETCH else 0
+                    wides.append(parity(tokens & K.U64(wide - 1), wide) if wide else sketches[-1][:0])
                     usual, last = parted(tokens, shared.value)
                     firsts.append(usual[:p].view(np.int64))
                     lasts.append(last[: max(0, p - len(usual))].view(np.int64))
-                columns = [batch.column(0)[lo:hi], pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), K.lists(sketches, pa.int64()), K.lists(firsts, pa.int64()), K.lists(lasts, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "digest", "sketch", "usual", "frequent"])
+                columns = [batch.column(0)[lo:hi], pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), *(K.lists(x, pa.int64()) for x in (sketches, wides, firsts, lasts))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "digest", "sketch", "wide", "usual", "frequent"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, n int, digest binary, sketch array<long>, wide array<long>, usual array<long>, frequent array<long>")
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, n int, digest binary, sketch array<long>, usual array<long>, frequent array<long>")
 
+def compared(pairs: DataFrame, docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) whose prefixes meet under the other orders too, and whose sets are similar.
 
-def sets_of(docs: DataFrame, ids: DataFrame, heavy: tuple[np.ndarray, np.ndarray], k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, second, third, tokens) of the documents with those ids, from their texts: the prefixes under the other orders, and the set."""
+    Texts move to the pairs, as they pack better than sets; copies of one end's text go with its pairs, which adaptive execution splits.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in K.slices(batch.column(1)):
-                sets, seconds, thirds = [], [], []
-                for tokens in K.shingle_sets(K.split(batch.column(1)[lo:hi], lower=True), k):
-                    usual, last = parted(tokens, shared.value)
-                    p = length(len(tokens), percent)
-                    sets.append(tokens.view(np.int64))
-                    seconds.append(prefix(usual, last, p, _ORDERS[0]).view(np.int64))
-                    thirds.append(prefix(usual, last, p, _ORDERS[1]).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], K.lists(seconds, pa.int64()), K.lists(thirds, pa.int64()), K.lists(sets, pa.int64())], ["id", "second", "third", "tokens"])
-
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), text_col).join(bounded(ids), "id", "left_semi")
-    return picked.mapInArrow(run, "id long, second array<long>, third array<long>, tokens array<long>")
+            for lo, hi in K.slices(batch.column(2), K.SLICE_BYTES // 2):
+                texts = pa.concat_arrays([batch.column(i)[lo:hi].fill_null("") for i in (2, 3)])
+                sets = list(K.shingle_sets(K.split(texts, lower=True), k))
+                kept = np.zeros(hi - lo, dtype=bool)
+                for i, (x, y) in enumerate(zip(sets[: hi - lo], sets[hi - lo :], strict=True)):
+                    (x_usual, x_last), (y_usual, y_last) = parted(x, shared.value), parted(y, shared.value)
+                    x_p, y_p = length(len(x), percent), length(len(y), percent)
+                    if all(len(np.intersect1d(prefix(x_usual, x_last, x_p, order), prefix(y_usual, y_last, y_p, order), assume_unique=True)) for order in _ORDERS):
+                        both = len(np.intersect1d(x, y, assume_unique=True))
+                        kept[i] = 100 * both >= percent * (len(x) + len(y) - both)
+                kept = pa.array(kept)
+                yield pa.RecordBatch.from_arrays([batch.column(i)[lo:hi].filter(kept) for i in (0, 1)], ["a", "b"])
+
+    ends = bounded(stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_col).join(ends, "id", "left_semi")
+    one, two = texts.toDF("a", "x"), texts.toDF("b", "y")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def sized(percent: int, a: str, b: str) -> Column:
@@ -136,6 +153,16 @@ def alike(percent: int) -> Column:
     return sized(percent, "a_n", "b_n") & ((100 + percent) * apart <= (100 - percent) * (F.col("a_n") + F.col("b_n")))
 
 
+def alike_wide(percent: int) -> Column:
+    """The same for the wide sketches; true where one is missing, or more than twice as wide as the other."""
+    xor = lambda x, y: x.bitwiseXOR(y)
+    fold = lambda x, y: F.when(F.size(x) == 2 * F.size(y), F.zip_with(F.slice(x, 1, F.size(y)), F.slice(x, F.size(y) + 1, F.size(y)), xor)).otherwise(F.col(x))
+    one, two = fold("a_wide", "b_wide"), fold("b_wide", "a_wide")
+    apart = F.aggregate(F.zip_with(one, two, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    comparable = (F.size("a_wide") > 0) & (F.size("b_wide") > 0) & (F.size("a_wide") <= 2 * F.size("b_wide")) & (F.size("b_wide") <= 2 * F.size("a_wide"))
+    return ~comparable | ((100 + percent) * apart <= (100 - percent) * (F.col("a_n") + F.col("b_n")))
+
+
 def shared_tokens(chosen: DataFrame) -> DataFrame:
     """(token, id, n, leader) of the tokens that several classes hold; leader is one of them, (id, n).
 
@@ -165,40 +192,33 @@ def group(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id"
     own = rows.where("doc_id IS NOT NULL AND n > 0")
     classes = stored(own.groupBy("digest").agg(F.min("doc_id").alias("id")))
     chosen = own.withColumnRenamed("doc_id", "id").join(bounded(classes.select("id")), "id", "left_semi")
-    facts = chosen.select("id", "n", "sketch")
-    side = lambda s: facts.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("n", "sketch")])
+    facts = chosen.select("id", "n", "sketch", "wide")
+    side = lambda s: facts.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("n", "sketch", "wide")])
     pair = [F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")]
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs)
-        near = stored(pairs.join(side("a"), "a").join(side("b"), "b").where(alike(percent)).select("a", "b").distinct())
-        if near.isEmpty():
-            return near
-        ends = stored(near.select(F.col("a").alias("id")).union(near.select("b")).distinct())
-        wide = stored(sets_of(docs, ends, heavy, k, percent, id_col, text_col))
-        end = lambda s, *columns: wide.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in columns])
-        met = near.join(end("a", "second", "third"), "a").join(end("b", "second", "third"), "b")
-        met = met.where(F.arrays_overlap("a_second", "b_second") & F.arrays_overlap("a_third", "b_third")).select("a", "b")
-        both = F.size(F.array_intersect("a_tokens", "b_tokens"))
-        enough = 100 * both >= percent * (F.size("a_tokens") + F.size("b_tokens") - both)
-        return stored(met.join(end("a", "tokens"), "a").join(end("b", "tokens"), "b").where(enough).select("a", "b").distinct())
+        near = stored(pairs.join(side("a"), "a").join(side("b"), "b").where(alike(percent)).where(alike_wide(percent)).select("a", "b").distinct())
+        return near if near.isEmpty() else stored(compared(near, docs, heavy, k, percent, id_col, text_col).distinct())
 
     tokens = stored(shared_tokens(chosen))
     links = verified(tokens.where("id <> leader.id").where(sized(percent, "n", "leader.n")).select("id", F.col("leader.id").alias("other")).select(*pair).distinct())
     named = components(links)
-    for turn in range(ROUNDS):
+    for turn in range(1, ROUNDS + 1):
         held = tokens.select("token", "id", "n").join(bounded(named), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-        leader = F.min(F.struct(F.xxhash64("id", F.lit(turn + 1)).alias("h"), "id", "n", "comp")).alias("leader")
-        mixed = held.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), leader).where("lo < hi").select("token", "leader")
+        if turn < ROUNDS:
+            leader = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "comp")).alias("leader")
+            mixed = held.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), leader).where("lo < hi").select("token", "leader")
+        else:
+            sizes = held.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("rows"))
+            mixed = sizes.groupBy("token").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("rows", "comp")).getField("comp").alias("largest")).where("comps > 1").select("token", "largest")
         mixed = stored(mixed)
         if mixed.isEmpty():
             break
         tokens = stored(held.join(bounded(mixed), "token"))
-        if turn + 1 < ROUNDS:
+        if turn < ROUNDS:
             apart = tokens.where("comp <> leader.comp").where(sized(percent, "n", "leader.n")).select("id", F.col("leader.id").alias("other"))
         else:
-            most = stored(tokens.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("rows"))).groupBy("token").agg(F.max(F.struct("rows", "comp")).alias("most"))
-            each = stored(tokens.join(bounded(stored(most)), "token").join(facts.select("id", "sketch"), "id").select("token", "id", "n", "sketch", "comp", (F.col("comp") != F.col("most.comp")).alias("minor")))
+            each = stored(tokens.join(facts.select("id", "sketch"), "id").select("token", "id", "n", "sketch", "comp", (F.col("comp") != F.col("largest")).alias("minor")))
             one = each.where("minor").select("token", *[F.col(c).alias(f"a_{c}") for c in ("id", "n", "sketch", "comp")])
             two = each.select(F.col("token").alias("token2"), *[F.col(c).alias(f"b_{c}") for c in ("id", "n", "sketch", "comp")], "minor")
             met = one.join(two, (F.col("token") == F.col("token2")) & (F.col("a_comp") != F.col("b_comp")) & (~F.col("minor") | (F.col("a_id") < F.col("b_id"))) & alike(percent))
