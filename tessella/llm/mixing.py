@@ -8,6 +8,8 @@ hash of its id.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,8 +17,13 @@ from pyspark.sql import functions as F
 from tessella.llm.frames import cut
 
 DIMENSIONS = ("source", "lang", "topic")
+#: Rounds of raking: so many at least, then more until the marginals are met within TOLERANCE of all mass, at most MOST_ROUNDS.
 ROUNDS = 8
+MOST_ROUNDS = 64
+TOLERANCE = 1e-3
+#: Steps that fill the budget: so many at least, then more until it is met within TOLERANCE or every cell is full, at most MOST_FILLS.
 FILLS = 6
+MOST_FILLS = 64
 POWER = 0.5
 SHARE = 0.5
 SEED = "mix-1"
@@ -39,8 +46,10 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """Cells (source, lang, topic, t) with `mass`: shares that fit the targets after ROUNDS rounds over the dimensions.
+    """Cells (source, lang, topic, t) with `mass`: shares that fit the targets after raking over the dimensions in turn.
 
+    Raking stops after ROUNDS rounds if the marginals are met within TOLERANCE, else it goes on; marginals that are still not met
+    after MOST_ROUNDS, as cells without tokens can make targets impossible, are told by a warning with the residual.
     Without targets for a dimension its shares go by the token counts to the power POWER. Targets are renormalised over
     the values that have tokens. At most SMALL cells are handled in one partition, where raking needs no shuffle; more of them
     stay distributed, summed by each dimension's values.
@@ -57,26 +66,43 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None) -
         over = F.pow(F.sum("t").over(W.partitionBy(dim)).cast("double"), F.lit(POWER)) if not given else share
         fits = fits.withColumn(f"to_{dim}", over / F.lit(total))
     fits = cut(fits)
-    for turn in range(ROUNDS):
+    for turn in range(MOST_ROUNDS):
         for dim in DIMENSIONS:
             held = F.sum("mass").over(W.partitionBy(dim))
             fits = fits.withColumn("mass", F.when(held > 0, F.col("mass") * F.col(f"to_{dim}") / held).otherwise(0.0))
         if turn % 4 == 3:
             fits = cut(fits)
+        if turn + 1 >= ROUNDS and turn % 4 == 3 and residual(fits) <= TOLERANCE:
+            break
+    else:
+        warnings.warn(f"rake: marginals are off by {residual(fits):.3g} of the mass after {MOST_ROUNDS} rounds", stacklevel=2)
     return fits.select(*DIMENSIONS, "t", "mass")
 
 
+def residual(fits: DataFrame) -> float:
+    """The largest gap between a value's mass and its target (to_source, to_lang, to_topic), in shares of all mass."""
+    gaps = [fits.groupBy(dim).agg(F.abs(F.sum("mass") - F.first(f"to_{dim}")).alias("gap")).agg(F.max("gap").alias("gap")) for dim in DIMENSIONS]
+    return max((g[0] or 0.0 for frame in gaps for g in frame.collect()), default=0.0)
+
+
 def calibrated(fits: DataFrame, share: float = SHARE) -> DataFrame:
-    """Cells with `probability`: least(1, c * mass / t), c filling the budget of share * tokens in FILLS steps."""
+    """Cells with `probability`: least(1, c * mass / t), c filling the budget of share * tokens.
+
+    A budget that is not met within TOLERANCE after MOST_FILLS steps, as cells without mass can make it, is told by a warning.
+    """
     fits = cut(fits)
     total = fits.agg(F.sum("t")).first()[0] or 0
     budget, c = share * total, 0.0
-    for _ in range(FILLS):
+    for turn in range(MOST_FILLS + 1):
         full = F.lit(c) * F.col("mass") >= F.col("t")
         held, free = fits.agg(F.sum(F.when(full, F.col("t")).otherwise(0)).cast("double"), F.sum(F.when(full, 0.0).otherwise(F.col("mass")))).first()
-        if not free or free <= 0:
+        expected = (held or 0.0) + c * (free or 0.0)
+        if not free or free <= 0 or turn >= FILLS and abs(expected - budget) <= TOLERANCE * budget:
             break
-        c = (budget - held) / free
+        if turn < MOST_FILLS:
+            c = (budget - held) / free
+    if total and abs(expected - budget) > TOLERANCE * budget:
+        warnings.warn(f"calibrated: {expected:.6g} expected tokens for a budget of {budget:.6g}", stacklevel=2)
     return fits.withColumn("probability", F.round(F.least(F.lit(1.0), F.lit(c) * F.col("mass") / F.col("t")), 9)).withColumn("weight", F.round(F.col("mass") / F.col("t") * F.lit(float(total)), 9))
 
 
@@ -86,31 +112,31 @@ def drawn(doc_id: str, seed: str = SEED) -> Column:
 
 
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, share: float = SHARE) -> DataFrame:
-    """The documents with __source, __lang, __topic, __tokens, weight, probability and sampled.
+    """The documents with __source, __lang, __topic, __tokens, __weight, __probability and __sampled.
 
     Documents without tokens have probability 0. Repeated rows are drawn alike. Rows are summed to cells before any shuffle,
     so a hot source is one cell's row from each task; cells are joined back by broadcast if they were counted to at
-    most SMALL, else by a shuffle in which hot cells are split.
+    most SMALL, else by a shuffle in which hot cells are split. Documents may have columns of any name without a leading `__`.
     """
     known = measured(docs)
     cells = cut(known.groupBy(*[F.col(f"__{d}").alias(d) for d in DIMENSIONS]).agg(F.sum("__tokens").alias("t")))
     found = cut(calibrated(rake(cells, targets), share))
     found = F.broadcast(found) if found.count() <= SMALL else found
-    found = found.select(*[F.col(d).alias(f"c_{d}") for d in DIMENSIONS], "probability", "weight")
-    joined = known.join(found, [known[f"__{d}"] == F.col(f"c_{d}") for d in DIMENSIONS], "left").drop(*[f"c_{d}" for d in DIMENSIONS])
-    p = F.coalesce("probability", F.lit(0.0))
-    return joined.withColumns({"probability": p, "weight": F.coalesce("weight", F.lit(0.0))}).withColumn("sampled", drawn("doc_id") < F.col("probability"))
+    found = found.select(*[F.col(d).alias(f"__to_{d}") for d in DIMENSIONS], F.col("probability").alias("__probability"), F.col("weight").alias("__weight"))
+    joined = known.join(found, [F.col(f"__{d}") == F.col(f"__to_{d}") for d in DIMENSIONS], "left").drop(*[f"__to_{d}" for d in DIMENSIONS])
+    filled = joined.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("__probability", "__weight")})
+    return filled.withColumn("__sampled", drawn("doc_id") < F.col("__probability"))
 
 
 def sample(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, share: float = SHARE) -> DataFrame:
     """The drawn documents, with their own columns."""
-    return mix(docs, targets, share).where("sampled").select(*docs.columns)
+    return mix(docs, targets, share).where("__sampled").select(*docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:
     """One row a document: its cell, tokens, weight, probability and whether it is drawn."""
     narrow = mix(docs.select("doc_id", "text", "source", "lang"))
-    return narrow.select("doc_id", F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), "weight", "probability", "sampled")
+    return narrow.select("doc_id", *[F.col(f"__{c}").alias(c) for c in ("source", "lang", "topic")], F.col("__tokens").alias("n_tokens"), *[F.col(f"__{c}").alias(c) for c in ("weight", "probability", "sampled")])
 
 
 def oracle() -> str:

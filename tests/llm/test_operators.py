@@ -182,7 +182,7 @@ def test_unit_dedup_removes_short_repeated_lines_and_weighs_dense_scripts(spark)
 
 def test_mixing_fits_targets_and_keeps_rows(spark, docs):
     rows = mixing.mix(docs).collect()
-    assert len(rows) == len(TEXTS) and all(0 <= r.probability <= 1 for r in rows)
+    assert len(rows) == len(TEXTS) and all(0 <= r["__probability"] <= 1 for r in rows)
     cells = spark.createDataFrame([("a", "x", "t", 900), ("a", "y", "t", 50), ("b", "x", "t", 30), ("b", "y", "t", 20)], "source string, lang string, topic string, t long")
     fits = mixing.rake(cells, {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.4, "y": 0.6}}).collect()
     mass = Counter()
