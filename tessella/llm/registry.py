@@ -47,8 +47,7 @@ def op8_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    findings, _ = secrets.scan(table(spark, sf_dir, "documents"))
-    return secrets.digest(findings)
+    return secrets.digest(secrets.scan_increments(table(spark, sf_dir, "documents")))
 
 
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.frames import cut, empty
+from tessella.llm.frames import bounded, empty, shared_folder, stored
 
 #: rule_versions: the rules that a row has applied to its blob, as kind@version, comma-joined; a blob may have several rows.
 LEDGER = "blob string, rule_versions string, spans array<struct<start:int,end:int,kind:string>>"
@@ -51,6 +51,10 @@ MORE = (
     Rule("url_login", 1, r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:[^\s/@]{4,128}@", 0, 0, ("://",)),
 )
 RULES = BASE + MORE
+#: Blobs with findings, some hundred bytes each, that are broadcast.
+FOUND = 100_000
+#: Scans of the query, each of them over its share of the versions with the ledger that the others have left.
+INCREMENTS = 2
 
 
 def scanner(rules: tuple[Rule, ...]) -> Callable[[str], list[tuple[int, int, str]]]:
@@ -93,7 +97,7 @@ def scan(paths: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, .
     A null text is the empty blob. Repeated rows and copies share one blob, scanned once. A null path is kept; its
     text is scanned like others. Spans are ordered by start, then by the order of the rules. A ledger row of another
     rule version is left alone. The text is moved once, to the one task that scans its blob; hot blobs are reduced to one
-    representative before any text moves.
+    representative before any text moves, and findings meet their paths by broadcast or by a join of two plain shuffles.
     """
     spark = paths.sparkSession
     ledger = empty(spark, LEDGER) if ledger is None else ledger
@@ -103,20 +107,38 @@ def scan(paths: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, .
     held = paths.select(F.col(path_col).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
     known = ledger.where(F.arrays_overlap(F.split("rule_versions", ","), wanted)).dropDuplicates(["blob", "rule_versions"])
     seen = known.groupBy("blob").agg(F.flatten(F.collect_set(F.split("rule_versions", ","))).alias("seen"))
-    index = cut(held.select("path", "blob"))
+    index = stored(held.select("path", "blob"))
     chosen = index.groupBy("blob").agg(F.min("path").alias("at")).join(seen, "blob", "left")
     missing = F.array_join(F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>"))), ",")
     chosen = chosen.select(F.col("blob").alias("chosen"), "at", missing.alias("missing")).where("missing <> ''")
     unseen = held.join(chosen.hint("shuffle_hash"), F.col("path").eqNullSafe(F.col("at")) & (F.col("blob") == F.col("chosen"))).select("blob", "text", "missing")
-    news = cut(scan_blobs(unseen, rules).dropDuplicates(["blob", "rule_versions"]))
+    news = stored(scan_blobs(unseen, rules).dropDuplicates(["blob", "rule_versions"]))
     spans = known.unionByName(news).where(F.size("spans") > 0).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
     spans = spans.withColumn("spans", F.filter("spans", lambda s: s["kind"].isin(kinds)))
     ordered = F.transform(F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("o"), s["end"].alias("end"), s["kind"].alias("kind")))), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     none = F.from_json(F.lit("[]"), "array<struct<start:int,end:int,kind:string>>")
-    findings = index.join(spans, "blob", "left").select(F.col("path").alias(path_col), "blob", F.coalesce(ordered, none).alias("spans"))
+    findings = index.join(bounded(stored(spans), FOUND), "blob", "left").select(F.col("path").alias(path_col), "blob", F.coalesce(ordered, none).alias("spans"))
     return findings, news
 
 
+def scan_increments(paths: DataFrame, increments: int = INCREMENTS, rules: tuple[Rule, ...] = RULES, path_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The findings of all paths, scanned as so many increments (by the hash of the path) against one ledger table.
+
+    Each increment reads the ledger, scans the pairs of blob and rule version that are new, and appends them; so a blob that
+    an earlier increment held is not scanned again. The ledger is a table in the shared folder.
+    """
+    spark, folder = paths.sparkSession, shared_folder(paths.sparkSession)
+    empty(spark, LEDGER).write.parquet(folder)
+    found = None
+    for i in range(increments):
+        own = paths.where(F.pmod(F.xxhash64(F.col(path_col)), F.lit(increments)) == i)
+        findings, news = scan(own, spark.read.schema(LEDGER).parquet(folder), rules, path_col, text_col)
+        if i + 1 < increments:
+            news.write.mode("append").parquet(folder)
+        found = findings if found is None else found.unionByName(findings)
+    return found
+
+
 def digest(findings: DataFrame, path_col: str = "doc_id") -> DataFrame:
     """The per-document columns: counts of base kinds, the digest of the base spans, and all spans as text."""
     base = [r.kind for r in BASE]
