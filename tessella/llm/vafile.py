@@ -1,23 +1,31 @@
 """Exact top-k inner-product search by a vector-approximation file.
 
-A block of vectors is approximated by small cell numbers, one for each dimension, over quantile cells of the block. A
-scan of the cells bounds each query's score with each candidate from both sides; the kth best lower bound is a score that
-k candidates surely reach, so only candidates whose upper bound is not below it are read exactly. Their exact scores
-decide the block's best k; the best k of all blocks are the answer.
+The file holds one byte a dimension for each vector: the cell of its component between thresholds that are quantiles of a
+sample. It is written once. A scan of the file alone bounds each query's score with each vector from both sides; the kth
+best lower bound over all blocks is a score that k vectors surely reach, so only vectors whose upper bound is not below it
+stay candidates. Exact vectors are then read in the order of the bounds: first each query's FIRST candidates, whose kth exact score is the
+new bar, then those whose upper bound still reaches it. Nothing below the bar can be a result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessella.llm.frames import cut
+from tessella.llm.frames import stored
 
-CELLS = 64
-BLOCK = 2048
+CELLS = 256
+#: Vectors whose components set the thresholds; they change the bounds' width, never the result.
+SAMPLE = 20_000
+BLOCK = 4096
+QUERIES = 16_384
+FIRST = 2
+_CHUNK = 256
 
 
 def quantise(vectors: DataFrame, id_col: str, vector_col: str, scale: int = 256) -> DataFrame:
@@ -26,60 +34,102 @@ def quantise(vectors: DataFrame, id_col: str, vector_col: str, scale: int = 256)
     return vectors.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).where(~bad & (F.size(vector_col) > 0)).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
 
 
-def nearest(candidates: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The best k of one block of candidates for each query of one block: cells bound the scores, survivors are read exactly."""
-    exact = np.stack(candidates["v"].to_numpy()).astype(np.int64)
-    edges = np.quantile(exact, np.linspace(0, 1, CELLS + 1), axis=0)
-    low, high = np.empty(exact.shape), np.empty(exact.shape)
-    for d in range(exact.shape[1]):
-        cell = np.searchsorted(edges[1:-1, d], exact[:, d], side="right").astype(np.uint8)
-        low[:, d] = np.floor(edges[cell, d])
-        high[:, d] = np.ceil(edges[cell + 1, d])
-    q = np.stack(queries["v"].to_numpy()).astype(np.int64)
-    ids, asked = candidates["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
-    up, down = np.maximum(q, 0).astype(np.float64), np.minimum(q, 0).astype(np.float64)
-    most = up @ high.T + down @ low.T
-    least = up @ low.T + down @ high.T
-    own = asked[:, None] == ids[None, :]
-    most[own] = least[own] = -np.inf
-    n = most.shape[1]
-    sure = np.partition(least, n - k, axis=1)[:, n - k] if n > k else np.full(len(q), -np.inf)
-    at, to = np.nonzero((most >= sure[:, None]) & ~own)
-    scores = np.empty(len(at), np.int64)
-    for lo in range(0, len(at), 1 << 14):
-        part = slice(lo, lo + (1 << 14))
-        scores[part] = np.einsum("ij,ij->i", q[at[part]], exact[to[part]])
-    order = np.lexsort((ids[to], -scores, at))
-    at, to, scores = at[order], to[order], scores[order]
-    place = np.arange(len(at)) - np.searchsorted(at, at, side="left")
-    kept = place < k
-    return pd.DataFrame({"query_id": asked[at[kept]], "vec_id": ids[to[kept]], "score": scores[kept]})
+def thresholds(exact: DataFrame, total: int) -> dict[int, list[tuple[np.ndarray, int, int]]]:
+    """Of each dimension d of the vectors of each length: up to CELLS - 1 thresholds, and the least and largest component of all vectors."""
+
+    def ends(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for dim, own in frame.groupby("dim"):
+                x = np.stack(own["v"].to_numpy())
+                yield pd.DataFrame({"dim": dim, "d": np.arange(dim), "lo": x.min(axis=0), "hi": x.max(axis=0)})
+
+    span = exact.select("dim", "v").mapInPandas(ends, "dim int, d int, lo long, hi long").groupBy("dim", "d").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()
+    share = min(1.0, SAMPLE / max(1, total))
+    some = exact.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)) < int(share * (1 << 40))).select("dim", "v").limit(2 * SAMPLE).toPandas()
+    out: dict[int, list] = {}
+    for dim, d, lo, hi in sorted(map(tuple, span)):
+        own = some.loc[some["dim"] == dim, "v"]
+        column = np.array([v[d] for v in own], dtype=np.int64) if len(own) else np.array([lo, hi])
+        cuts = np.unique(np.quantile(column, np.linspace(0, 1, CELLS + 1)[1:-1], method="nearest")).astype(np.int64)
+        out.setdefault(dim, []).append((cuts, lo, hi))
+    return out
+
+
+def approximations(exact: DataFrame, cuts: dict[int, list[tuple[np.ndarray, int, int]]]) -> DataFrame:
+    """(vec_id, dim, cells): one byte a dimension; component x lies in cell c when cuts[c - 1] <= x < cuts[c]."""
+    shared = exact.sparkSession.sparkContext.broadcast(cuts)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for dim, own in frame.groupby("dim"):
+                x = np.stack(own["v"].to_numpy())
+                cells = np.stack([np.searchsorted(shared.value[dim][d][0], x[:, d], side="right") for d in range(dim)], axis=1).astype(np.uint8)
+                yield pd.DataFrame({"vec_id": own["vec_id"].to_numpy(), "dim": np.int32(dim), "cells": [c.tobytes() for c in cells]})
+
+    return exact.mapInPandas(run, "vec_id long, dim int, cells binary")
+
+
+def bounds(block: pd.DataFrame, queries: pd.DataFrame, cuts: list[tuple[np.ndarray, int, int]], k: int) -> pd.DataFrame:
+    """The vectors of a block that can be among a query's best k of it, with the bounds of their scores: (query_id, vec_id, least, most)."""
+    cells = np.frombuffer(b"".join(block["cells"]), dtype=np.uint8).reshape(len(block), -1)
+    middle, half = np.empty(cells.shape), np.empty(cells.shape)
+    for d, (at, lo, hi) in enumerate(cuts):
+        low, high = np.concatenate(([lo], at)).astype(np.float64), np.concatenate((at - 1, [hi])).astype(np.float64)
+        middle[:, d], half[:, d] = ((low + high) / 2)[cells[:, d]], ((high - low) / 2)[cells[:, d]]
+    ids, asked, parts = block["vec_id"].to_numpy(), queries["vec_id"].to_numpy(), []
+    vectors = np.stack(queries["v"].to_numpy()).astype(np.float64)
+    for lo in range(0, len(asked), _CHUNK):
+        q, own_ids = vectors[lo : lo + _CHUNK], asked[lo : lo + _CHUNK]
+        centre, reach = q @ middle.T, np.abs(q) @ half.T
+        least, most = centre - reach, centre + reach
+        own = own_ids[:, None] == ids[None, :]
+        least[own] = -np.inf
+        n = least.shape[1]
+        sure = np.partition(least, n - k, axis=1)[:, n - k] if n > k else np.full(len(q), -np.inf)
+        at, to = np.nonzero((most >= sure[:, None]) & ~own)
+        parts.append(pd.DataFrame({"query_id": own_ids[at], "vec_id": ids[to], "least": least[at, to], "most": most[at, to]}))
+    return pd.concat(parts)
 
 
 def search(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Each query's k best candidates: (query_id, rank, vec_id, score), ties to the smaller id.
 
-    Queries are the rows whose id is divisible by `every`; candidates are all other rows of the same dimension. Blocks
-    of about BLOCK candidates meet blocks of queries; blocks depend on ids alone, so equal vectors spread evenly. A query with
+    Queries are the rows whose id is divisible by `every`; candidates are all other rows of the same dimension. Blocks of about
+    BLOCK approximations meet groups of QUERIES queries; blocks depend on ids alone, so equal vectors spread evenly. A query with
     fewer than k candidates returns all of them. Rows repeated under one id count once (the smallest vector). Null or
-    non-finite vectors and null ids take no part.
+    non-finite vectors and null ids take no part. An empty table gives no rows; other columns are not read.
     """
-    exact = cut(quantise(vectors, id_col, vector_col).groupBy("vec_id").agg(F.min("v").alias("v")))
+    exact = stored(quantise(vectors, id_col, vector_col).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")))
     total = max(1, exact.count())
-    blocks, groups = -(-total // BLOCK), -(-total // (every * BLOCK))
+    cuts = thresholds(exact, total)
+    file = stored(approximations(exact, cuts))
+    blocks, groups = -(-total // BLOCK), -(-total // (every * QUERIES))
     spread = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
-    rows = exact.withColumn("dim", F.size("v"))
-    each = rows.withColumn("c", spread(blocks, 1)).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    asked = rows.where(F.col("vec_id") % every == 0).withColumn("g", spread(groups, 2)).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def meet(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if len(candidates) == 0 or len(queries) == 0:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        return nearest(candidates, queries, k)
-
-    near = each.groupBy("dim", "c", "g").cogroup(asked.groupBy("dim", "c", "g")).applyInPandas(meet, "query_id long, vec_id long, score long")
+    each = file.withColumn("c", spread(blocks, 1)).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    queries = exact.where(F.col("vec_id") % every == 0)
+    asked = queries.withColumn("g", spread(groups, 2)).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    shared = vectors.sparkSession.sparkContext.broadcast(cuts)
+
+    def meet(key: tuple, block: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if len(block) == 0 or len(own) == 0:
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "least": np.zeros(0), "most": np.zeros(0)})
+        return bounds(block, own, shared.value[key[0]], k)
+
+    scanned = stored(each.groupBy("dim", "c", "g").cogroup(asked.groupBy("dim", "c", "g")).applyInPandas(meet, "query_id long, vec_id long, least double, most double"))
+    kth = lambda df, column: df.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(column), "vec_id"))).where(F.col("r") == k).select("query_id", F.col(column).alias("bar"))
+    open_ = scanned.join(kth(scanned, "least"), "query_id", "left").where("bar IS NULL OR most >= bar").select("query_id", "vec_id", "most")
+    order = W.partitionBy("query_id").orderBy(F.desc("most"), "vec_id")
+    open_ = stored(open_.withColumn("turn", F.row_number().over(order)))
+
+    def read(pairs: DataFrame) -> DataFrame:
+        asked = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+        score = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, x: s + x)
+        return pairs.select("query_id", "vec_id").join(exact.select("vec_id", "v"), "vec_id").join(asked, "query_id").select("query_id", "vec_id", score.alias("score"))
+
+    first = stored(read(open_.where(F.col("turn") <= FIRST * k)))
+    rest = open_.where(F.col("turn") > FIRST * k).join(kth(first, "score"), "query_id").where("most >= bar")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return first.union(read(rest)).withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def brute(ids: list[int], vectors: list, k: int = 5, every: int = 50, scale: int = 256) -> list[tuple]:
