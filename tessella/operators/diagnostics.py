@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.vectors import PLACES
 from tessella.operators import cluster, prune, scoring
+from tessella.plans.lineage import cut, ranked
 
 
 def cluster_sizes(scores: DataFrame, k: int) -> DataFrame:
@@ -45,7 +46,9 @@ def summary(selected: DataFrame, k: int) -> DataFrame:
 
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
     """One row, `spearman`: the correlation of average ranks."""
-    both = scoring.percentile(scoring.percentile(rows, a, "__a"), b, "__b")
+    rows = cut(rows.select(F.col(a).alias("__x"), F.col(b).alias("__y")))
+    n = rows.count()
+    both = scoring.percentile(scoring.percentile(rows, "__x", "__a", n), "__y", "__b", n)
     return both.agg(F.round(F.corr("__a", "__b"), 6).alias("spearman"))
 
 
@@ -64,16 +67,15 @@ def jaccard(subsets: DataFrame, name: str = "name", item: str = "image_id") -> D
 
 def rarest(totals: DataFrame, key: str, total: str, fraction: float) -> DataFrame:
     """The rarest keys with a total above 0, by (total, key): the first greatest(1, round half to even (fraction * n))."""
-    kept = totals.where(F.col(total) > 0)
-    n = F.count(F.lit(1)).over(W.partitionBy())
-    at = F.row_number().over(W.orderBy(F.asc(total), F.asc(key)))
-    return kept.withColumn("rank", at.cast("long")).withColumn("cut", F.greatest(F.lit(1), F.bround(F.lit(float(fraction)) * n).cast("int"))).where("rank <= cut").drop("cut")
+    kept = cut(totals.where(F.col(total) > 0))
+    n = kept.count()
+    return ranked(kept, [F.asc(total), F.asc(key)], "rank", n).where(F.col("rank") <= max(1, round(fraction * n)))
 
 
 def coverage(subsets: DataFrame, counts: DataFrame, n_items: int, rare: DataFrame, least: int = 20) -> DataFrame:
     """Rare-concept coverage of subsets (name, image_id) over counts (image_id, proto_id, n): covered concepts, share and lift."""
     few = rare.select("proto_id")
-    kept = counts.join(F.broadcast(few), "proto_id")
+    kept = counts.join(few, "proto_id")
     total, n_rare = kept.agg(F.sum("n")).first()[0], few.count()
     sizes = subsets.groupBy("name").agg(F.count(F.lit(1)).alias("n_images"))
     each = subsets.join(kept, "image_id").groupBy("name", "proto_id").agg(F.sum("n").alias("c"))
@@ -101,6 +103,23 @@ def elbow(sweep: DataFrame) -> DataFrame:
     return gap.agg(F.min(F.when(F.col("gap").isNotNull(), F.struct((-F.col("gap")).alias("g"), "k"))).alias("m")).select(F.col("m.k").alias("elbow_k"))
 
 
+def best_k(sweep: DataFrame, score: str) -> DataFrame:
+    """One row, `best_k`: the k of the highest score that is a number, the smallest on ties; null if none is."""
+    kept = sweep.where(F.col(score).isNotNull() & ~F.isnan(score))
+    return kept.agg(F.max(F.struct(F.col(score), (-F.col("k")).alias("k"))).alias("m")).select((-F.col("m.k")).alias("best_k"))
+
+
+def counts_of(histogram: DataFrame, patches: int) -> DataFrame:
+    """(image_id, proto_id, n) of (image_id, proto_id, share): shares of an image's patches as whole counts, half to even."""
+    return histogram.select("image_id", "proto_id", F.rint(F.col("share") * patches).cast("long").alias("n"))
+
+
+def compared(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row, `spearman`: how two vocabularies' scores (image_id, score) rank the images that both hold."""
+    both = a.select("image_id", F.col("score").alias("a")).join(b.select("image_id", F.col("score").alias("b")), "image_id")
+    return spearman(both, "a", "b")
+
+
 def diagnose(rows: DataFrame, ks: Iterable[int], seeds: Iterable[int], restarts: int = 3) -> DataFrame:
     """Silhouette and inertia of fitted clusters over (k, seed): means, population deviations and the drop of inertia."""
     seeds, found = list(seeds), []

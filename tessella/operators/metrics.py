@@ -42,7 +42,7 @@ def rare_classes(counts: DataFrame, k: int) -> DataFrame:
 def boundary_f(pixels: DataFrame, ignore: int = 255, tolerance: int = 3) -> DataFrame:
     """(image_id, boundary_f) of (image_id, y, x, target, pred): mean over an image's classes of the harmonic mean of boundary precision and recall.
 
-    A class's boundary are its pixels with one of their eight neighbours of another class or off the image. Boundary pixels on
+    Every image has a row; the score of one without a scorable class is null. A class's boundary are its pixels with one of their eight neighbours of another class or off the image. Boundary pixels on
     or next to an ignored pixel do not count. A pixel is matched by one of the other side's within `tolerance`. A class
     without a target boundary is skipped, one without a predicted boundary scores 0.
     """
@@ -66,4 +66,18 @@ def boundary_f(pixels: DataFrame, ignore: int = 255, tolerance: int = 3) -> Data
     classes = pixels.where(F.col("target") != ignore).select("image_id", F.col("target").alias("c")).distinct()
     both = classes.join(matched(gt, pr, "recall"), ["image_id", "c"]).join(matched(pr, gt, "precision"), ["image_id", "c"], "left")
     f = F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0))
-    return both.groupBy("image_id").agg(F.round(F.avg(f), PLACES).alias("boundary_f"))
+    scores = both.groupBy("image_id").agg(F.round(F.avg(f), PLACES).alias("boundary_f"))
+    return pixels.select("image_id").distinct().join(scores, "image_id", "left")
+
+
+def boundary_mean(scores: DataFrame) -> DataFrame:
+    """One row, `boundary_f`: the mean over images that have a score; null if none has."""
+    return scores.agg(F.round(F.avg(F.nanvl("boundary_f", F.lit(None).cast("double"))), 6).alias("boundary_f"))
+
+
+def class_counts(pixels: DataFrame, classes: int) -> DataFrame:
+    """(class_id, n) of the valid pixels of (target): those in [0, classes), so ignored ones do not count; absent classes hold 0."""
+    valid = pixels.where((F.col("target") >= 0) & (F.col("target") < classes))
+    ids = pixels.sparkSession.range(classes).select(F.col("id").cast("int").alias("class_id"))
+    own = valid.groupBy(F.col("target").cast("int").alias("class_id")).agg(F.count(F.lit(1)).alias("n"))
+    return ids.join(own, "class_id", "left").select("class_id", F.coalesce("n", F.lit(0)).alias("n"))

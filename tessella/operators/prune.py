@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessella.plans.lineage import ranked
+from tessella.plans.lineage import cut, ranked, ranked_within
 
 KEEP = ("hard", "easy")
 
@@ -25,27 +24,28 @@ def priority(keep: str) -> list:
     return [F.desc("distance") if keep == "hard" else F.asc("distance"), F.asc("row_idx")]
 
 
-def with_quota(scores: DataFrame, budget: int, balance: float, n: int) -> DataFrame:
-    """Add each row's cluster quota: least(n_c, floor(balance * n_c * budget / n)), in doubles and in that order.
+def with_quota(rows: DataFrame, scores: DataFrame, budget: int, balance: float, n: int) -> DataFrame:
+    """Add to rows each row's cluster quota: least(n_c, floor(balance * n_c * budget / n)), in doubles and in that order.
 
     Sizes are counted with partial sums and joined back, so a cluster is never gathered for it.
     """
     size = F.col("size")
     quota = F.least(size, F.floor(F.lit(float(balance)) * size * budget / float(max(n, 1))).cast("long"))
     sizes = scores.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).withColumn("quota", quota)
-    return scores.join(sizes.select("cluster", "quota"), "cluster")
+    return rows.join(sizes.select("cluster", "quota"), "cluster")
 
 
 def select_by_score(scores: DataFrame, budget: int, keep: str = "hard", balance: float = 0.5) -> DataFrame:
     """Rows (row_idx, cluster, distance, ...) with keep_rank, quota and selected: exactly `budget` rows are selected.
 
     A cluster's quota goes to its own best; what is left goes to the best of all others. The rank inside a cluster
-    comes from the global rank, so both windows sort on one long.
+    comes from the global rank, so both windows sort on one long. The scores are written once and counted there; all ranks
+    read them from there.
     """
+    scores = cut(scores)
     n = scores.count()
     check(n, budget, keep, balance)
-    held = with_quota(ranked(scores, priority(keep), "keep_rank"), budget, balance, n)
-    own = F.row_number().over(W.partitionBy("cluster").orderBy("keep_rank")) <= F.col("quota")
-    held = held.withColumn("__own", own)
-    filled = ranked(held, [F.desc("__own"), F.asc("keep_rank")], "__fill")
+    held = with_quota(ranked(scores, priority(keep), "keep_rank", n), scores, budget, balance, n)
+    held = ranked_within(held, "cluster", "keep_rank", "__own", n).withColumn("__own", F.col("__own") <= F.col("quota"))
+    filled = ranked(held, [F.desc("__own"), F.asc("keep_rank")], "__fill", n)
     return filled.withColumn("selected", F.col("__fill") <= budget).drop("__own", "__fill")

@@ -47,6 +47,28 @@ def latest_ledger(ledger: DataFrame, key: str = "wandb_run_id", place: str = "li
     return ledger.where(F.coalesce(F.trim(key), F.lit("")) != "").withColumn("__n", last).where("__n = 1").drop("__n")
 
 
+def with_ledger(runs: DataFrame, ledger: DataFrame, columns: dict[str, str], key: str = "wandb_run_id") -> DataFrame:
+    """Runs with columns (name: ledger column) of the last ledger row of their id; null where there is none."""
+    last = latest_ledger(ledger, key).select(F.col(key).alias("id"), *[F.col(c).alias(n) for n, c in columns.items()])
+    return runs.join(last, "id", "left")
+
+
+def next_number(reports: DataFrame, pattern: str = r"Experiment (\d+)") -> DataFrame:
+    """One row, `next`: one more than the largest number that the pattern finds in the texts; 1 where it finds none."""
+    found = reports.select(F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("n"))
+    return found.agg((F.coalesce(F.max(F.col("n").cast("long")), F.lit(0)) + 1).alias("next"))
+
+
+def tumbling_mean(steps: DataFrame, every: int) -> DataFrame:
+    """(block, steps, loss) of (step, loss), steps from 1: the mean of each `every` of them."""
+    return steps.groupBy(F.floor((F.col("step") - 1) / every).alias("block")).agg(F.count(F.lit(1)).alias("steps"), r6(F.avg("loss")).alias("loss"))
+
+
+def grouped_means(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Each group's rows, and the mean and sample deviation of its values."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[e for v in values for e in mean_std(v, v)])
+
+
 def references(runs: DataFrame) -> DataFrame:
     """(family, REF_KEY..., ref_family, ref_miou): the full-data runs that a family's retention is measured by.
 
@@ -132,10 +154,10 @@ def movers(classes: DataFrame, rare: list[int], least: float = 0.02) -> DataFram
 
 
 def families(runs: DataFrame) -> DataFrame:
-    """One row a family and key: seeds, steps, images, metric means and deviations, and whether a seed repeats."""
+    """One row a family and key: seeds, steps and image counts, metric means and deviations, and whether a seed repeats."""
     listed = lambda c: F.array_join(F.array_sort(F.collect_set(F.col(c).cast("string"))), " / ")
     return runs.groupBy("family", *KEY).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list("seed")), lambda s: s.cast("string")), ",").alias("seeds"), listed("steps").alias("steps"), F.count(F.lit(1)).alias("n_runs"),
+        F.array_join(F.transform(F.array_sort(F.collect_list("seed")), lambda s: s.cast("string")), ",").alias("seeds"), listed("steps").alias("steps"), listed("n_images").alias("n_images"), F.count(F.lit(1)).alias("n_runs"),
         (F.count_distinct("seed") < F.count(F.lit(1))).alias("repeated_seed"), *mean_std("miou", "miou"), *mean_std("rare_miou", "rare"),
     )
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions.vectors import PLACES, unit
-from tessella.plans.lineage import ranked
+from tessella.plans.lineage import ONE_TASK, cut, ranked
 
 FUSIONS = ("meanrank", "minrank")
 
@@ -38,10 +38,13 @@ def mean_feature(patches: DataFrame) -> DataFrame:
     return lists.select("image_id", unit(F.transform("s", lambda e: e["x"])).alias("v"))
 
 
-def percentile(rows: DataFrame, score: str, name: str) -> DataFrame:
-    """Add the ascending rank of score over n, in (0, 1]; equal scores share their mean rank."""
-    n = rows.count()
-    placed = ranked(rows, [F.asc(score)], "__rank")
+def percentile(rows: DataFrame, score: str, name: str, n: int | None = None) -> DataFrame:
+    """Add the ascending rank of score over n, in (0, 1]; equal scores share their mean rank. n is the number of rows, if counted before."""
+    n = rows.count() if n is None else n
+    if n <= ONE_TASK:
+        ties = F.count(F.lit(1)).over(W.partitionBy(score))
+        return rows.withColumn(name, (F.rank().over(W.orderBy(F.asc(score))) + (ties - 1) / 2.0) / float(max(n, 1)))
+    placed = ranked(rows, [F.asc(score)], "__rank", n)
     mean = placed.groupBy(score).agg(F.avg("__rank").alias("__mean"))
     return placed.join(mean, score).withColumn(name, F.col("__mean") / float(max(n, 1))).drop("__rank", "__mean")
 
@@ -50,7 +53,19 @@ def fuse(rows: DataFrame, views: list[str], fusion: str = "meanrank") -> DataFra
     """Add `fused`: the mean or the least of the views' percentiles."""
     if fusion not in FUSIONS:
         raise ValueError(f"fusion must be one of {FUSIONS}, got {fusion!r}")
-    out = reduce(lambda df, v: percentile(df, v, f"p_{v}"), views, rows)
+    rows = cut(rows)
+    n = rows.count()
+    out = reduce(lambda df, v: percentile(df, v, f"p_{v}", n), views, rows)
     columns = [F.col(f"p_{v}") for v in views]
     value = reduce(lambda a, b: a + b, columns) / len(columns) if fusion == "meanrank" else (F.least(*columns) if len(columns) > 1 else columns[0])
     return out.withColumn("fused", F.round(value, PLACES))
+
+
+def running_sum(rows: DataFrame, value: str, place: str, name: str, block: int = ONE_TASK) -> DataFrame:
+    """Add the sum of value over the rows up to a row by `place`, a row number: sums inside blocks of places, and those of the blocks before."""
+    held = rows.withColumn("__block", F.floor(F.col(place) / block))
+    own = F.sum(value).over(W.partitionBy("__block").orderBy(place).rowsBetween(W.unboundedPreceding, 0))
+    before = F.coalesce(F.sum("__sum").over(W.orderBy("__at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    offsets = held.groupBy(F.col("__block").alias("__at")).agg(F.sum(value).alias("__sum")).select("__at", before.alias("__before"))
+    joined = held.withColumn("__own", own).join(offsets, F.col("__block") == F.col("__at"))
+    return joined.select(*rows.columns, (F.col("__before") + F.col("__own")).alias(name))

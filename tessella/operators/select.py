@@ -85,9 +85,10 @@ class PatchBalance:
 def random(features: dict, budget: int, seed: int, cfg: dict) -> DataFrame:
     """A seeded draw without replacement; smaller budgets are subsets of larger ones."""
     rows = features["items"]
-    prune.check(rows.count(), budget, "hard", 0.0)
+    n = rows.count()
+    prune.check(n, budget, "hard", 0.0)
     key = draw_key(seed, F.col("image_id"))
-    return ranked(rows.withColumn("__key", key), [F.asc("__key"), F.asc("image_id")], "keep_rank").withColumn("selected", F.col("keep_rank") <= budget).drop("__key")
+    return ranked(rows.withColumn("__key", key), [F.asc("__key"), F.asc("image_id")], "keep_rank", n).withColumn("selected", F.col("keep_rank") <= budget).drop("__key")
 
 
 def full(features: dict, budget: int, seed: int, cfg: dict) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tessella.plans import selection, tables
+from tessella.plans import book, reports, rules, selection
+
+MODULES = (selection, reports, rules)
 
 
 def queries() -> dict:
-    return {**selection.QUERIES, **tables.QUERIES}
+    return dict(book.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**selection.ORACLES, **tables.ORACLES}
+    return dict(book.ORACLES)

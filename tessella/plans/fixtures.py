@@ -100,7 +100,7 @@ SQL["bag"] = """bag AS (SELECT l_orderkey AS image_id, CAST(l_partkey % 16 AS IN
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey % 16, l_extendedprice / 105000.0) - 1 AS patch_idx FROM lineitem)"""
 SQL["pixels"] = SQL["given"] + """,
 pixels AS (SELECT image_id, CAST(CASE WHEN label >= 8 THEN 255 ELSE label END AS INTEGER) AS target, cluster AS pred FROM near)"""
-SQL["runs"] = """cells AS (SELECT o_orderpriority, [0.1, 0.2, 0.3, 0.5]::DOUBLE[][month(o_orderdate) % 4 + 1] AS ratio, CAST(o_orderkey % 3 AS INTEGER) AS seed,
+SQL["runs"] = """cells AS (SELECT o_orderpriority, CAST(list_extract([0.1, 0.2, 0.3, 0.5], month(o_orderdate) % 4 + 1) AS DOUBLE) AS ratio, CAST(o_orderkey % 3 AS INTEGER) AS seed,
   round(avg(o_totalprice) / 500000, 6) AS miou, round(avg(CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END) / 500000, 6) AS rare_miou, count(*) AS steps, min(o_orderkey) AS first
   FROM orders GROUP BY ALL),
 part1 AS (SELECT 'x' || lpad(first::VARCHAR, 9, '0') AS id, CASE WHEN o_orderpriority = '3-MEDIUM' THEN 'random' ELSE lower(regexp_replace(o_orderpriority, '[^A-Z]', '', 'g')) END AS method,

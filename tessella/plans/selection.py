@@ -10,25 +10,10 @@ from tessella.functions.scalars import budget, draw_key
 from tessella.functions.vectors import PLACES
 from tessella.operators import cluster, diagnostics, greedy, metrics, prune, scoring, select
 from tessella.plans import fixtures as X
+from tessella.plans.book import register
 from tessella.plans.lineage import cut, ranked
 from tessella.sources.tables import table
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(sql: str | None = None, *uses: str):
-    """Register a query under its function's name, with its SQL over the fixtures it uses."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = (f"WITH {', '.join(X.SQL[u] for u in uses)}" + (", " if sql.lstrip().lower().startswith("with ") else "\n") if uses else "") + (sql.lstrip()[5:] if uses and sql.lstrip().lower().startswith("with ") else sql)
-        return f
-
-    return add
-
-
 def pick(source: str, order: str, keep: str = "selected") -> str:
     """SQL of quota pruning at ratio 0.2 and balance 0.5 over (image_id, row_idx, cluster, distance)."""
     return f"""WITH b AS (SELECT CAST(round_even(0.2::DOUBLE * count(*), 0) AS BIGINT) AS budget, count(*) AS n FROM {source}),
@@ -39,9 +24,9 @@ f AS (SELECT o.*, row_number() OVER (ORDER BY own DESC, keep_rank) <= budget AS
 
 
 def chosen(spark: SparkSession, d: str, **cfg) -> DataFrame:
-    rows = X.emb(spark, d)
+    rows, n = X.emb(spark, d), table(spark, d, "embeddings").count()
     features = {"items": rows, "embedding": rows, "prototypes": X.given(spark, d)} | ({"patch_scores": X.patch_scores(spark, d), "cls": rows, "cls_prototypes": X.given(spark, d)} if cfg.pop("patches", False) else {})
-    return select.selector(cfg.pop("method", "prototypicality"))(features, budget(0.2, rows.count()), 0, cfg)
+    return select.selector(cfg.pop("method", "prototypicality"))(features, budget(0.2, n), 0, cfg)
 
 
 COLUMNS = ("image_id", "cluster", "distance", "keep_rank", "quota", "selected")
@@ -79,8 +64,7 @@ def select_fused_given(spark, d):
 
 @register("SELECT image_id FROM (SELECT image_id, row_number() OVER (ORDER BY md5('7:' || image_id), image_id) AS n, CAST(round_even(0.1::DOUBLE * count(*) OVER (), 0) AS BIGINT) AS b FROM emb) WHERE n <= b", "emb")
 def select_random(spark, d):
-    rows = X.emb(spark, d)
-    return select.select("random", {"items": rows}, budget(0.1, rows.count()), 7)
+    return select.select("random", {"items": X.emb(spark, d)}, budget(0.1, table(spark, d, "embeddings").count()), 7)
 
 
 @register("SELECT image_id FROM emb", "emb")
@@ -127,9 +111,9 @@ SUBSETS = """subsets AS (SELECT 'r' || CAST(ratio AS VARCHAR) || 's' || seed AS
 def subsets(spark, d) -> DataFrame:
     """Nested random draws of three seeds and ratios: the sweep grid of literals times the items."""
     rows = X.emb(spark, d).select("image_id")
-    n, out = rows.count(), None
+    n, out = table(spark, d, "embeddings").count(), None
     for seed in range(3):
-        order = ranked(rows.withColumn("k", draw_key(seed, F.col("image_id"))), [F.asc("k"), F.asc("image_id")], "n")
+        order = ranked(rows.withColumn("k", draw_key(seed, F.col("image_id"))), [F.asc("k"), F.asc("image_id")], "n", n)
         for ratio in (0.1, 0.2, 0.3):
             one = order.where(F.col("n") <= budget(ratio, n)).select(F.lit(f"r{ratio}s{seed}").alias("name"), "image_id")
             out = one if out is None else out.unionByName(one)
@@ -271,8 +255,7 @@ def prototypical_ends(spark, d):
 SELECT CAST(i AS INTEGER) AS draw, min(image_id) AS image_id FROM (SELECT u.i, c.image_id, c.row_idx, row_number() OVER (PARTITION BY u.i ORDER BY c.row_idx) AS n FROM c JOIN u ON c.cum >= u.u) WHERE n = 1 GROUP BY i""", "given")
 def weighted_draw(spark, d):
     """Draws by cumulative weight at fixed points: the first row whose running sum reaches the point."""
-    rows = cluster.assigned(X.emb(spark, d), X.given(spark, d))
-    cum = cut(rows.select("image_id", "row_idx", F.round(F.sum("distance").over(W.orderBy("row_idx").rowsBetween(W.unboundedPreceding, 0)), PLACES).alias("cum")))
+    cum = cut(scoring.running_sum(cluster.assigned(X.emb(spark, d), X.given(spark, d)), "distance", "row_idx", "cum").select("image_id", "row_idx", F.round("cum", PLACES).alias("cum")))
     points = cum.agg(F.max("cum").alias("m")).select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.struct(i.alias("draw"), F.round(F.col("m") * (2 * i + 1) / 20.0, PLACES).alias("u")))).alias("p")).select("p.*")
     return cum.join(F.broadcast(points), F.col("cum") >= F.col("u")).groupBy("draw").agg(F.min(F.struct("row_idx", "image_id")).alias("m")).select("draw", "m.image_id")
 
@@ -326,13 +309,13 @@ def select_patch_balance(spark, d):
 
 @register()
 def cluster_diagnostics(spark, d):
-    return diagnostics.diagnose(X.emb(spark, d).persist(), (4, 8), (0,), 1)
+    return diagnostics.diagnose(cut(X.emb(spark, d)), (2, 4, 6, 8), (0, 1), 3)
 
 
 @register()
 def k_stability(spark, d):
-    rows = X.emb(spark, d).persist()
-    return diagnostics.stability(rows, (5,), (0, 1), budget(0.2, rows.count()), 10, 1)
+    rows = cut(X.emb(spark, d))
+    return diagnostics.stability(rows, (5, 8), (0, 1), budget(0.2, rows.count()), 10, 3)
 
 
 @register()
@@ -349,8 +332,9 @@ mk AS (SELECT c.image_id, c.y, c.x, c.target, c.pred, bool_or(n.target IS NULL O
 ok AS (SELECT * FROM mk WHERE target <> 255 AND NOT void),
 gt AS (SELECT image_id, y, x, target AS c FROM ok WHERE te), pr AS (SELECT image_id, y, x, pred AS c FROM ok WHERE pe),
 re AS (SELECT image_id, c, avg(CASE WHEN EXISTS (SELECT 1 FROM pr WHERE pr.image_id = gt.image_id AND pr.c = gt.c AND (pr.y - gt.y) ** 2 + (pr.x - gt.x) ** 2 <= 9) THEN 1.0 ELSE 0.0 END) AS r FROM gt GROUP BY image_id, c),
-pp AS (SELECT image_id, c, avg(CASE WHEN EXISTS (SELECT 1 FROM gt WHERE pr.image_id = gt.image_id AND pr.c = gt.c AND (pr.y - gt.y) ** 2 + (pr.x - gt.x) ** 2 <= 9) THEN 1.0 ELSE 0.0 END) AS p FROM pr GROUP BY image_id, c)
-SELECT image_id, round(avg(CASE WHEN coalesce(p, 0) + r = 0 OR p IS NULL THEN 0.0 ELSE 2 * p * r / (p + r) END), 9) AS boundary_f FROM re LEFT JOIN pp USING (image_id, c) GROUP BY image_id""")
+pp AS (SELECT image_id, c, avg(CASE WHEN EXISTS (SELECT 1 FROM gt WHERE pr.image_id = gt.image_id AND pr.c = gt.c AND (pr.y - gt.y) ** 2 + (pr.x - gt.x) ** 2 <= 9) THEN 1.0 ELSE 0.0 END) AS p FROM pr GROUP BY image_id, c),
+sc AS (SELECT image_id, round(avg(CASE WHEN coalesce(p, 0) + r = 0 OR p IS NULL THEN 0.0 ELSE 2 * p * r / (p + r) END), 9) AS boundary_f FROM re LEFT JOIN pp USING (image_id, c) GROUP BY image_id)
+SELECT image_id, boundary_f FROM (SELECT DISTINCT image_id FROM px) LEFT JOIN sc USING (image_id)""")
 def boundary_f(spark, d):
     g = table(spark, d, "lineitem").groupBy((F.col("l_orderkey") % 40).alias("image_id"), (F.col("l_linenumber") % 7).alias("y"), (F.col("l_suppkey") % 9).alias("x")).agg(F.min("l_partkey").alias("p"), F.max("l_partkey").alias("q"))
     third = lambda e: F.floor(e / 4).cast("int")

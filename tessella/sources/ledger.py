@@ -44,8 +44,12 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A ledger kept as CSV; blank cells are null."""
-    return spark.read.schema(", ".join(f"{n} {k}" for n, k in LEDGER.items())).csv(path, header=True, nullValue="", escape='"')
+    """A ledger kept as CSV, with `line`, the place of a row in the file; blank cells are null.
+
+    Places come from the file's offsets, so they hold for one file, as append-only ledgers are.
+    """
+    rows = spark.read.schema(", ".join(f"{n} {k}" for n, k in LEDGER.items())).csv(path, header=True, nullValue="", escape='"')
+    return rows.withColumn("line", F.monotonically_increasing_id())
 
 
 def subsets(spark: SparkSession, paths: str | list[str]) -> DataFrame:
