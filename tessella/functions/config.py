@@ -9,8 +9,14 @@ from collections.abc import Iterable
 from copy import deepcopy
 from pathlib import Path
 
+try:
+    import yaml
+except ModuleNotFoundError:
+    yaml = None
+
 GROUPS = ("dataset", "selection", "features")
 EMBEDDING = {"backbone": "dinov2_vitb14", "method": "patch_mean"}
+#: The settings of the known selections, which their subsets' names hold.
 VOCABULARY = {"K": 256, "n_sample": 200, "seed": 0}
 TAILS = {"backbone": "dinov2_vitb14", "method": "patch_dist", "params": VOCABULARY}
 PRESETS: dict[str, dict] = {
@@ -18,6 +24,8 @@ PRESETS: dict[str, dict] = {
     "full": {"method": "full"},
     "prototypicality-hard": {"method": "prototypicality", "name": "auto", "embedding": {"backbone": "dinov2_vitb14", "method": "cls"}},
     "prototypicality-easy": {"method": "prototypicality", "name": "auto", "keep": "easy", "embedding": {"backbone": "dinov2_vitb14", "method": "cls"}},
+    "prototypicality-hard-nobal": {"method": "prototypicality", "name": "auto", "balance": 0.0, "embedding": {"backbone": "dinov2_vitb14", "method": "cls"}},
+    "prototypicality-easy-nobal": {"method": "prototypicality", "name": "auto", "keep": "easy", "balance": 0.0, "embedding": {"backbone": "dinov2_vitb14", "method": "cls"}},
     "prototypicality-hard-patchmean": {"method": "prototypicality", "name": "auto", "embedding": EMBEDDING},
     "prototypicality-hard-patchtail": {"method": "prototypicality", "name": "auto", "k": 50, "score": "patch_tail", "embedding": EMBEDDING, "patch_scores": TAILS},
     "prototypicality-hard-tailfeature": {"method": "prototypicality", "name": "auto", "k": 50, "score": "patch_tail", "embedding": {"backbone": "dinov2_vitb14", "method": "tail_feature", "params": VOCABULARY | {"tail_pct": 5}}, "patch_scores": TAILS},
@@ -85,10 +93,30 @@ def compose(experiment: dict | None = None, overrides: Iterable[str] = (), fragm
     return environment(merge(cfg, dotted(overrides)))
 
 
+def is_yaml(path: str | Path) -> bool:
+    """Whether a file is YAML by its name; that needs the yaml package."""
+    if Path(path).suffix not in (".yaml", ".yml"):
+        return False
+    if yaml is None:
+        raise RuntimeError(f"{path}: reading and writing YAML needs the yaml package; JSON does not")
+    return True
+
+
 def save(cfg: dict, path: str | Path) -> None:
+    """A resolved configuration as YAML or JSON, by the file's name."""
     Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(cfg, indent=2, sort_keys=True))
+    Path(path).write_text(yaml.safe_dump(cfg, sort_keys=False) if is_yaml(path) else json.dumps(cfg, indent=2, sort_keys=True))
 
 
 def load(path: str | Path) -> dict:
-    return json.loads(Path(path).read_text())
+    text = Path(path).read_text()
+    return (yaml.safe_load(text) if is_yaml(path) else json.loads(text)) or {}
+
+
+def fragments(folder: str | Path) -> dict[str, dict[str, dict]]:
+    """Named fragments of a folder of groups: GROUP/NAME.yaml or .json, for compose()."""
+    files = sorted(p for p in Path(folder).glob("*/*") if p.suffix in (".yaml", ".yml", ".json"))
+    out: dict[str, dict[str, dict]] = {}
+    for file in files:
+        out.setdefault(file.parent.name, {})[file.stem] = load(file)
+    return out
