@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 TOP = 512
@@ -23,6 +24,14 @@ def prototype_mass(patches: DataFrame, gamma: float) -> DataFrame:
     return patches.crossJoin(F.broadcast(mean)).groupBy("image_id", "proto_id").agg(F.sum(weight).alias("mass"))
 
 
+def balance_summary(mass: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(part, entropy, covered) of the pool and of the subset chosen (image_id): entropy of the prototypes' masses, natural log, and prototypes with mass."""
+    own = mass.join(chosen.select("image_id").distinct(), "image_id", "left_semi").select("proto_id", "mass", F.lit("subset").alias("part"))
+    sums = mass.select("proto_id", "mass", F.lit("pool").alias("part")).unionByName(own).groupBy("part", "proto_id").agg(F.sum("mass").alias("m"))
+    p = F.col("m") / F.sum("m").over(W.partitionBy("part"))
+    return sums.select("part", "m", p.alias("p")).where("m > 0").groupBy("part").agg(F.round(-F.sum(F.col("p") * F.ln("p")), 6).alias("entropy"), F.count(F.lit(1)).alias("covered"))
+
+
 def packed(mass: DataFrame, order: DataFrame) -> DataFrame:
     """(row_idx, protos, masses) of each row of order (image_id, row_idx)."""
     lists = mass.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("proto_id", "mass"))).alias("m"))

@@ -191,10 +191,7 @@ SELECT 'pool' AS part, {ENTROPY} AS entropy, count(*) FILTER (m > 0) AS covered
 UNION ALL SELECT 'subset', {ENTROPY}, count(*) FILTER (m > 0) FROM (SELECT coalesce(sub, 0) AS m, sum(sub) OVER () AS t FROM p)""", "bag")
 def prototype_entropy(spark, d):
     mass = greedy.prototype_mass(X.bag(spark, d), 1.0)
-    parts = F.explode(F.when(F.col("image_id") % 5 == 0, F.array(F.lit("pool"), F.lit("subset"))).otherwise(F.array(F.lit("pool")))).alias("part")
-    sums = mass.select("proto_id", "mass", parts).groupBy("part", "proto_id").agg(F.sum("mass").alias("m"))
-    p = F.col("m") / F.sum("m").over(W.partitionBy("part"))
-    return sums.select("part", "m", p.alias("p")).where("m > 0").groupBy("part").agg(F.round(-F.sum(F.col("p") * F.ln("p")), 6).alias("entropy"), F.count(F.lit(1)).alias("covered"))
+    return greedy.balance_summary(mass, mass.where(F.col("image_id") % 5 == 0))
 
 
 @register("""WITH t AS (SELECT proto_id, sum(n) AS n FROM (SELECT proto_id, count(*) AS n FROM bag GROUP BY proto_id) GROUP BY proto_id)

@@ -122,6 +122,15 @@ def features(spark: SparkSession, path: str, ids: DataFrame, cfg: dict) -> dict[
     return out
 
 
+def labelled_patches(spark: SparkSession, path: str, ids: DataFrame, cfg: dict) -> DataFrame:
+    """(image_id, proto_id, distance) of a config whose embedding holds patch labels and whose patch_scores hold their distances, place by place."""
+    labels, distances = (load(spark, path, ids, EmbeddingSpec.of(cfg[block])).select("image_id", F.col("embedding").alias(name)) for block, name in (("embedding", "l"), ("patch_scores", "d")))
+    both = labels.join(distances, "image_id").select("image_id", F.when(F.size("l") == F.size("d"), F.arrays_zip("l", "d")).otherwise(F.raise_error(F.lit("labels and distances of an image differ in number"))).alias("p"))
+    each = both.select("image_id", F.explode("p").alias("p"))
+    label = F.when(F.rint("p.l") == F.col("p.l"), F.col("p.l").cast("int")).otherwise(F.raise_error(F.lit("a patch label is not a whole number")))
+    return each.select("image_id", label.alias("proto_id"), F.col("p.d").cast("double").alias("distance"))
+
+
 def matrix_dim(table: DataFrame) -> int:
     """The one length of all vectors; several are an error."""
     sizes = [r[0] for r in table.select(F.size("embedding")).distinct().limit(2).collect()]
