@@ -16,6 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.llm import kernels as K
 
@@ -199,6 +200,12 @@ def predict(docs: DataFrame, model: Model, switch: float = SWITCH, spans: bool =
     language as (start word, end word, lang). Ties go to the first language in name order. Repeated rows are judged
     alike; lang, source and the id are not read. One pass without a shuffle; very long texts cost time in proportion.
     """
+    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double" + ", spans array<struct<start:int,end:int,lang:string>>" * spans
+    return docs.select(id_col, "text").mapInArrow(labeller(docs, model, switch, [0], 1, spans, [id_col, "lang_pred", "score"]), schema)
+
+
+def labeller(docs: DataFrame, model: Model, switch: float, kept: list[int], text: int, spans: bool, names: list[str]):
+    """A function over record batches: the kept columns, the label and score of the text column, and spans if wanted, under names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])
 
@@ -206,8 +213,8 @@ def predict(docs: DataFrame, model: Model, switch: float = SWITCH, spans: bool =
         model = shared.value
         n = len(model.languages)
         for batch in batches:
-            for lo, hi in K.slices(batch.column(1)):
-                column = batch.column(1)[lo:hi]
+            for lo, hi in K.slices(batch.column(text)):
+                column = batch.column(text)[lo:hi]
                 g = grams(column)
                 first = g.words.first
                 path = viterbi(word_scores(g, model), first, switch) if n else np.zeros(len(g.words.start), np.int8)
@@ -215,9 +222,9 @@ def predict(docs: DataFrame, model: Model, switch: float = SWITCH, spans: bool =
                 np.add.at(share, (g.words.row, path), g.letters)
                 label, total = share.argmax(axis=1), share.sum(axis=1)
                 has = [n > 0 and t is not None and LETTER(t) is not None for t in column.to_pylist()]
-                names = [model.languages[label[r]] if has[r] else "und" for r in range(hi - lo)]
+                labels = [model.languages[label[r]] if has[r] else "und" for r in range(hi - lo)]
                 score = [float(share[r, label[r]] / total[r]) if has[r] and total[r] else 0.0 for r in range(hi - lo)]
-                columns = [batch.column(0)[lo:hi], pa.array(names, pa.string()), pa.array(score, pa.float64())]
+                columns = [*(batch.column(i)[lo:hi] for i in kept), pa.array(labels, pa.string()), pa.array(score, pa.float64())]
                 if spans:
                     runs = []
                     for r in range(hi - lo):
@@ -225,16 +232,21 @@ def predict(docs: DataFrame, model: Model, switch: float = SWITCH, spans: bool =
                         edges = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)] if len(own) and n else []
                         runs.append([{"start": a, "end": b, "lang": model.languages[own[a]]} for a, b in zip(edges, edges[1:], strict=False)])
                     columns.append(pa.array(runs, pa.list_(kind)))
-                yield pa.RecordBatch.from_arrays(columns, [id_col, "lang_pred", "score", *["spans"] * spans])
+                yield pa.RecordBatch.from_arrays(columns, [*names, *["spans"] * spans])
 
-    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double" + ", spans array<struct<start:int,end:int,lang:string>>" * spans
-    return docs.select(id_col, "text").mapInArrow(run, schema)
+    return run
 
 
 def accept(docs: DataFrame, model: Model, least: float = LEAST, switch: float = SWITCH) -> DataFrame:
-    """The documents, with all their columns, whose language is known: not `und`, and one language holds `least` of the letters."""
-    known = predict(docs.withColumn("__row", F.struct(*docs.columns)), model, switch, id_col="__row")
-    return known.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("__row.*")
+    """The documents, with all their columns, whose language is known: not `und`, and one language holds `least` of the letters.
+
+    Rows pass through the labeller once. Null and empty texts are `und`, so they go; repeated rows are judged alike; a null id or
+    lang changes nothing. Columns may have any name but `__lang` and `__score`.
+    """
+    names = [*docs.columns, "__lang", "__score"]
+    schema = T.StructType([*docs.schema.fields, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())])
+    known = docs.mapInArrow(labeller(docs, model, switch, list(range(len(docs.columns))), docs.columns.index("text"), False, names), schema)
+    return known.where((F.col("__lang") != "und") & (F.col("__score") >= least)).select(*docs.columns)
 
 
 def identify(docs: DataFrame, limit: int = SAMPLE) -> DataFrame:
