@@ -6,11 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessella.plans.lineage import cut
+
 TOP = 512
+#: Picked rows that a pass is told of; beyond it they leave the table.
+TOLD = 8192
 
 
 def prototype_mass(patches: DataFrame, gamma: float) -> DataFrame:
@@ -38,12 +42,16 @@ def packed(mass: DataFrame, order: DataFrame) -> DataFrame:
     return order.join(lists, "image_id", "left").select("row_idx", F.coalesce(F.transform("m", lambda e: e["proto_id"].cast("int")), F.array().cast("array<int>")).alias("protos"), F.coalesce(F.transform("m", lambda e: e["mass"]), F.array().cast("array<double>")).alias("masses"))
 
 
+def context_rows(spark: SparkSession, ids: set[int]) -> DataFrame:
+    return spark.createDataFrame([(int(i),) for i in ids], "row_idx long")
+
+
 def greedy(rows: DataFrame, budget: int, alpha: float, k: int, top: int = TOP) -> list[int]:
     """row_idx in pick order, maximising the summed covered mass to the power alpha; the first row on ties.
 
     Gains only shrink as rows are picked. A pass returns the `top` rows of the largest gain and the next gain as a bound; the driver
-    picks from them while a pick's gain is above the bound, then the next pass starts. At most `top` rows a pass
-    and k numbers of cover are on the driver, however many rows there are.
+    picks from them while a pick's gain is above the bound, then the next pass starts. On the driver are at most `top` rows a pass,
+    k numbers of cover and the row numbers picked. Passes are told of at most TOLD picked rows; then those leave the table, which is written anew.
     """
     if not 0.0 < alpha <= 1.0:
         raise ValueError(f"alpha must be in (0, 1], got {alpha}")
@@ -58,6 +66,11 @@ def greedy(rows: DataFrame, budget: int, alpha: float, k: int, top: int = TOP) -
         return float(round(((here + masses) ** alpha - here**alpha).sum(), 9))
 
     while len(order) < budget:
+        if len(taken) > TOLD:
+            gone = context_rows(rows.sparkSession, taken)
+            held, rows = rows, cut(rows.join(F.broadcast(gone), "row_idx", "left_anti"))
+            held.unpersist()
+            taken = set()
         shared = context.broadcast((covered, taken))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

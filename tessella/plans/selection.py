@@ -315,10 +315,25 @@ def k_stability(spark, d):
     return diagnostics.stability(rows, (5, 8), (0, 1), budget(0.2, rows.count()), 10, 3)
 
 
-@register()
+def tail_sql(q: float) -> str:
+    m = f"CAST(ceil({q}::DOUBLE * len(t.distances)) AS INTEGER)"
+    return f"round(list_sum(list_sort(t.distances, 'DESC')[1:{m}]) / {m}, 9)"
+
+
+TAIL_QS = (0.2, 1.0)
+CHECKS = "WITH s AS (SELECT n.image_id, n.row_idx, n.cluster, n.distance AS t, " + ", ".join(f"{tail_sql(q)} AS t{i}" for i, q in enumerate(TAIL_QS)) + " FROM near n JOIN tails t USING (image_id)), " + ", ".join(
+    f"d{c} AS (SELECT image_id, row_idx, cluster, {c} AS distance FROM s), p{c} AS ({pick(f'd{c}', 'distance DESC, row_idx')} SELECT image_id FROM f WHERE selected), k{c} AS (SELECT image_id, rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS r FROM s)"
+    for c in ("t", *(f"t{i}" for i in range(len(TAIL_QS))))
+) + " " + " UNION ALL ".join(
+    f"SELECT {q}::DOUBLE AS q, 0.2::DOUBLE AS ratio, (SELECT round(corr(a.r, b.r), 6) FROM kt a JOIN kt{i} b USING (image_id)) AS spearman_tail_vs_centroid, (SELECT CAST(count(*) AS DOUBLE) / (2 * (SELECT count(*) FROM pt) - count(*)) FROM pt JOIN pt{i} USING (image_id)) AS jaccard_vs_centroid_subset"
+    for i, q in enumerate(TAIL_QS)
+)
+
+
+@register(CHECKS, "both")
 def patch_tail_checks(spark, d):
     scores = cluster.assigned(X.emb(spark, d), X.given(spark, d)).select("image_id", "row_idx", "cluster", "distance")
-    return diagnostics.tail_checks(cut(scores), cut(X.patch_scores(spark, d)), (0.2, 1.0), (0.2,))
+    return diagnostics.tail_checks(cut(scores), cut(X.patch_scores(spark, d)), TAIL_QS, (0.2,))
 
 
 @register("""WITH g AS (SELECT l_orderkey % 40 AS image_id, l_linenumber % 7 AS y, l_suppkey % 9 AS x, min(l_partkey) AS p, max(l_partkey) AS q FROM lineitem GROUP BY ALL),

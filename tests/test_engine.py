@@ -134,7 +134,8 @@ def test_kmeans_rests_where_numpy_does(spark):
     assert cluster.silhouette(scored.select("v", "cluster")) == pytest.approx(np.mean(s))
 
 
-def test_greedy_coverage_equals_numpy(spark):
+def test_greedy_coverage_equals_numpy(spark, monkeypatch):
+    monkeypatch.setattr(greedy, "TOLD", 4)
     rng = np.random.default_rng(6)
     m = np.where(rng.random((40, 5)) < 0.5, rng.random((40, 5)).round(3), 0.0)
     rows = spark.createDataFrame([(i, [int(j) for j in np.flatnonzero(r)], [float(x) for x in r[r > 0]]) for i, r in enumerate(m)], "row_idx long, protos array<int>, masses array<double>")
