@@ -25,21 +25,26 @@ from pyspark.sql import functions as F
 from tessella.llm import kernels as K
 from tessella.llm.frames import bounded, components, cut, stored
 
-HEAVY_SHARE = 0.0005
-HEAVY_ROWS = 100_000
+HEAVY_SHARE = 0.0001
+HEAVY_ROWS = 200_000
 HEAVY_BATCH = 1 << 22
 #: Turns after the first; in the last one all pairs of a token meet that are still apart.
-ROUNDS = 1
+ROUNDS = 2
+#: In turns between, tokens of MANY classes have so many leaders.
+LEADERS, MANY = 8, 64
 SKETCH = 8
 _ORDERS = (K.U64(0xD6E8FEB86659FD93), K.U64(0xA0761D6478BD642F))
 
 
 def heavy_tokens(docs: DataFrame, k: int, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles, sorted, and their ranks by count. They only order tokens, so that a bound on them loses nothing."""
+    """Frequent shingles, sorted, and their ranks by count: those of HEAVY_SHARE of the texts, by counts of parts of the table that leave out rare ones.
+
+    They only order tokens, so that neither the bound on them nor an undercount loses anything. At most HEAVY_ROWS reach the driver.
+    """
 
     def often(sets: list[np.ndarray], texts: int) -> pa.RecordBatch:
         token, n = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
-        kept = n >= max(4, HEAVY_SHARE * texts)
+        kept = n >= max(3, HEAVY_SHARE * texts)
         return pa.RecordBatch.from_arrays([pa.array(np.append(token[kept].view(np.int64), 0)), pa.array(np.append(n[kept], 0)), pa.array(np.append(np.zeros(kept.sum(), np.int64), texts))], ["token", "n", "rows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,7 +62,7 @@ def heavy_tokens(docs: DataFrame, k: int, text_col: str) -> tuple[np.ndarray, np
     found = docs.select(text_col).mapInArrow(run, "token long, n long, rows long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))
     found = cut(found)
     total = found.agg(F.sum("rows")).first()[0] or 0
-    rows = found.where(F.col("n") >= max(16, HEAVY_SHARE * total)).orderBy(F.desc("n"), "token").limit(HEAVY_ROWS).select("token").collect()
+    rows = found.where(F.col("n") >= max(12, HEAVY_SHARE * total)).orderBy(F.desc("n"), "token").limit(HEAVY_ROWS).select("token").collect()
     tokens = np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64)
     order = np.argsort(tokens)
     return tokens[order], (len(tokens) - np.arange(len(tokens)))[order]
@@ -206,18 +211,20 @@ def group(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id"
     for turn in range(1, ROUNDS + 1):
         held = tokens.select("token", "id", "n").join(bounded(named), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
         if turn < ROUNDS:
-            leader = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "comp")).alias("leader")
-            mixed = held.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), leader).where("lo < hi").select("token", "leader")
+            each = [F.min(F.struct(F.xxhash64("id", F.lit(turn * LEADERS + i)).alias("h"), "id", "n", "comp")) for i in range(LEADERS)]
+            leaders = F.slice(F.array(*each), 1, F.when(F.count(F.lit(1)) < MANY, 1).otherwise(LEADERS)).alias("leaders")
+            mixed = held.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), leaders).where("lo < hi").select("token", F.explode("leaders").alias("leader"))
         else:
             sizes = held.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("rows"))
             mixed = sizes.groupBy("token").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("rows", "comp")).getField("comp").alias("largest")).where("comps > 1").select("token", "largest")
         mixed = stored(mixed)
         if mixed.isEmpty():
             break
-        tokens = stored(held.join(bounded(mixed), "token"))
         if turn < ROUNDS:
-            apart = tokens.where("comp <> leader.comp").where(sized(percent, "n", "leader.n")).select("id", F.col("leader.id").alias("other"))
+            led = held.join(bounded(mixed), "token")
+            apart = led.where("comp <> leader.comp").where(sized(percent, "n", "leader.n")).select("id", F.col("leader.id").alias("other"))
         else:
+            tokens = held.join(bounded(mixed), "token")
             each = stored(tokens.join(facts.select("id", "sketch"), "id").select("token", "id", "n", "sketch", "comp", (F.col("comp") != F.col("largest")).alias("minor")))
             one = each.where("minor").select("token", *[F.col(c).alias(f"a_{c}") for c in ("id", "n", "sketch", "comp")])
             two = each.select(F.col("token").alias("token2"), *[F.col(c).alias(f"b_{c}") for c in ("id", "n", "sketch", "comp")], "minor")
