@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.llm import kernels as K
+from tessella.llm.frames import stored
 
 ANCHOR = 6
 LEAST = 20
@@ -107,11 +108,12 @@ def removals(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_c
 
     first_doc_id is the least document that keeps a part of the run; it can be the document itself. Null and empty texts have no
     units; rows with a null id are ignored. Rows repeated under one id are ranked as one document, so none of them is
-    the other's repeat. Only digests and places are moved, never text; hot digests are counted before they meet.
+    the other's repeat. Only digests and places are moved, never text. Digests are counted before they move; the repeated ones are
+    written and meet the places in a join of two plain shuffles, whose hot digests adaptive execution splits.
     """
     placed = units(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
     firsts = placed.groupBy("digest").agg(F.min(F.struct("doc_id", "unit")).alias("first"), F.max(F.struct("doc_id", "unit")).alias("last")).where("first <> last").select("digest", "first")
-    again = placed.join(firsts, "digest").where("doc_id <> first.doc_id OR unit <> first.unit").select("doc_id", "unit", "held", "start", "end", "n_words", "weight", F.col("first.doc_id").alias("first_doc_id"))
+    again = placed.join(stored(firsts), "digest").where("doc_id <> first.doc_id OR unit <> first.unit").select("doc_id", "unit", "held", "start", "end", "n_words", "weight", F.col("first.doc_id").alias("first_doc_id"))
     each = again.withColumn("unit", F.explode(F.sequence("unit", F.col("unit") + F.greatest("held", F.lit(1)) - 1)))
     own = [F.min(F.when(F.col("held") == 0, F.col(c))).alias(c) for c in ("start", "end", "n_words", "weight")]
     each = each.groupBy("doc_id", "unit").agg(*own, F.min("first_doc_id").alias("first_doc_id"), (F.max("held") > 0).alias("whole")).where("start IS NOT NULL")
