@@ -103,6 +103,19 @@ def elbow(sweep: DataFrame) -> DataFrame:
     return gap.agg(F.min(F.when(F.col("gap").isNotNull(), F.struct((-F.col("gap")).alias("g"), "k"))).alias("m")).select(F.col("m.k").alias("elbow_k"))
 
 
+def vocabulary_health(patches: DataFrame, k: int, tiny: float = 0.1) -> DataFrame:
+    """One row of (proto_id, distance) patches: least, median and largest prototype, those under `tiny` of the mean size, and the mean distance."""
+    sizes = cluster_sizes(patches.withColumnRenamed("proto_id", "cluster"), k).withColumn("mean", F.avg("size").over(W.partitionBy()))  # k rows
+    out = sizes.agg(F.min("size").alias("min_size"), F.percentile("size", F.lit(0.5)).alias("median_size"), F.max("size").alias("max_size"), F.count_if(F.col("size") < tiny * F.col("mean")).alias("n_tiny"))
+    return out.crossJoin(F.broadcast(patches.agg(F.round(F.avg("distance"), 6).alias("mean_distance"))))
+
+
+def ends(rows: DataFrame, n: int) -> DataFrame:
+    """(side, ...) of the n rows of least distance (most prototypical) and the n of largest; ties by image_id."""
+    most, least = rows.orderBy("distance", "image_id").limit(n), rows.orderBy(F.desc("distance"), "image_id").limit(n)
+    return most.select(F.lit("most").alias("side"), "*").unionByName(least.select(F.lit("least").alias("side"), "*"))
+
+
 def best_k(sweep: DataFrame, score: str) -> DataFrame:
     """One row, `best_k`: the k of the highest score that is a number, the smallest on ties; null if none is."""
     kept = sweep.where(F.col(score).isNotNull() & ~F.isnan(score))

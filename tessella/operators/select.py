@@ -91,6 +91,11 @@ def random(features: dict, budget: int, seed: int, cfg: dict) -> DataFrame:
     return ranked(rows.withColumn("__key", key), [F.asc("__key"), F.asc("image_id")], "keep_rank", n).withColumn("selected", F.col("keep_rank") <= budget).drop("__key")
 
 
+def subsample(rows: DataFrame, most: int | None, seed: int = 0) -> DataFrame:
+    """At most `most` rows by the seeded draw's order, all if it is None."""
+    return rows if most is None else rows.orderBy(draw_key(seed, F.col("image_id")), "image_id").limit(most)
+
+
 def full(features: dict, budget: int, seed: int, cfg: dict) -> DataFrame:
     return features["items"].withColumn("selected", F.lit(True))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.scalars import budget, draw_key
 from tessella.functions.vectors import PLACES
-from tessella.operators import cluster, diagnostics, greedy, metrics, prune, scoring, select
+from tessella.operators import cluster, derive, diagnostics, greedy, metrics, prune, scoring, select
 from tessella.plans import fixtures as X
 from tessella.plans.book import register
 from tessella.plans.lineage import cut, ranked
@@ -171,10 +171,7 @@ def tail_feature(spark, d):
 @register("""WITH s AS (SELECT i AS proto_id, count(p.image_id) AS n FROM range(10) t(i) LEFT JOIN pnear p ON p.proto_id = i GROUP BY i)
 SELECT min(n) AS min_size, CAST(quantile_cont(n, 0.5) AS DOUBLE) AS median_size, max(n) AS max_size, count(*) FILTER (n < 0.1 * (SELECT avg(n) FROM s)) AS n_tiny, (SELECT round(avg(distance), 6) FROM pnear) AS mean_distance FROM s""", "patches")
 def vocabulary_health(spark, d):
-    rows = X.assigned_patches(spark, d)
-    sizes = diagnostics.cluster_sizes(rows.withColumnRenamed("proto_id", "cluster"), 10).withColumn("mean", F.avg("size").over(W.partitionBy()))
-    out = sizes.agg(F.min("size").alias("min_size"), F.percentile("size", F.lit(0.5)).alias("median_size"), F.max("size").alias("max_size"), F.count_if(F.col("size") < 0.1 * F.col("mean")).alias("n_tiny"))
-    return out.crossJoin(F.broadcast(rows.agg(F.round(F.avg("distance"), 6).alias("mean_distance"))))
+    return diagnostics.vocabulary_health(X.assigned_patches(spark, d), 10)
 
 
 @register("SELECT image_id, proto_id, round(sum(pow(distance / (SELECT avg(distance) FROM bag), 1.5)), 6) AS mass FROM bag GROUP BY image_id, proto_id", "bag")
@@ -243,9 +240,7 @@ def rare_classes(spark, d):
 @register("""WITH r AS (SELECT image_id, distance, row_number() OVER (ORDER BY distance, image_id) AS lo, row_number() OVER (ORDER BY distance DESC, image_id) AS hi FROM near)
 SELECT 'most' AS side, image_id, distance FROM r WHERE lo <= 5 UNION ALL SELECT 'least', image_id, distance FROM r WHERE hi <= 5""", "given")
 def prototypical_ends(spark, d):
-    rows = cluster.assigned(X.emb(spark, d), X.given(spark, d)).select("image_id", "distance")
-    most, least = rows.orderBy("distance", "image_id").limit(5), rows.orderBy(F.desc("distance"), "image_id").limit(5)
-    return most.select(F.lit("most").alias("side"), "*").unionByName(least.select(F.lit("least").alias("side"), "*"))
+    return diagnostics.ends(cluster.assigned(X.emb(spark, d), X.given(spark, d)).select("image_id", "distance"), 5)
 
 
 @register("""WITH c AS (SELECT image_id, row_idx, round(sum(distance) OVER (ORDER BY row_idx ROWS UNBOUNDED PRECEDING), 9) AS cum FROM near), u AS (SELECT i, round(max(cum) * (2 * i + 1) / 20.0, 9) AS u FROM c, range(10) t(i) GROUP BY i)
@@ -259,8 +254,7 @@ def weighted_draw(spark, d):
 
 @register("SELECT image_id, patch_idx FROM patches QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY md5('3:' || image_id || ':' || patch_idx), patch_idx) <= 5", "patches")
 def patch_sample(spark, d):
-    key = F.md5(F.concat(F.lit("3:"), F.col("image_id").cast("string"), F.lit(":"), F.col("patch_idx").cast("string")))
-    return X.patches(spark, d).withColumn("n", F.row_number().over(W.partitionBy("image_id").orderBy(key, "patch_idx"))).where("n <= 5").select("image_id", "patch_idx")
+    return derive.sampled(X.patches(spark, d), 5, 3).select("image_id", "patch_idx")
 
 
 SWEEP = "sweep AS (SELECT CAST(k AS INTEGER) AS k, round(1000.0 / (k + 1) + k, 6) AS inertia FROM (SELECT unnest([2, 3, 5, 8, 13, 21, 34]) AS k))"

@@ -149,6 +149,11 @@ def save_vectors(rows: DataFrame, path: str, mode: str = "append") -> None:
     rows.write.mode(mode).parquet(path)
 
 
+def features_of(spark: SparkSession, path: str, image_ids: list[str]) -> DataFrame:
+    """The raw features of a few images; the ids reach the scan as a filter."""
+    return spark.read.parquet(path).where(F.col("image_id").isin(image_ids))
+
+
 def cached_ids(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("image_id").distinct()
 
