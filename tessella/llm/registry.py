@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, htmltext, langid, linededup, mixing, ngramjoin, quality, resampling, secrets, unitdedup, vafile, variants
+from tessella.llm import bpe, htmltext, langid, linededup, mixing, naivesvm, ngramjoin, quality, resampling, secrets, unitdedup, vafile, variants
 from tessella.sources.tables import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -58,12 +58,16 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group(table(spark, sf_dir, "documents"))
 
 
+def op12_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return naivesvm.apply(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_html_text, op3_source_mixing, op4_line_dedup, op5_quality, op6_ngram_jaccard, op7_language_id, op8_unit_dedup, op9_secret_scan, op10_exact_topk, op11_spelling_variants, op13_target_resampling)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_html_text, op3_source_mixing, op4_line_dedup, op5_quality, op6_ngram_jaccard, op7_language_id, op8_unit_dedup, op9_secret_scan, op10_exact_topk, op11_spelling_variants, op12_quality_nbsvm, op13_target_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
