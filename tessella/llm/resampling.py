@@ -30,11 +30,12 @@ def words(text: Column | str) -> Column:
 def features(found: Column | str, ngrams: int = NGRAMS) -> Column:
     """All runs of 1 to `ngrams` consecutive words of an array, joined by a space, repeats included."""
     found = F.col(found) if isinstance(found, str) else found
-    runs = [found]
-    for n in range(2, ngrams + 1):
-        at = F.sequence(F.lit(1), F.size(found) - (n - 1))
-        runs.append(F.when(F.size(found) >= n, F.transform(at, lambda i, n=n: F.array_join(F.slice(found, i, n), " "))).otherwise(F.array().cast("array<string>")))
-    return F.concat(*runs) if len(runs) > 1 else found
+
+    def of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size(found) - (n - 1))
+        return F.when(F.size(found) >= n, F.transform(starts, lambda i: F.array_join(F.slice(found, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(found, *[of(n) for n in range(2, ngrams + 1)]) if ngrams > 1 else found
 
 
 def bucket(feature: Column | str, buckets: int) -> Column:
