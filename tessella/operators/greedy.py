@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessella.plans.lineage import cut
-
-TOP = 512
-#: Picked rows that a pass is told of; beyond it they leave the table.
-TOLD = 8192
+from tessella.operators import submodular
 
 
 def prototype_mass(patches: DataFrame, gamma: float) -> DataFrame:
@@ -42,56 +34,8 @@ def packed(mass: DataFrame, order: DataFrame) -> DataFrame:
     return order.join(lists, "image_id", "left").select("row_idx", F.coalesce(F.transform("m", lambda e: e["proto_id"].cast("int")), F.array().cast("array<int>")).alias("protos"), F.coalesce(F.transform("m", lambda e: e["mass"]), F.array().cast("array<double>")).alias("masses"))
 
 
-def context_rows(spark: SparkSession, ids: set[int]) -> DataFrame:
-    return spark.createDataFrame([(int(i),) for i in ids], "row_idx long")
-
-
-def greedy(rows: DataFrame, budget: int, alpha: float, k: int, top: int = TOP) -> list[int]:
-    """row_idx in pick order, maximising the summed covered mass to the power alpha; the first row on ties.
-
-    Gains only shrink as rows are picked. A pass returns the `top` rows of the largest gain and the next gain as a bound; the driver
-    picks from them while a pick's gain is above the bound, then the next pass starts. On the driver are at most `top` rows a pass,
-    k numbers of cover and the row numbers picked. Passes are told of at most TOLD picked rows; then those leave the table, which is written anew.
-    """
+def greedy(rows: DataFrame, budget: int, alpha: float, k: int, top: int = submodular.TOP) -> list[int]:
+    """row_idx in pick order, maximising the summed covered mass to the power alpha; the first row on ties."""
     if not 0.0 < alpha <= 1.0:
         raise ValueError(f"alpha must be in (0, 1], got {alpha}")
-    if budget < 0 or budget > rows.count():
-        raise ValueError(f"budget={budget} is out of range")
-    covered, order, taken = np.zeros(k), [], set()
-    rows = rows.persist()
-    context = rows.sparkSession.sparkContext
-
-    def gain(cover: np.ndarray, protos: np.ndarray, masses: np.ndarray) -> float:
-        here = cover[protos]
-        return float(round(((here + masses) ** alpha - here**alpha).sum(), 9))
-
-    while len(order) < budget:
-        if len(taken) > TOLD:
-            gone = context_rows(rows.sparkSession, taken)
-            held, rows = rows, cut(rows.join(F.broadcast(gone), "row_idx", "left_anti"))
-            held.unpersist()
-            taken = set()
-        shared = context.broadcast((covered, taken))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            cover, gone = shared.value  # noqa: B023
-            for batch in batches:
-                left = batch[~batch["row_idx"].isin(gone)]
-                gains = [gain(cover, np.asarray(p, dtype=np.int64), np.asarray(m)) for p, m in zip(left["protos"], left["masses"], strict=True)]
-                yield left.assign(gain=gains).sort_values(["gain", "row_idx"], ascending=[False, True]).head(top + 1)
-
-        best = rows.mapInPandas(run, "row_idx long, protos array<int>, masses array<double>, gain double").orderBy(F.desc("gain"), "row_idx").limit(top + 1).collect()
-        bound = best[top].gain if len(best) > top else -1.0
-        held = {r.row_idx: (np.asarray(r.protos, dtype=np.int64), np.asarray(r.masses)) for r in best[:top]}
-        fresh = True
-        while held and len(order) < budget:
-            value, at = max(((gain(covered, *m), -i) for i, m in held.items()))
-            if not fresh and value <= bound:
-                break
-            protos, masses = held.pop(-at)
-            np.add.at(covered, protos, masses)
-            order.append(-at)
-            taken.add(-at)
-            fresh = False
-    rows.unpersist()
-    return order
+    return [i for i, _ in submodular.exact(rows.withColumn("bonus", F.lit(0.0)), budget, submodular.Power(alpha), k, top)]
