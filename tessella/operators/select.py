@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.scalars import draw_key
-from tessella.operators import cluster, greedy, prune, scoring
+from tessella.operators import cluster, coverage, greedy, kcenter, prune, scoring, semdedup, zcore
 from tessella.plans.lineage import ranked
 
 VIEWS = ("cls", "pmean", "tail")
@@ -82,6 +82,63 @@ class PatchBalance:
         return out
 
 
+@dataclass(frozen=True)
+class PatchCoverage:
+    rarity: float = 1.0
+    saturation: float | None = None
+    eps: float | None = 0.1
+    strength: float = 0.0
+
+    @classmethod
+    def of(cls, cfg: dict) -> PatchCoverage:
+        out = cls(**{k: None if v is None else float(v) for k, v in taken(cls, cfg).items()})
+        if out.rarity < 0 or out.strength < 0:
+            raise ValueError(f"rarity and strength must be >= 0, got {out.rarity} and {out.strength}")
+        if out.eps is not None:
+            within("eps", out.eps, 0, 1, True)
+        return out
+
+
+@dataclass(frozen=True)
+class KCenter:
+    eps: float | None = None
+
+    @classmethod
+    def of(cls, cfg: dict) -> KCenter:
+        out = cls(**taken(cls, cfg))
+        if out.eps is not None and out.eps <= 0:
+            raise ValueError(f"eps must be above 0, got {out.eps}")
+        return out
+
+
+@dataclass(frozen=True)
+class SemDedup:
+    k: int = 20
+    tau: float = 0.95
+    keep: str = "hard"
+    n_init: int = 10
+    max_iter: int = 300
+
+    @classmethod
+    def of(cls, cfg: dict) -> SemDedup:
+        out = cls(**taken(cls, cfg))
+        prune.check(0, 0, out.keep, 0.0)
+        within("tau", out.tau, 0, 1, True)
+        return out
+
+
+@dataclass(frozen=True)
+class ZCore:
+    draws: int = zcore.DRAWS
+    subspace: int = zcore.SUBSPACE
+    neighbours: int = zcore.NEIGHBOURS
+    fall: float = zcore.FALL
+
+    @classmethod
+    def of(cls, cfg: dict) -> ZCore:
+        return cls(**taken(cls, cfg))
+
+
 def random(features: dict, budget: int, seed: int, cfg: dict) -> DataFrame:
     """A seeded draw without replacement; smaller budgets are subsets of larger ones."""
     rows = features["items"]
@@ -100,7 +157,7 @@ def full(features: dict, budget: int, seed: int, cfg: dict) -> DataFrame:
     return features["items"].withColumn("selected", F.lit(True))
 
 
-def clustered(rows: DataFrame, k: int, seed: int, cfg: Prototypicality | Fused, given: DataFrame | None) -> DataFrame:
+def clustered(rows: DataFrame, k: int, seed: int, cfg: Prototypicality | Fused | SemDedup, given: DataFrame | None) -> DataFrame:
     """Rows (image_id, row_idx, v) with cluster and distance, by given prototypes or by fitted ones."""
     if given is not None:
         return cluster.assigned(rows, given)
@@ -152,7 +209,44 @@ def patch_balance(features: dict, budget: int, seed: int, cfg: dict) -> DataFram
     return items.join(picked, "row_idx", "left").withColumn("selected", F.col("keep_rank").isNotNull())
 
 
-METHODS: dict[str, Callable[[dict, int, int, dict], DataFrame]] = {"random": random, "full": full, "prototypicality": prototypicality, "proto_fused": proto_fused, "patch_balance": patch_balance}
+def picked(items: DataFrame, found: DataFrame) -> DataFrame:
+    """Items with the keep_rank of found (row_idx, keep_rank, ...) and selected."""
+    return items.join(found, "row_idx", "left").withColumn("selected", F.col("keep_rank").isNotNull())
+
+
+def patch_coverage(features: dict, budget: int, seed: int, cfg: dict) -> DataFrame:
+    """Rarity-weighted coverage of patch concepts; the seed is not used. features: items, patches (image_id, proto_id), and scores (image_id, value) for the hybrid."""
+    c = PatchCoverage.of(cfg)
+    need(features, "items", "patches", *["scores"] * (c.strength > 0))
+    items = features["items"].select("image_id", "row_idx")
+    return picked(items, coverage.choose(features["patches"], items, budget, saturation=c.saturation, rarity=c.rarity, eps=c.eps, bonus=features.get("scores"), strength=c.strength))
+
+
+def k_center(features: dict, budget: int, seed: int, cfg: dict) -> DataFrame:
+    """Farthest points of the embedding (image_id, row_idx, v), exact or, with eps, over composable centres."""
+    need(features, "embedding")
+    rows = features["embedding"].select("image_id", "row_idx", "v")
+    return picked(rows.select("image_id", "row_idx"), kcenter.choose(rows, budget, seed, KCenter.of(cfg).eps))
+
+
+def sem_dedup(features: dict, budget: int, seed: int, cfg: dict) -> DataFrame:
+    """Clusters without near copies of cosine tau or more, then a seeded draw. features: embedding, and prototypes if given."""
+    c = SemDedup.of(cfg)
+    need(features, "embedding")
+    return semdedup.choose(clustered(features["embedding"], c.k, seed, c, features.get("prototypes")), budget, seed, c.tau, c.keep)
+
+
+def z_core(features: dict, budget: int, seed: int, cfg: dict) -> DataFrame:
+    """Coverage scores of random subspaces less redundancy. features: embedding."""
+    c = ZCore.of(cfg)
+    need(features, "embedding")
+    return zcore.choose(features["embedding"], budget, seed, draws=c.draws, subspace=c.subspace, neighbours=c.neighbours, fall=c.fall)
+
+
+METHODS: dict[str, Callable[[dict, int, int, dict], DataFrame]] = {
+    "random": random, "full": full, "prototypicality": prototypicality, "proto_fused": proto_fused, "patch_balance": patch_balance,
+    "patch_coverage": patch_coverage, "kcenter": k_center, "semdedup": sem_dedup, "zcore": z_core,
+}
 
 
 def selector(method: str) -> Callable[[dict, int, int, dict], DataFrame]:

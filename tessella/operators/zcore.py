@@ -1,7 +1,7 @@
 """Zero-shot coverage scores: random points of random subspaces vote for their nearest rows, and rows near a voted one lose.
 
-A row's score is a seeded tie-breaker in [0, 1), plus one for each draw that it is nearest to, minus, for each vote of another row, a share that
-falls with its distance to that row, over the row's `neighbours` nearest others. Draws and tie-breakers come from seeds and ids, so partitions do not matter.
+A row's score is a seeded tie-breaker in [0, 1), plus one for each draw that it is nearest to, minus its share of each vote of
+another row: a vote is dealt to the row's `neighbours` nearest others, in shares that fall with their distance. Draws and tie-breakers come from seeds and ids, so partitions do not matter.
 """
 
 from __future__ import annotations
@@ -76,7 +76,7 @@ def votes(rows: DataFrame, dims: np.ndarray, places: np.ndarray) -> DataFrame:
 
 
 def redundancy(rows: DataFrame, voted: DataFrame, neighbours: int, fall: float) -> DataFrame:
-    """(row_idx, lost): over the voted rows (row_idx, v, votes), votes times (nearest distance / distance) ** fall for each of their nearest others.
+    """(row_idx, lost): over the voted rows (row_idx, v, votes), votes times each nearest other's share, in proportion to (nearest distance / distance) ** fall.
 
     The voted rows, at most one a draw, are sent to all tasks; a task returns its `neighbours` nearest rows of each.
     """
@@ -102,9 +102,12 @@ def redundancy(rows: DataFrame, voted: DataFrame, neighbours: int, fall: float)
     place = F.row_number().over(W.partitionBy("centre").orderBy("away", "row_idx"))
     nearest = F.min("away").over(W.partitionBy("centre"))
     kept = near.withColumn("place", place).where(F.col("place") <= neighbours).withColumn("nearest", nearest)
-    share = F.when(F.col("away") <= F.col("nearest"), 1.0).otherwise(F.pow(F.col("nearest") / F.col("away"), F.lit(float(fall))))
+    fallen = F.when(F.col("away") <= F.col("nearest"), 1.0).otherwise(F.pow(F.col("nearest") / F.col("away"), F.lit(float(fall))))
+    kept = kept.withColumn("fallen", fallen)
+    share = F.col("fallen") / F.sum("fallen").over(W.partitionBy("centre"))
+    kept = kept.select("centre", "row_idx", share.alias("share"))
     counts = rows.sparkSession.createDataFrame([(int(r.row_idx), int(r.votes)) for r in held], "centre long, votes long")
-    return kept.join(F.broadcast(counts), "centre").groupBy("row_idx").agg(F.sum(F.round(share * F.col("votes"), PLACES)).alias("lost"))
+    return kept.join(F.broadcast(counts), "centre").groupBy("row_idx").agg(F.sum(F.round(F.col("share") * F.col("votes"), PLACES)).alias("lost"))
 
 
 def scores(rows: DataFrame, *, draws: int = DRAWS, subspace: int = SUBSPACE, neighbours: int = NEIGHBOURS, fall: float = FALL, seed: int = 0) -> DataFrame:

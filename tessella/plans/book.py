@@ -17,8 +17,8 @@ def with_fixtures(sql: str, uses: tuple[str, ...]) -> str:
     if not uses:
         return sql
     own = sql.lstrip()
-    more = own[:5].lower() == "with "
-    return f"WITH {', '.join(fixtures.SQL[u] for u in uses)}" + (", " + own[5:] if more else "\n" + sql)
+    head = next((h for h in ("WITH RECURSIVE ", "WITH ") if own.upper().startswith(h)), "")
+    return f"{head or 'WITH '}{', '.join(fixtures.SQL[u] for u in uses)}" + (", " + own[len(head) :] if head else "\n" + sql)
 
 
 def register(sql: str | None = None, *uses: str):

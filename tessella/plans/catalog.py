@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessella.plans import book, reports, rules, selection
+from tessella.plans import book, budgets, coverage, reports, rules, selection
 
-MODULES = (selection, reports, rules)
+MODULES = (selection, coverage, budgets, reports, rules)
 
 
 def queries() -> dict:

@@ -204,8 +204,9 @@ def plain_zcore(points, draws, subspace, neighbours, fall, seed):
     for k, n in enumerate(votes):
         if n:
             away = sorted((round(math.sqrt(max(0.0, 2 - 2 * float(points[k] @ points[j]))), 9), j) for j in range(len(points)) if j != k)[:neighbours]
-            for d, j in away:
-                score[j] -= round(n * (1.0 if d <= away[0][0] else (away[0][0] / d) ** fall), 9)
+            share = [1.0 if d <= away[0][0] else (away[0][0] / d) ** fall for d, _ in away]
+            for s, (_, j) in zip(share, away, strict=True):
+                score[j] -= round(n * s / sum(share), 9)
     return [s + v for s, v in zip(score, votes, strict=True)]
 
 
