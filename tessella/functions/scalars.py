@@ -22,7 +22,7 @@ def budget(ratio: float, n: int) -> int:
 def tail_size(q: float, n: int) -> int:
     """Values in a tail of a share q, at least one."""
     if not 0.0 < q <= 1.0:
-        raise ValueError(f"q must be in (0, 1], got {q}")
+        raise ValueError(f"q={q} is no share above 0 and up to 1")
     return math.ceil(q * n)
 
 

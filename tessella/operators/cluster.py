@@ -9,13 +9,17 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions import vectors as V
 
 log = logging.getLogger(__name__)
-SEED_ROWS = 20_000
+#: Passes that draw candidates for seeds, and how many of them a pass draws for each prototype.
+ROUNDS, OVER = 4, 2
 EPS = 1e-12
+#: Prototypes rest when a pass moves no coordinate by more, which sums in another order may.
+STILL = 1e-12
 
 
 def assigned(rows: DataFrame, prototypes: DataFrame, vector: str = "v") -> DataFrame:
@@ -43,33 +47,37 @@ class Fit:
     converged: bool
 
 
-def seeds(points: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """Greedy k-means++ on the sphere: of a few draws by distance, the one that lowers the total most."""
-    picked = [int(rng.integers(len(points)))]
+def seeds(points: np.ndarray, k: int, rng: np.random.Generator, weight: np.ndarray | None = None) -> np.ndarray:
+    """Greedy k-means++ on the sphere over weighted points: of a few draws by weight and distance, the one that lowers the total most."""
+    weight = np.ones(len(points)) if weight is None else weight
+
+    def drawn(chance: np.ndarray, n: int) -> np.ndarray:
+        total = np.cumsum(chance)
+        return np.minimum(np.searchsorted(total, rng.random(n) * total[-1]), len(points) - 1)
+
+    picked = [int(drawn(weight, 1)[0])]
     gap = np.maximum(0.0, 1.0 - points @ points[picked[0]])
     tries = 2 + int(np.log(k))
     while len(picked) < k:
-        whole = gap.sum()
-        if whole <= 0:
+        if (weight * gap).sum() <= 0:
             picked.append(int(rng.integers(len(points))))
             continue
-        drawn = np.minimum(np.searchsorted(np.cumsum(gap), rng.random(tries) * whole), len(points) - 1)
-        after = [np.minimum(gap, np.maximum(0.0, 1.0 - points @ points[c])) for c in drawn]
-        best = int(np.argmin([a.sum() for a in after]))
-        picked.append(int(drawn[best]))
+        some = drawn(weight * gap, tries)
+        after = [np.minimum(gap, np.maximum(0.0, 1.0 - points @ points[c])) for c in some]
+        best = int(np.argmin([(weight * a).sum() for a in after]))
+        picked.append(int(some[best]))
         gap = after[best]
     return points[picked].copy()
 
 
-def spread_seeds(rows: DataFrame, k: int, starts: list[int]) -> np.ndarray:
-    """What seeds() does, over all rows on Spark, for each start at once: its draws by distance are the least of exponential races.
+def spread_seeds(rows: DataFrame, k: int, starts: list[int], rounds: int = ROUNDS, over: int = OVER) -> np.ndarray:
+    """[starts, k, d]: greedy k-means++ over candidates that passes over all rows draw by distance, for all starts at once.
 
-    A row's race of a draw comes from the hash of its row_idx, so partitions do not matter. Two passes a seed.
+    The first pass draws one row a start, each further one the over * k rows of the least exponential times at a rate of their distance to the
+    candidates so far, and the last counts the rows nearest to each candidate, which weigh it on the driver. Times come from the hash of row_idx, so
+    partitions do not matter. On the driver are starts * (1 + rounds * over * k) vectors, whatever the rows.
     """
-    centres: list[list[np.ndarray]] = [[] for _ in starts]
-
-    def gaps(v: np.ndarray, picked: list[np.ndarray]) -> np.ndarray:
-        return np.maximum(0.0, 1.0 - (v @ np.stack(picked).T).max(axis=1)) if picked else np.ones(len(v))
+    held: list[list[tuple[int, np.ndarray]]] = [[] for _ in starts]
 
     def chances(ids: np.ndarray, *salt: int) -> np.ndarray:
         x = ids.astype(np.uint64) ^ np.random.default_rng(salt).integers(1 << 64, dtype=np.uint64)
@@ -77,54 +85,65 @@ def spread_seeds(rows: DataFrame, k: int, starts: list[int]) -> np.ndarray:
             x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
         return (((x ^ (x >> np.uint64(31))) >> np.uint64(11)) + 0.5) / float(1 << 53)
 
-    for step in range(k):
-        tries = 2 + int(np.log(k)) if step else 1
-        held = [list(c) for c in centres]
+    def near(v: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sim = v @ points.T
+        at = sim.argmax(axis=1)
+        return at, np.maximum(0.0, 1.0 - sim[np.arange(len(v)), at])
+
+    spark = rows.sparkSession
+    for step in range(rounds + 1):
+        most = over * k if step else 1
+        shared = spark.sparkContext.broadcast([np.stack([v for _, v in h]) if h else None for h in held])
 
         def race(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 if len(batch) == 0:
                     continue
-                v, ids, out = np.stack(batch["v"]), batch["row_idx"].to_numpy(), []
-                for i, picked in enumerate(held):  # noqa: B023
-                    gap = gaps(v, picked)
-                    for t in range(tries):  # noqa: B023
-                        time = -np.log(chances(ids, starts[i], step, t)) / np.where(gap > 0, gap, 1.0)  # noqa: B023
-                        j = int(np.lexsort((ids, time, gap <= 0))[0])
-                        out.append((i, t, int(gap[j] <= 0), time[j], ids[j], v[j]))
-                yield pd.DataFrame(out, columns=["i", "t", "flat", "time", "row_idx", "v"])
-
-        ran = rows.select("row_idx", "v").mapInPandas(race, "i int, t int, flat int, time double, row_idx long, v array<double>")
-        drawn = {(x[0], x[1]): np.asarray(x[2]["v"]) for x in ran.groupBy("i", "t").agg(F.min(F.struct("flat", "time", "row_idx", "v"))).collect()}
-
-        def after(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if len(batch):
-                    v = np.stack(batch["v"])
-                    yield pd.DataFrame([(i, t, gaps(v, [*held[i], c]).sum()) for (i, t), c in drawn.items()], columns=["i", "t", "total"])  # noqa: B023
+                v, ids = np.stack(batch["v"]), batch["row_idx"].to_numpy()
+                for i, points in enumerate(shared.value):  # noqa: B023
+                    gap = near(v, points)[1] if points is not None else np.ones(len(v))
+                    time = np.where(gap > EPS, -np.log(chances(ids, starts[i], step)) / np.maximum(gap, EPS), np.inf)  # noqa: B023
+                    first = np.lexsort((ids, time))[:most]  # noqa: B023
+                    first = first[np.isfinite(time[first])]
+                    if len(first) == 0:
+                        continue
+                    yield pd.DataFrame({"i": i, "time": time[first], "row_idx": ids[first], "v": [v[j] for j in first]})
+
+        ran = rows.select("row_idx", "v").mapInPandas(race, "i int, time double, row_idx long, v array<double>")
+        place = F.row_number().over(W.partitionBy("i").orderBy("time", "row_idx"))
+        for r in sorted(ran.withColumn("n", place).where(F.col("n") <= most).select("i", "n", "row_idx", "v").collect()):
+            held[r.i].append((r.row_idx, np.asarray(r.v)))
+    points = [np.stack([v for _, v in h]) for h in held]
+    shared = spark.sparkContext.broadcast(points)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = [np.zeros(len(p)) for p in shared.value]
+        for batch in batches:
+            if len(batch):
+                v = np.stack(batch["v"])
+                for i, p in enumerate(shared.value):
+                    total[i] += np.bincount(near(v, p)[0], minlength=len(p))
+        yield pd.DataFrame([(i, j, n) for i, t in enumerate(total) for j, n in enumerate(t) if n], columns=["i", "j", "n"])
 
-        totals = {key: 0.0 for key in drawn}
-        if tries > 1:
-            left = rows.select("v").mapInPandas(after, "i int, t int, total double")
-            totals = {(x[0], x[1]): x[2] for x in left.groupBy("i", "t").agg(F.sum("total")).collect()}
-        for i, picked in enumerate(centres):
-            picked.append(drawn[i, min(range(tries), key=lambda t: (totals[i, t], t))])  # noqa: B023
-    return np.stack([np.stack(c) for c in centres])
+    weight = [np.zeros(len(p)) for p in points]
+    for r in rows.select("v").mapInPandas(count, "i int, j int, n double").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
+        weight[r.i][r.j] = r.n
+    return np.stack([seeds(p, k, np.random.default_rng(s), w) for p, s, w in zip(points, starts, weight, strict=True)])
 
 
-def lloyd_pass(rows: DataFrame, before: np.ndarray | None, now: np.ndarray, spare: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]:
-    """One pass over all rows for all restarts at once: member sums, counts, moved rows and cosine sums by restart.
+def lloyd_pass(rows: DataFrame, now: np.ndarray, spare: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+    """One pass over all rows for all restarts at once: member sums, counts and cosine sums by restart.
 
     `now` is [restarts, k, d]. Each task reduces its rows to restarts * k partial sums; partials meet in a grouped sum and
     restarts * k * d numbers reach the driver. Nothing of a pass is kept, so a lost executor costs its tasks alone.
     With `spare` also the farthest rows of each task that are off their prototype, for empty ones.
     """
     r, k, d = now.shape
-    shared = rows.sparkSession.sparkContext.broadcast((before, now))
+    shared = rows.sparkSession.sparkContext.broadcast(now)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        old, new = shared.value
-        sums, counts, moved, total = np.zeros((r, k, d)), np.zeros((r, k)), np.zeros(r), np.zeros(r)
+        new = shared.value
+        sums, counts, total = np.zeros((r, k, d)), np.zeros((r, k)), np.zeros(r)
         far: list[tuple] = []
         for batch in batches:
             x = np.stack(batch["v"].to_numpy())
@@ -135,12 +154,10 @@ def lloyd_pass(rows: DataFrame, before: np.ndarray | None, now: np.ndarray, spar
                 counts[i] += np.bincount(label, minlength=k)
                 best = sim[np.arange(len(x)), label]
                 total[i] += best.sum()
-                if old is not None:
-                    moved[i] += ((x @ old[i].T).argmax(axis=1) != label).sum()
                 if spare:
                     order = np.argsort(best, kind="stable")[:spare]
                     far += [(i, float(best[j]), int(batch["row_idx"].iloc[j]), x[j].tolist()) for j in order if 1.0 - best[j] > EPS]
-        out = [(i, c, np.concatenate((sums[i, c], [counts[i, c], moved[i], total[i]])).tolist(), None, None) for i in range(r) for c in range(k)]
+        out = [(i, c, np.concatenate((sums[i, c], [counts[i, c], total[i]])).tolist(), None, None) for i in range(r) for c in range(k)]
         for i in range(r):
             out += [(i, -1, v, s, at) for _, s, at, v in sorted((f for f in far if f[0] == i), key=lambda f: (f[1], f[2]))[:spare]]
         yield pd.DataFrame(out, columns=["restart", "cluster", "sums", "sim", "row_idx"])
@@ -149,67 +166,61 @@ def lloyd_pass(rows: DataFrame, before: np.ndarray | None, now: np.ndarray, spar
     if spare:
         parts = parts.persist()
     summed = parts.where("cluster >= 0").select("restart", "cluster", F.posexplode("sums").alias("d", "x")).groupBy("restart", "cluster", "d").agg(F.sum("x").alias("x")).collect()
-    table = np.zeros((r, k, d + 3))
+    table = np.zeros((r, k, d + 2))
     for i, c, j, x in summed:
         table[i, c, j] = x
     far = []
     if spare:
         far = [tuple(x) for i in range(r) for x in parts.where((F.col("cluster") == -1) & (F.col("restart") == i)).orderBy("sim", "row_idx").limit(spare).select("restart", "sim", "sums").collect()]
         parts.unpersist()
-    return table[:, :, :d], table[:, :, d], table[:, 0, d + 1], table[:, 0, d + 2], far
+    return table[:, :, :d], table[:, :, d], table[:, 0, d + 1], far
 
 
 def fit(rows: DataFrame, k: int, seed: int = 0, restarts: int = 10, most: int = 300, reseed: str = "off_prototype", init: str = "plusplus") -> Fit:
     """Spherical k-means over (row_idx, v), v unit vectors; the restart of the least summed distance, the earliest on ties.
 
-    Restart i is seeded by seed * restarts + i over all rows: on the driver up to SEED_ROWS, on Spark beyond. A restart rests when a
-    pass moves no row. An empty prototype takes the farthest row: with reseed="off_prototype" only one that is off its
+    Restart i is seeded by seed * restarts + i over all rows, on Spark at any size. A restart rests when a pass moves no prototype. An empty prototype takes the farthest row: with reseed="off_prototype" only one that is off its
     own prototype. `init="first_k"` starts from the first k rows by row_idx.
     """
     n = rows.count()
     if not 1 <= k <= n:
-        raise ValueError(f"k={k} must be in [1, N={n}]")
+        raise ValueError(f"{n} rows make no k={k} prototypes")
     restarts = 1 if init == "first_k" else restarts
     rows = rows.select("row_idx", "v").persist()
-    if init != "first_k" and n > SEED_ROWS:
-        now = spread_seeds(rows, k, [seed * restarts + i for i in range(restarts)])
-    else:
-        chosen = rows.orderBy("row_idx").limit(k) if init == "first_k" else rows
-        points = np.stack([np.asarray(x[1]) for x in sorted(chosen.collect())])
-        now = points[None, :k].copy() if init == "first_k" else np.stack([seeds(points, k, np.random.default_rng(seed * restarts + i)) for i in range(restarts)])
     try:
+        if init == "first_k":
+            now = np.stack([np.asarray(x[1]) for x in sorted(rows.orderBy("row_idx").limit(k).collect())])[None]
+        else:
+            now = spread_seeds(rows, k, [seed * restarts + i for i in range(restarts)])
         return rest(rows, now, n, seed, restarts, most, reseed)
     finally:
         rows.unpersist()
 
 
 def rest(rows: DataFrame, now: np.ndarray, n: int, seed: int, restarts: int, most: int, reseed: str) -> Fit:
-    """Lloyd passes until every restart rests."""
+    """Lloyd passes until every restart rests: its prototypes are the means of their own members."""
     done: dict[int, tuple[float, np.ndarray, bool]] = {}
-    live, before = list(range(len(now))), None
+    live = list(range(len(now)))
     for _ in range(most):
-        sums, counts, moved, total, _ = lloyd_pass(rows, before, now)
-        resting = [j for j in range(len(live)) if before is not None and moved[j] == 0]
-        for j in resting:
-            done[live[j]] = (n - total[j], now[j], True)
-        go = [j for j in range(len(live)) if j not in resting]
-        if not go:
-            live = []
-            break
-        live, sums, counts, now = [live[j] for j in go], sums[go], counts[go], now[go]
+        sums, counts, total, _ = lloyd_pass(rows, now)
         norms = np.linalg.norm(sums, axis=2)
         empty = norms <= EPS
         after = np.where(empty[:, :, None], now, sums / np.where(empty, 1.0, norms)[:, :, None])
         if empty.any():
-            *_, far = lloyd_pass(rows, None, now, spare=int(empty.sum(axis=1).max()))
+            *_, far = lloyd_pass(rows, now, spare=int(empty.sum(axis=1).max()))
             for j in range(len(live)):
                 spare = [f for f in far if f[0] == j and (reseed == "any" or 1.0 - f[1] > EPS)]
                 for c, f in zip(np.flatnonzero(empty[j]), spare, strict=False):
                     after[j, c] = f[2]
-        before, now = now, after
+        still = np.abs(after - now).max(axis=(1, 2)) <= STILL
+        for j in np.flatnonzero(still):
+            done[live[j]] = (n - total[j], now[j], True)
+        live, now = [i for i, s in zip(live, still, strict=True) if not s], after[~still]
+        if not live:
+            break
     if live:
         log.warning("%d restarts did not rest within %d passes", len(live), most)
-        *_, total, _ = lloyd_pass(rows, None, now)
+        *_, total, _ = lloyd_pass(rows, now)
         for j, i in enumerate(live):
             done[i] = (n - total[j], now[j], False)
     best = min(done, key=lambda i: (round(done[i][0], V.PLACES), i))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessella.functions.naming import VocabSpec
+from tessella.functions.naming import VocabSpec, config_hash
 from tessella.operators import cluster, scoring
 from tessella.sources import ledger, store
 
@@ -90,6 +90,8 @@ def tail_feature(raw: DataFrame, vocab: DataFrame | None, params: dict) -> DataF
 DERIVATIONS: dict[str, Callable[[DataFrame, DataFrame | None, dict], DataFrame]] = {
     "cls": class_token, "patch_mean": patch_mean, "kmeans_hist": patch_histogram, "patch_dist": patch_distances, "patch_label": patch_labels, "tail_feature": tail_feature,
 }
+#: The raw tensor that each derivation is made of.
+TENSOR = {method: "cls" if method == "cls" else "patch" for method in DERIVATIONS}
 BY_VOCABULARY = ("kmeans_hist", "patch_dist", "patch_label", "tail_feature")
 
 
@@ -102,13 +104,28 @@ def derive(raw: DataFrame, method: str, params: dict | None = None, vocab: DataF
     return DERIVATIONS[method](raw, vocab, params or {})
 
 
-def run(spark: SparkSession, raw_path: str, derived_path: str, vocab_folder: str, *, dataset: str, split: str, backbone: str, method: str, params: dict | None = None, train_path: str | None = None) -> None:
-    """Derive from a raw table and upsert into the derived one. A vocabulary is fitted on the train split's raw table, if it is not there yet."""
+def with_paths(vectors: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Vectors with the image_path of a manifest (image_id, image_path), each id once there; empty where it has none."""
+    paths = manifest.groupBy(F.col("image_id").cast("string").alias("image_id")).agg(F.min("image_path").alias("image_path"))
+    own = vectors.withColumn("image_id", F.col("image_id").cast("string"))
+    return own.join(paths, "image_id", "left").withColumn("image_path", F.coalesce("image_path", F.lit("")))
+
+
+def run(spark: SparkSession, raw_path: str, derived_path: str, vocab_folder: str, *, dataset: str, split: str, backbone: str, method: str, params: dict | None = None, train_path: str | None = None, manifest: str | None = None, cfg: dict | None = None) -> None:
+    """Derive from a raw table and upsert into the derived one. A vocabulary is fitted on the train split's raw table, if it is not there yet.
+
+    The rows' source is the tensor that they are made of, their config_hash that of cfg (the run's own settings without one), and their
+    image_path comes from the manifest; without one, or for ids that it does not hold, it is empty.
+    """
     params = dict(params or {})
     raw, vocab = spark.read.parquet(raw_path), None
     if method in BY_VOCABULARY:
         spec = VocabSpec(backbone, **{k: params[k] for k in ("K", "n_sample", "seed") if k in params})
         params = spec.params() | params
         vocab = vocabulary(spark, vocab_folder, spec, spark.read.parquet(train_path or raw_path))
-    rows = store.derivation(derive(raw, method, params, vocab), dataset=dataset, split=split, backbone=backbone, source="derived", method=method, params=params)
+    vectors = derive(raw, method, params, vocab)
+    if manifest is not None:
+        vectors = with_paths(vectors, store.manifest(spark, manifest))
+    settings = cfg if cfg is not None else {"dataset": dataset, "split": split, "backbone": backbone, "method": method, "params": params}
+    rows = store.derivation(vectors, dataset=dataset, split=split, backbone=backbone, source=TENSOR[method], method=method, params=params, config_hash=config_hash(settings))
     store.upsert(spark, derived_path, rows)

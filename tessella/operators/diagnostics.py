@@ -133,6 +133,20 @@ def compared(a: DataFrame, b: DataFrame) -> DataFrame:
     return spearman(both, "a", "b")
 
 
+def sensitivity(base: DataFrame, others: dict[str, DataFrame], budgets: Iterable[int]) -> DataFrame:
+    """(name, spearman, jaccard) of other vocabularies' scores (image_id, score) against the base's: rank agreement, and the mean Jaccard index of both's highest rows over the budgets."""
+    budgets, out = list(budgets), None
+    top = lambda rows: cut(ranked(rows.select("image_id", "score"), [F.desc("score"), F.asc("image_id")], "place"))
+    a = top(base).select("image_id", F.col("score").alias("a"), F.col("place").alias("p"))
+    for name, rows in others.items():
+        both = a.join(top(rows).select("image_id", F.col("score").alias("b"), F.col("place").alias("q")), "image_id", "full_outer")
+        own = [F.try_divide(F.count_if((F.col("p") <= n) & (F.col("q") <= n)), F.count_if((F.col("p") <= n) | (F.col("q") <= n))) for n in budgets]
+        mean = sum(own[1:], own[0]) / len(own)
+        one = spearman(both.where("a IS NOT NULL AND b IS NOT NULL"), "a", "b").crossJoin(both.agg(F.round(mean, PLACES).alias("jaccard"))).select(F.lit(name).alias("name"), "spearman", "jaccard")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def diagnose(rows: DataFrame, ks: Iterable[int], seeds: Iterable[int], restarts: int = 3) -> DataFrame:
     """Silhouette and inertia of fitted clusters over (k, seed): means, population deviations and the drop of inertia."""
     seeds, found = list(seeds), []

@@ -12,11 +12,11 @@ KEEP = ("hard", "easy")
 
 def check(n: int, budget: int, keep: str, balance: float) -> None:
     if keep not in KEEP:
-        raise ValueError(f"keep must be one of {KEEP}, got {keep!r}")
+        raise ValueError(f"{keep!r} is no way to keep rows; there are {KEEP}")
     if not 0 <= budget <= n:
-        raise ValueError(f"budget={budget} must be in [0, N={n}]")
+        raise ValueError(f"a budget of {budget} rows does not fit a pool of {n}")
     if not 0.0 <= balance <= 1.0:
-        raise ValueError(f"balance must be in [0, 1], got {balance}")
+        raise ValueError(f"balance={balance} is no share from 0 to 1")
 
 
 def priority(keep: str) -> list:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessella.plans.lineage import ranked
+
 REF_KEY = ("dataset", "model", "recipe", "lr", "epochs")
 KEY = ("ratio", "lr", "epochs")
 
@@ -36,7 +38,7 @@ def finished(api_runs: DataFrame) -> DataFrame:
 def unreported(runs: DataFrame, text: str, include: str | None = None, exclude: str | None = None) -> DataFrame:
     """Runs whose id no link in the text holds, by name patterns (searched, not anchored)."""
     seen = runs.sparkSession.createDataFrame([(text,)], "t string").select(F.explode(F.regexp_extract_all("t", F.lit(r"/runs/([A-Za-z0-9]+)"), F.lit(1))).alias("id")).distinct()
-    out = runs.join(F.broadcast(seen), "id", "left_anti")
+    out = runs.join(seen, "id", "left_anti")
     out = out.where(F.col("name").rlike(include)) if include is not None else out
     return out.where(~F.col("name").rlike(exclude)) if exclude is not None else out
 
@@ -170,11 +172,10 @@ def first_seen(runs: DataFrame, group: str, value: str, order: str) -> DataFrame
 
 def in_order(runs: DataFrame) -> DataFrame:
     """Add place: runs by falling ratio, lr, epochs, seed (missing first) and time."""
-    w = W.orderBy(F.desc("ratio"), "lr", "epochs", F.coalesce("seed", F.lit(-1)), "created_at", "id")
-    return runs.withColumn("place", F.row_number().over(w).cast("long"))
+    return ranked(runs, [F.desc("ratio"), F.asc("lr"), F.asc("epochs"), F.coalesce("seed", F.lit(-1)), F.asc("created_at"), F.asc("id")], "place")
 
 
 def sections(runs: DataFrame) -> DataFrame:
     """(family, first_run, section): families by their first run."""
     first = runs.groupBy("family").agg(F.min("created_at").alias("first_run"))
-    return first.withColumn("section", F.row_number().over(W.orderBy("first_run", "family")).cast("long"))
+    return ranked(first, [F.asc("first_run"), F.asc("family")], "section")

@@ -17,7 +17,7 @@ FUSIONS = ("meanrank", "minrank")
 def tail_mean(distances: Column | str, q: float) -> Column:
     """Mean of the ceil(q * n) largest values of an array."""
     if not 0.0 < q <= 1.0:
-        raise ValueError(f"q must be in (0, 1], got {q}")
+        raise ValueError(f"q={q} is no share above 0 and up to 1")
     m = F.ceil(F.lit(float(q)) * F.size(distances)).cast("int")
     return F.round(F.aggregate(F.slice(F.sort_array(distances, False), F.lit(1), m), F.lit(0.0), lambda s, x: s + x) / m, PLACES)
 

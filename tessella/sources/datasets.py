@@ -21,6 +21,10 @@ STREET_CLASSES = (
 )
 
 
+#: Class names of the driving-video data set, by label.
+VIDEO_CLASSES = ("sky", "building", "pole", "road", "pavement", "tree", "sign_symbol", "fence", "car", "pedestrian", "bicyclist")
+
+
 def listed(spark: SparkSession, root: str, folder: str, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(f"{root}/{folder}").select(F.col("path").alias("image_path"))
 

@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators import report
-from tessella.sources.datasets import STREET_CLASSES
+from tessella.sources.datasets import STREET_CLASSES, VIDEO_CLASSES
 
 HEADING = "# Runs\n"
 #: Class names by data set, where they are fixed.
-CLASS_NAMES = {"cityscapes": STREET_CLASSES}
+CLASS_NAMES = {"cityscapes": STREET_CLASSES, "camvid": VIDEO_CLASSES}
 
 
 def class_names(dataset: str) -> tuple[str, ...] | None:

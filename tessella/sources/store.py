@@ -56,7 +56,7 @@ def upsert(spark: SparkSession, path: str, new: DataFrame) -> None:
     The rows are materialised before the write, since they come from the path that is written.
     """
     touched = new.select(*PARTITIONS).distinct()
-    old = derived(spark, path).join(F.broadcast(touched), list(PARTITIONS), "left_semi").select(*DERIVED.names)
+    old = derived(spark, path).join(touched, list(PARTITIONS), "left_semi").select(*DERIVED.names)
     rows = cut(upserted(old, new))
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessella import __main__ as command
 from tessella.functions.naming import EmbeddingSpec, VocabSpec
-from tessella.operators import cluster, derive, greedy, metrics, prune, report, scoring
+from tessella.operators import cluster, derive, greedy, metrics, prune, report, scoring, submodular
 from tessella.plans.lineage import ranked, ranked_within
 from tessella.sources import documents, ledger, store
 from tessella.streaming import sinks
@@ -135,7 +135,7 @@ def test_kmeans_rests_where_numpy_does(spark):
 
 
 def test_greedy_coverage_equals_numpy(spark, monkeypatch):
-    monkeypatch.setattr(greedy, "TOLD", 4)
+    monkeypatch.setattr(submodular, "TOLD", 4)
     rng = np.random.default_rng(6)
     m = np.where(rng.random((40, 5)) < 0.5, rng.random((40, 5)).round(3), 0.0)
     rows = spark.createDataFrame([(i, [int(j) for j in np.flatnonzero(r)], [float(x) for x in r[r > 0]]) for i, r in enumerate(m)], "row_idx long, protos array<int>, masses array<double>")

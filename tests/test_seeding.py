@@ -5,8 +5,7 @@ import numpy as np
 from tessella.operators import cluster
 
 
-def test_seeding_reaches_a_rare_cluster_beyond_the_driver_bound(spark, monkeypatch):
-    monkeypatch.setattr(cluster, "SEED_ROWS", 20)
+def test_seeding_reaches_a_rare_cluster_at_any_partitioning(spark):
     rng = np.random.default_rng(1)
     axes = np.repeat(np.eye(4)[:3], [200, 200, 1], axis=0) + rng.normal(0, 0.005, (401, 4))
     points = axes / np.linalg.norm(axes, axis=1, keepdims=True)
