@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessella.plans import book, budgets, coverage, reports, rules, selection
+from tessella.plans import book, budgets, coverage, reports, rules, selection, views
 
-MODULES = (selection, coverage, budgets, reports, rules)
+MODULES = (selection, coverage, budgets, reports, rules, views)
 
 
 def queries() -> dict:

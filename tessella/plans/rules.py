@@ -13,30 +13,28 @@ from tessella.sources import store
 from tessella.sources.tables import table
 
 
-def numbers(spark, n: int) -> DataFrame:
-    return spark.range(n).select(F.col("id").cast("int").alias("raw"))
-
-
 @register(f"""WITH m AS (SELECT unnest([{', '.join(map(str, scalars.STREET_IDS))}]) AS raw, unnest(range({len(scalars.STREET_IDS)})) AS label)
 SELECT CAST(r.raw AS INTEGER) AS raw, CAST(coalesce(m.label, 255) AS INTEGER) AS street, CAST(CASE WHEN r.raw = 0 THEN 255 ELSE r.raw - 1 END AS INTEGER) AS scene, CAST(CASE WHEN r.raw >= 11 THEN 255 ELSE r.raw END AS INTEGER) AS clamped
-FROM range(256) r(raw) LEFT JOIN m ON m.raw = r.raw""")
+FROM (SELECT DISTINCT l_partkey % 256 AS raw FROM lineitem) r LEFT JOIN m ON m.raw = r.raw""")
 def label_rules(spark, d):
     raw = F.col("raw")
-    return numbers(spark, 256).select("raw", scalars.street_label(raw).alias("street"), scalars.scene_label(raw).alias("scene"), scalars.clamped_label(raw, 11).alias("clamped"))
+    rows = table(spark, d, "lineitem").select((F.col("l_partkey") % 256).cast("int").alias("raw")).distinct()
+    return rows.select("raw", scalars.street_label(raw).alias("street"), scalars.scene_label(raw).alias("scene"), scalars.clamped_label(raw, 11).alias("clamped"))
 
 
-@register("""WITH s AS (SELECT i AS step, least(1.0, greatest(0.0, (i - 100) / 900.0)) AS done FROM range(1000) t(i))
-SELECT CAST(step AS INTEGER) AS step, round(CASE WHEN step < 100 THEN 6e-5 * (1e-6 + (1.0 - 1e-6) * step / 100.0) ELSE 6e-5 * (1.0 - done) END, 12) AS poly,
+@register("""WITH s AS (SELECT event_id, event_id % 1000 AS step, least(1.0, greatest(0.0, (event_id % 1000 - 100) / 900.0)) AS done FROM events)
+SELECT event_id, round(CASE WHEN step < 100 THEN 6e-5 * (1e-6 + (1.0 - 1e-6) * step / 100.0) ELSE 6e-5 * (1.0 - done) END, 12) AS poly,
   round(CASE WHEN step < 100 THEN 6e-5 * (1e-6 + (1.0 - 1e-6) * step / 100.0) ELSE 6e-5 * 0.5 * (1.0 + cos(pi() * done)) END, 12) AS cosine, round(CASE WHEN step < 100 THEN 6e-5 * (1e-6 + (1.0 - 1e-6) * step / 100.0) ELSE 6e-5 END, 12) AS constant FROM s""")
 def learning_rates(spark, d):
-    step = F.col("raw")
-    return numbers(spark, 1000).select(step.alias("step"), *[F.round(scalars.learning_rate(step, 6e-5, 1000, 100, kind), 12).alias(kind) for kind in ("poly", "cosine", "constant")])
+    """The rate of each event, as a step of runs of 1,000 steps."""
+    step = (F.col("event_id") % 1000).cast("int")
+    return table(spark, d, "events").select("event_id", *[F.round(scalars.learning_rate(step, 6e-5, 1000, 100, kind), 12).alias(kind) for kind in ("poly", "cosine", "constant")])
 
 
-@register("SELECT CAST(p AS INTEGER) AS side, list_sort(list_distinct(list_concat(range(0, greatest(0, p - 512) + 1, 341), [greatest(0, p - 512)])))::VARCHAR AS origins FROM range(400, 2100, 137) t(p)")
+@register("SELECT p_partkey, list_sort(list_distinct(list_concat(range(0, greatest(0, p - 512) + 1, 341), [greatest(0, p - 512)])))::VARCHAR AS origins FROM (SELECT p_partkey, CAST(300 + 37 * p_size AS BIGINT) AS p FROM part)")
 def tile_origins(spark, d):
-    sides = spark.range(400, 2100, 137).select(F.col("id").cast("int").alias("side"))
-    return sides.select("side", F.concat(F.lit("["), F.array_join(scalars.tile_origins(F.col("side"), 512, 341), ", "), F.lit("]")).alias("origins"))
+    sides = table(spark, d, "part").select("p_partkey", (300 + 37 * F.col("p_size")).cast("int").alias("side"))
+    return sides.select("p_partkey", F.concat(F.lit("["), F.array_join(scalars.tile_origins(F.col("side"), 512, 341), ", "), F.lit("]")).alias("origins"))
 
 
 @register("SELECT c_custkey, CASE WHEN length(t) <= 64 THEN t ELSE substr(t, 1, 55) || '-' || substr(sha1(t), 1, 8) END AS tag FROM (SELECT c_custkey, repeat(c_name || '-', CAST(c_custkey % 6 + 1 AS INTEGER)) AS t FROM customer)")
@@ -87,16 +85,6 @@ def boundary_f_mean(spark, d):
     return metrics.boundary_mean(scores)
 
 
-@register("""WITH t AS (SELECT image_id, list_sum(list_sort(distances, 'DESC')[1:4]) / 4 AS a, list_sum(list_sort(distances, 'DESC')[1:8]) / 8 AS b FROM tails),
-r AS (SELECT rank() OVER (ORDER BY round(a, 9)) + (count(*) OVER (PARTITION BY round(a, 9)) - 1) / 2.0 AS a, rank() OVER (ORDER BY round(b, 9)) + (count(*) OVER (PARTITION BY round(b, 9)) - 1) / 2.0 AS b FROM t)
-SELECT round(corr(a, b), 6) AS spearman FROM r""", "patches")
-def vocabularies_agree(spark, d):
-    from tessella.operators import scoring
-
-    scores = X.patch_scores(spark, d)
-    return diagnostics.compared(scores.select("image_id", scoring.tail_mean("distances", 0.25).alias("score")), scores.select("image_id", scoring.tail_mean("distances", 0.5).alias("score")))
-
-
 @register("""WITH old AS (SELECT CAST(image_id AS VARCHAR) AS image_id, label AS v FROM emb WHERE label < 7), new AS (SELECT CAST(image_id AS VARCHAR) AS image_id, 100 + label AS v FROM emb WHERE label > 4)
 SELECT image_id, CAST(v AS DOUBLE) AS v FROM new UNION ALL SELECT image_id, CAST(v AS DOUBLE) FROM old WHERE image_id NOT IN (SELECT image_id FROM new)""", "emb")
 def store_upserted(spark, d):

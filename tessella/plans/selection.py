@@ -257,22 +257,28 @@ def patch_sample(spark, d):
     return derive.sampled(X.patches(spark, d), 5, 3).select("image_id", "patch_idx")
 
 
-SWEEP = "sweep AS (SELECT CAST(k AS INTEGER) AS k, round(1000.0 / (k + 1) + k, 6) AS inertia FROM (SELECT unnest([2, 3, 5, 8, 13, 21, 34]) AS k))"
+SWEEP = """sums AS (SELECT k, label % k AS g, d, sum(x) AS x, count(*) AS n FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM emb), (SELECT unnest([2, 3, 4, 5, 7, 10]) AS k) GROUP BY ALL),
+groups AS (SELECT k, g, sqrt(sum(x * x)) AS length, max(n) AS n FROM sums GROUP BY k, g), sweep AS (SELECT CAST(k AS INTEGER) AS k, round(sum(2 * (n - length)), 6) AS inertia FROM groups GROUP BY k)"""
 
 
-def sweep(spark) -> DataFrame:
-    return spark.createDataFrame([(k,) for k in (2, 3, 5, 8, 13, 21, 34)], "k int").select("k", F.round(1000.0 / (F.col("k") + 1) + F.col("k"), 6).alias("inertia"))
+def sweep(spark, d: str) -> DataFrame:
+    """(k, inertia) of the embeddings dealt to k groups by their labels: twice the summed cosine distance to the groups' mean directions."""
+    ks = F.explode(F.array(*[F.lit(k) for k in (2, 3, 4, 5, 7, 10)]))
+    each = X.emb(spark, d).select("label", "v", ks.alias("k")).select("k", (F.col("label") % F.col("k")).alias("g"), F.posexplode("v").alias("d", "x"))
+    sums = each.groupBy("k", "g", "d").agg(F.sum("x").alias("x"), F.count(F.lit(1)).alias("n"))
+    groups = sums.groupBy("k", "g").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"), F.max("n").alias("n"))
+    return groups.groupBy("k").agg(F.round(F.sum(2.0 * (F.col("n") - F.col("length"))), 6).alias("inertia"))
 
 
-@register("WITH " + SWEEP + " SELECT k, inertia, round(-100.0 * (inertia - lag(inertia) OVER (ORDER BY k)) / lag(inertia) OVER (ORDER BY k), 6) AS inertia_drop_pct FROM sweep")
+@register("WITH " + SWEEP + " SELECT k, inertia, round(-100.0 * (inertia - lag(inertia) OVER (ORDER BY k)) / lag(inertia) OVER (ORDER BY k), 6) AS inertia_drop_pct FROM sweep", "emb")
 def inertia_drop(spark, d):
-    return diagnostics.inertia_drop(sweep(spark))
+    return diagnostics.inertia_drop(sweep(spark, d))
 
 
 @register("WITH " + SWEEP + """, e AS (SELECT k, ln(k) AS x, inertia AS y, ln(first_value(k) OVER w) AS x0, ln(last_value(k) OVER w) AS x1, first_value(inertia) OVER w AS y0, last_value(inertia) OVER w AS y1 FROM sweep WINDOW w AS (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
-SELECT k AS elbow_k FROM e ORDER BY round(abs(1.0 - (x - x0) / (x1 - x0) - (y - y1) / (y0 - y1)), 9) DESC, k LIMIT 1""")
+SELECT k AS elbow_k FROM e ORDER BY round(abs(1.0 - (x - x0) / (x1 - x0) - (y - y1) / (y0 - y1)), 9) DESC, k LIMIT 1""", "emb")
 def elbow(spark, d):
-    return diagnostics.elbow(sweep(spark))
+    return diagnostics.elbow(sweep(spark, d))
 
 
 @register()
