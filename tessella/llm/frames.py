@@ -82,3 +82,11 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a frame of a few longs a row for broadcast if it was counted to at most `rows` rows, some 20 MB; else leave the join to shuffle."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def free(df: DataFrame, name: str) -> str:
+    """A column name that a frame does not have, in any case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.llm import kernels as K
+from tessella.llm.frames import free
 
 BUCKETS = 1 << 15
 SAMPLE = 20_000
@@ -241,12 +242,13 @@ def accept(docs: DataFrame, model: Model, least: float = LEAST, switch: float =
     """The documents, with all their columns, whose language is known: not `und`, and one language holds `least` of the letters.
 
     Rows pass through the labeller once. Null and empty texts are `und`, so they go; repeated rows are judged alike; a null id or
-    lang changes nothing. Columns may have any name but `__lang` and `__score`.
+    lang changes nothing. Columns may have any name.
     """
-    names = [*docs.columns, "__lang", "__score"]
-    schema = T.StructType([*docs.schema.fields, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())])
+    lang, score = free(docs, "lang_found"), free(docs, "score_found")
+    names = [*docs.columns, lang, score]
+    schema = T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
     known = docs.mapInArrow(labeller(docs, model, switch, list(range(len(docs.columns))), docs.columns.index("text"), False, names), schema)
-    return known.where((F.col("__lang") != "und") & (F.col("__score") >= least)).select(*docs.columns)
+    return known.where((F.col(lang) != "und") & (F.col(score) >= least)).select(*docs.columns)
 
 
 def identify(docs: DataFrame, limit: int = SAMPLE) -> DataFrame:

@@ -22,16 +22,26 @@ from tessella.llm.frames import stored
 CELLS = 256
 #: Vectors whose components set the thresholds; they change the bounds' width, never the result.
 SAMPLE = 20_000
-BLOCK = 4096
+#: Bytes of approximations in a block. Queries are copied to every block, and every block returns at least k rows a query, so blocks are as large as a task can hold.
+BLOCK = 1 << 25
 QUERIES = 16_384
 FIRST = 2
-_CHUNK = 256
+#: Scores are whole numbers of 64 bits: no component is larger than this over the root of the dimension.
+LARGEST = 1 << 31
+#: What sums of doubles can be off by, as a share of the summands.
+ROUNDING = 1e-12
+_CHUNK, _ROWS = 256, 8192
 
 
 def quantise(vectors: DataFrame, id_col: str, vector_col: str, scale: int = 256) -> DataFrame:
-    """(vec_id, v): components floor(scale * x) as longs; vectors that are null, empty or hold a null or non-finite component go."""
+    """(vec_id, v): components floor(scale * x) as longs; vectors that are null, empty or hold a null, non-finite or too large component go.
+
+    Too large is what could take a score beyond 64 bits: components of LARGEST / sqrt(dimension) or more after scaling.
+    """
     bad = F.exists(vector_col, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == F.lit(float("inf"))))
-    return vectors.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).where(~bad & (F.size(vector_col) > 0)).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
+    held = vectors.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).where(~bad & (F.size(vector_col) > 0))
+    large = F.exists(vector_col, lambda x: F.abs(x.cast("double")) * scale >= LARGEST / F.sqrt(F.size(vector_col).cast("double")))
+    return held.where(~large).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
 
 
 def thresholds(exact: DataFrame, total: int) -> dict[int, list[tuple[np.ndarray, int, int]]]:
@@ -70,40 +80,51 @@ def approximations(exact: DataFrame, cuts: dict[int, list[tuple[np.ndarray, int,
 
 
 def bounds(block: pd.DataFrame, queries: pd.DataFrame, cuts: list[tuple[np.ndarray, int, int]], k: int) -> pd.DataFrame:
-    """The vectors of a block that can be among a query's best k of it, with the bounds of their scores: (query_id, vec_id, least, most)."""
+    """The vectors of a block that can be among a query's best k of it, with the bounds of their scores: (query_id, vec_id, least, most).
+
+    The block is met in parts of _ROWS vectors; the kth best lower bound so far is carried from part to part, so only the first part is looked at without one.
+    """
     cells = np.frombuffer(b"".join(block["cells"]), dtype=np.uint8).reshape(len(block), -1)
-    middle, half = np.empty(cells.shape), np.empty(cells.shape)
-    for d, (at, lo, hi) in enumerate(cuts):
-        low, high = np.concatenate(([lo], at)).astype(np.float64), np.concatenate((at - 1, [hi])).astype(np.float64)
-        middle[:, d], half[:, d] = ((low + high) / 2)[cells[:, d]], ((high - low) / 2)[cells[:, d]]
-    ids, asked, parts = block["vec_id"].to_numpy(), queries["vec_id"].to_numpy(), []
+    low = [np.concatenate(([lo], at)).astype(np.float64) for at, lo, _ in cuts]
+    high = [np.concatenate((at - 1, [hi])).astype(np.float64) for at, _, hi in cuts]
+    ids, asked = block["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
     vectors = np.stack(queries["v"].to_numpy()).astype(np.float64)
-    for lo in range(0, len(asked), _CHUNK):
-        q, own_ids = vectors[lo : lo + _CHUNK], asked[lo : lo + _CHUNK]
-        centre, reach = q @ middle.T, np.abs(q) @ half.T
-        least, most = centre - reach, centre + reach
-        own = own_ids[:, None] == ids[None, :]
-        least[own] = -np.inf
-        n = least.shape[1]
-        sure = np.partition(least, n - k, axis=1)[:, n - k] if n > k else np.full(len(q), -np.inf)
-        at, to = np.nonzero((most >= sure[:, None]) & ~own)
-        parts.append(pd.DataFrame({"query_id": own_ids[at], "vec_id": ids[to], "least": least[at, to], "most": most[at, to]}))
-    return pd.concat(parts)
-
-
-def search(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    best, parts = np.full((len(asked), k), -np.inf), []
+    for start in range(0, len(ids), _ROWS):
+        part, own_part = cells[start : start + _ROWS], ids[start : start + _ROWS]
+        middle = np.stack([((low[d] + high[d]) / 2)[part[:, d]] for d in range(len(cuts))], axis=1)
+        half = np.stack([((high[d] - low[d]) / 2)[part[:, d]] for d in range(len(cuts))], axis=1)
+        half += ROUNDING * (np.abs(middle) + half)
+        for lo in range(0, len(asked), _CHUNK):
+            q, own_ids = vectors[lo : lo + _CHUNK], asked[lo : lo + _CHUNK]
+            centre, reach = q @ middle.T, np.abs(q) @ half.T
+            least, most = centre - reach, centre + reach
+            own = own_ids[:, None] == own_part[None, :]
+            least[own] = -np.inf
+            n = least.shape[1]
+            top = least if n <= k else np.partition(least, n - k, axis=1)[:, n - k :]
+            best[lo : lo + _CHUNK] = np.sort(np.concatenate((best[lo : lo + _CHUNK], top), axis=1), axis=1)[:, -k:]
+            at, to = np.nonzero((most >= best[lo : lo + _CHUNK, :1]) & ~own)
+            parts.append((lo + at, own_part[to], least[at, to], most[at, to]))
+    at, to, least, most = (np.concatenate(x) for x in zip(*parts, strict=True))
+    kept = most >= best[at, 0]
+    return pd.DataFrame({"query_id": asked[at[kept]], "vec_id": to[kept], "least": least[kept], "most": most[kept]})
+
+
+def search(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
     """Each query's k best candidates: (query_id, rank, vec_id, score), ties to the smaller id.
 
     Queries are the rows whose id is divisible by `every`; candidates are all other rows of the same dimension. Blocks of about
-    BLOCK approximations meet groups of QUERIES queries; blocks depend on ids alone, so equal vectors spread evenly. A query with
+    `block` bytes of approximations, and at least one for each core, meet groups of QUERIES queries; blocks depend on ids alone, so equal vectors spread evenly. A query with
     fewer than k candidates returns all of them. Rows repeated under one id count once (the smallest vector). Null or
-    non-finite vectors and null ids take no part. An empty table gives no rows; other columns are not read.
+    non-finite vectors, those with components too large for scores of 64 bits, and null ids take no part. An empty table gives no rows; other columns are not read.
     """
     exact = stored(quantise(vectors, id_col, vector_col).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")))
     total = max(1, exact.count())
     cuts = thresholds(exact, total)
     file = stored(approximations(exact, cuts))
-    blocks, groups = -(-total // BLOCK), -(-total // (every * QUERIES))
+    size = exact.agg(F.sum("dim")).first()[0] or 0
+    blocks, groups = max(-(-size // block), vectors.sparkSession.sparkContext.defaultParallelism), -(-total // (every * QUERIES))
     spread = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
     each = file.withColumn("c", spread(blocks, 1)).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     queries = exact.where(F.col("vec_id") % every == 0)

@@ -34,6 +34,14 @@ def test_html_shared_blocks_of_articles_go_only_when_hinted_or_common(spark):
     assert set(copies.values()) == {f"{shared}\n\n{other}"}
 
 
+@pytest.mark.parametrize("n", [1, 4, 8, 80])
+def test_html_near_copied_articles_keep_all_text(spark, n):
+    parts = [f"Paragraph {p} of the story that every one of these pages tells word by word" for p in range(5)]
+    body = lambda i: "<article>" + "".join(f"<p>{p}</p>" for p in parts) + f"<p>Line {i} stands here alone</p></article><footer>menu</footer>"
+    found = dict(extracted(pages(spark, *[(i, "http://copies.example/", body(i)) for i in range(n)])))
+    assert found == {i: "\n\n".join([*parts, f"Line {i} stands here alone"]) for i in range(n)}
+
+
 def test_html_odd_markup_has_defined_texts(spark):
     rows = [
         (1, None, "<article>&<b>amp;</b> &lt;x&gt; &#65;</article>"), (2, "no host", "plain < 5 words & more"), (3, "http://a.example", "<article><p class='related-work'>kept</p><div class='search-algorithms'>kept too</div><div class='related-posts'>gone</div></article>"),
@@ -155,6 +163,29 @@ def test_topk_ties_repeats_and_other_lengths(spark):
     assert [r[3] for r in found if r[0] == 50] == [25 * 128 + 25 * 64] * 5
 
 
+def test_topk_leaves_out_what_no_score_holds_and_meets_small_blocks(spark):
+    rng = np.random.default_rng(3)
+    vectors = [rng.normal(size=6).tolist() for _ in range(400)]
+    vectors[7], vectors[8], vectors[50] = [1e30] * 6, [float(1 << 23)] + [0.0] * 5, vectors[49]
+    table = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    kept = [None if i in (7, 8) else v for i, v in enumerate(vectors)]
+    expected = vafile.brute(list(range(400)), kept)
+    for block in (100, 1 << 25):
+        assert sorted(map(tuple, vafile.search(table, block=block).collect())) == expected
+    assert {r.vec_id for r in vafile.quantise(table, "vec_id", "embedding").collect()} == set(range(400)) - {7, 8}
+
+
+def test_columns_of_any_name_pass_the_stages(spark):
+    text = "the river runs past the old stone mill and the bridge over it"
+    names = ["__id", "__gone", "id", "_id", "gone", "__lang", "__score", "lang_found", "score_found"]
+    docs = spark.createDataFrame([(1, text, "en", *names), (2, f"{text}\nmore words follow here", "en", *names)], ["doc_id", "text", "lang", *names])
+    left = linededup.remove(docs, linededup.repeats(docs))
+    assert left.columns == docs.columns and sorted(r.text for r in left.collect()) == sorted([text, "more words follow here"])
+    assert all(tuple(r)[3:] == tuple(names) for r in left.collect())
+    known = langid.accept(docs, langid.learn(docs))
+    assert known.columns == docs.columns
+
+
 def test_join_of_near_copies_in_large_groups_and_of_repeated_ids(spark):
     dice = random.Random(9)
     base = [f"w{dice.randrange(900)}" for _ in range(60)]
