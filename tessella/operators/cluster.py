@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +18,9 @@ from tessella.functions import vectors as V
 log = logging.getLogger(__name__)
 #: Passes that draw candidates for seeds, and how many of them a pass draws for each prototype.
 ROUNDS, OVER = 4, 2
+#: Rows that a task compares with all prototypes at once.
+TOGETHER = 512
+NAMES = ["at", "sums", "sim", "row_idx"]
 EPS = 1e-12
 #: Prototypes rest when a pass moves no coordinate by more, which sums in another order may.
 STILL = 1e-12
@@ -70,14 +74,14 @@ def seeds(points: np.ndarray, k: int, rng: np.random.Generator, weight: np.ndarr
     return points[picked].copy()
 
 
-def spread_seeds(rows: DataFrame, k: int, starts: list[int], rounds: int = ROUNDS, over: int = OVER) -> np.ndarray:
-    """[starts, k, d]: greedy k-means++ over candidates that passes over all rows draw by distance, for all starts at once.
+def pools(rows: DataFrame, k: int, starts: list[int], rounds: int = ROUNDS, over: int = OVER) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each start, candidates for k seeds with their weights, that passes over all rows draw by distance, for all starts at once.
 
     The first pass draws one row a start, each further one the over * k rows of the least exponential times at a rate of their distance to the
-    candidates so far, and the last counts the rows nearest to each candidate, which weigh it on the driver. Times come from the hash of row_idx, so
-    partitions do not matter. On the driver are starts * (1 + rounds * over * k) vectors, whatever the rows.
+    candidates so far, and the last counts the rows nearest to each candidate. Times come from the hash of row_idx, so partitions do not matter.
+    On the driver are starts * (1 + rounds * over * k) vectors, whatever the rows.
     """
-    held: list[list[tuple[int, np.ndarray]]] = [[] for _ in starts]
+    held: list[list[np.ndarray]] = [[] for _ in starts]
 
     def chances(ids: np.ndarray, *salt: int) -> np.ndarray:
         x = ids.astype(np.uint64) ^ np.random.default_rng(salt).integers(1 << 64, dtype=np.uint64)
@@ -93,7 +97,7 @@ def spread_seeds(rows: DataFrame, k: int, starts: list[int], rounds: int = ROUND
     spark = rows.sparkSession
     for step in range(rounds + 1):
         most = over * k if step else 1
-        shared = spark.sparkContext.broadcast([np.stack([v for _, v in h]) if h else None for h in held])
+        shared = spark.sparkContext.broadcast([np.stack(h) if h else None for h in held])
 
         def race(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -111,9 +115,9 @@ def spread_seeds(rows: DataFrame, k: int, starts: list[int], rounds: int = ROUND
 
         ran = rows.select("row_idx", "v").mapInPandas(race, "i int, time double, row_idx long, v array<double>")
         place = F.row_number().over(W.partitionBy("i").orderBy("time", "row_idx"))
-        for r in sorted(ran.withColumn("n", place).where(F.col("n") <= most).select("i", "n", "row_idx", "v").collect()):
-            held[r.i].append((r.row_idx, np.asarray(r.v)))
-    points = [np.stack([v for _, v in h]) for h in held]
+        for r in sorted(ran.withColumn("n", place).where(F.col("n") <= most).select("i", "n", "v").collect()):
+            held[r.i].append(np.asarray(r.v))
+    points = [np.stack(h) for h in held]
     shared = spark.sparkContext.broadcast(points)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -128,104 +132,173 @@ def spread_seeds(rows: DataFrame, k: int, starts: list[int], rounds: int = ROUND
     weight = [np.zeros(len(p)) for p in points]
     for r in rows.select("v").mapInPandas(count, "i int, j int, n double").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
         weight[r.i][r.j] = r.n
-    return np.stack([seeds(p, k, np.random.default_rng(s), w) for p, s, w in zip(points, starts, weight, strict=True)])
+    return list(zip(points, weight, strict=True))
 
 
-def lloyd_pass(rows: DataFrame, now: np.ndarray, spare: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
-    """One pass over all rows for all restarts at once: member sums, counts and cosine sums by restart.
+def spread_seeds(rows: DataFrame, k: int, starts: list[int]) -> np.ndarray:
+    """[starts, k, d]: greedy k-means++ over the candidates of each start."""
+    return np.stack([seeds(p, k, np.random.default_rng(s), w) for s, (p, w) in zip(starts, pools(rows, k, starts), strict=True)])
 
-    `now` is [restarts, k, d]. Each task reduces its rows to restarts * k partial sums; partials meet in a grouped sum and
-    restarts * k * d numbers reach the driver. Nothing of a pass is kept, so a lost executor costs its tasks alone.
-    With `spare` also the farthest rows of each task that are off their prototype, for empty ones.
+
+def pass_over(rows: DataFrame, fits: list[np.ndarray], spare: int = 0) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, list]:
+    """One pass over all rows for all fits at once, each of its own k: member sums and counts by prototype, and cosine sums by fit.
+
+    Each task reduces its rows to one partial row a prototype; partials are dealt by prototype and added in numpy again, and one row a prototype reaches
+    the driver. Nothing of a pass is kept, so a lost executor costs its tasks alone. With `spare` also the farthest rows that are off their prototype, for empty ones.
     """
-    r, k, d = now.shape
-    shared = rows.sparkSession.sparkContext.broadcast(now)
+    spark = rows.sparkSession
+    bounds = np.cumsum([0, *(len(f) for f in fits)])
+    shared = spark.sparkContext.broadcast((np.concatenate(fits), bounds))
+    d = fits[0].shape[1]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        new = shared.value
-        sums, counts, total = np.zeros((r, k, d)), np.zeros((r, k)), np.zeros(r)
-        far: list[tuple] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, bounds = shared.value
+        sums, far = np.zeros((len(centres), d + 2)), []
         for batch in batches:
-            x = np.stack(batch["v"].to_numpy())
-            for i in range(r):
-                sim = x @ new[i].T
-                label = sim.argmax(axis=1)
-                np.add.at(sums[i], label, x)
-                counts[i] += np.bincount(label, minlength=k)
-                best = sim[np.arange(len(x)), label]
-                total[i] += best.sum()
-                if spare:
-                    order = np.argsort(best, kind="stable")[:spare]
-                    far += [(i, float(best[j]), int(batch["row_idx"].iloc[j]), x[j].tolist()) for j in order if 1.0 - best[j] > EPS]
-        out = [(i, c, np.concatenate((sums[i, c], [counts[i, c], total[i]])).tolist(), None, None) for i in range(r) for c in range(k)]
-        for i in range(r):
-            out += [(i, -1, v, s, at) for _, s, at, v in sorted((f for f in far if f[0] == i), key=lambda f: (f[1], f[2]))[:spare]]
-        yield pd.DataFrame(out, columns=["restart", "cluster", "sums", "sim", "row_idx"])
-
-    parts = rows.select("row_idx", "v").mapInPandas(run, "restart int, cluster int, sums array<double>, sim double, row_idx long")
+            whole = np.asarray(batch.column(1).flatten()).reshape(-1, d)
+            for lo in range(0, len(whole), TOGETHER):
+                x = whole[lo : lo + TOGETHER]
+                sim = x @ centres.T
+                one = np.concatenate((x, np.ones((len(x), 1))), axis=1)
+                for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+                    label = sim[:, a:b].argmax(axis=1)
+                    best = sim[np.arange(len(x)), a + label]
+                    order = np.argsort(label, kind="stable")
+                    here, start = np.unique(label[order], return_index=True)
+                    sums[a + here, :-1] += np.add.reduceat(one[order], start)
+                    sums[a, -1] += best.sum()
+                    if spare:
+                        ids = np.asarray(batch.column(0))[lo : lo + TOGETHER]
+                        far += [(i, float(best[j]), int(ids[j]), x[j].tolist()) for j in np.lexsort((ids, best))[:spare] if 1.0 - best[j] > EPS]
+        at = np.flatnonzero(sums.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), listed(sums[at]), pa.nulls(len(at), pa.float64()), pa.nulls(len(at), pa.int64())], NAMES)
+        if far:
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - f[0] for f in far], pa.int64()), pa.array([f[3] for f in far], pa.list_(pa.float64())), pa.array([f[1] for f in far]), pa.array([f[2] for f in far], pa.int64())], NAMES)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            values = np.asarray(batch.column(1).flatten()).reshape(-1, d + 2)
+            for key, v in zip(batch.column(0).to_pylist(), values, strict=True):
+                total[key] = total[key] + v if key in total else v.copy()
+        keys = sorted(total)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), listed(np.array([total[k] for k in keys]).reshape(-1, d + 2))], NAMES[:2])
+
+    parts = rows.select("row_idx", "v").mapInArrow(run, "at long, sums array<double>, sim double, row_idx long")
     if spare:
         parts = parts.persist()
-    summed = parts.where("cluster >= 0").select("restart", "cluster", F.posexplode("sums").alias("d", "x")).groupBy("restart", "cluster", "d").agg(F.sum("x").alias("x")).collect()
-    table = np.zeros((r, k, d + 2))
-    for i, c, j, x in summed:
-        table[i, c, j] = x
+    added = parts.where("at >= 0").select("at", "sums").repartition("at").sortWithinPartitions("at", "sums").mapInArrow(add, "at long, sums array<double>").toArrow()
+    table = np.zeros((bounds[-1], d + 2))
+    if added.num_rows:
+        table[np.asarray(added.column(0))] = np.asarray(added.column(1).combine_chunks().flatten()).reshape(-1, d + 2)
     far = []
     if spare:
-        far = [tuple(x) for i in range(r) for x in parts.where((F.col("cluster") == -1) & (F.col("restart") == i)).orderBy("sim", "row_idx").limit(spare).select("restart", "sim", "sums").collect()]
+        place = F.row_number().over(W.partitionBy("at").orderBy("sim", "row_idx"))
+        far = [(-1 - r[0], r[1], r[2]) for r in sorted(parts.where("at < 0").withColumn("n", place).where(F.col("n") <= spare).select("at", "sim", "sums", "n").collect(), key=lambda r: (-r[0], r[3]))]
         parts.unpersist()
-    return table[:, :, :d], table[:, :, d], table[:, 0, d + 1], far
+    cut = [table[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    return [c[:, :d] for c in cut], [c[:, d] for c in cut], np.array([c[0, d + 1] for c in cut]), far
+
+
+def listed(values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, max(1, values.shape[1])), pa.int32()), pa.array(values.ravel()))
 
 
 def fit(rows: DataFrame, k: int, seed: int = 0, restarts: int = 10, most: int = 300, reseed: str = "off_prototype", init: str = "plusplus") -> Fit:
     """Spherical k-means over (row_idx, v), v unit vectors; the restart of the least summed distance, the earliest on ties.
 
-    Restart i is seeded by seed * restarts + i over all rows, on Spark at any size. A restart rests when a pass moves no prototype. An empty prototype takes the farthest row: with reseed="off_prototype" only one that is off its
-    own prototype. `init="first_k"` starts from the first k rows by row_idx.
+    The restarts of a seed share its candidates, over all rows at any size, and draw from them by seed * restarts + i. A restart rests when a pass moves
+    no prototype. An empty prototype takes the farthest row: with reseed="off_prototype" only one that is off its own prototype.
+    `init="first_k"` starts from the first k rows by row_idx.
     """
+    return fit_all(rows, [(k, seed)], restarts, most, reseed, init)[k, seed]
+
+
+def fit_all(rows: DataFrame, jobs: list[tuple[int, int]], restarts: int = 10, most: int = 300, reseed: str = "off_prototype", init: str = "plusplus") -> dict[tuple[int, int], Fit]:
+    """fit() for each (k, seed) of jobs, in one set of passes: all fits that do not rest yet are in each pass."""
     n = rows.count()
-    if not 1 <= k <= n:
-        raise ValueError(f"{n} rows make no k={k} prototypes")
-    restarts = 1 if init == "first_k" else restarts
+    for k, _ in jobs:
+        if not 1 <= k <= n:
+            raise ValueError(f"{n} rows make no k={k} prototypes")
     rows = rows.select("row_idx", "v").persist()
     try:
         if init == "first_k":
-            now = np.stack([np.asarray(x[1]) for x in sorted(rows.orderBy("row_idx").limit(k).collect())])[None]
+            restarts, top = 1, max(k for k, _ in jobs)
+            first = np.stack([np.asarray(x[1]) for x in sorted(rows.orderBy("row_idx").limit(top).collect())])
+            starts = {(job, 0): first[: job[0]] for job in jobs}
         else:
-            now = spread_seeds(rows, k, [seed * restarts + i for i in range(restarts)])
-        return rest(rows, now, n, seed, restarts, most, reseed)
+            named = list(dict.fromkeys(seed for _, seed in jobs))
+            pool = dict(zip(named, pools(rows, max(k for k, _ in jobs), named), strict=True))
+            starts = {((k, seed), i): seeds(pool[seed][0], k, np.random.default_rng(seed * restarts + i), pool[seed][1]) for k, seed in jobs for i in range(restarts)}
+        done = rest(rows, starts, n, most, reseed)
     finally:
         rows.unpersist()
+    out = {}
+    for job in jobs:
+        best = min(range(restarts), key=lambda i: (round(done[job, i][0], V.PLACES), i))  # noqa: B023
+        objective, centroids, converged = done[job, best]
+        out[job] = Fit(centroids, float(objective), job[1] * restarts + best, converged)
+    return out
 
 
-def rest(rows: DataFrame, now: np.ndarray, n: int, seed: int, restarts: int, most: int, reseed: str) -> Fit:
-    """Lloyd passes until every restart rests: its prototypes are the means of their own members."""
-    done: dict[int, tuple[float, np.ndarray, bool]] = {}
-    live = list(range(len(now)))
+def rest(rows: DataFrame, starts: dict, n: int, most: int, reseed: str) -> dict:
+    """(objective, prototypes, at rest) of each start after Lloyd passes until its prototypes are the means of their own members."""
+    done, live = {}, dict(starts)
     for _ in range(most):
-        sums, counts, total, _ = lloyd_pass(rows, now)
-        norms = np.linalg.norm(sums, axis=2)
-        empty = norms <= EPS
-        after = np.where(empty[:, :, None], now, sums / np.where(empty, 1.0, norms)[:, :, None])
-        if empty.any():
-            *_, far = lloyd_pass(rows, now, spare=int(empty.sum(axis=1).max()))
-            for j in range(len(live)):
+        names, now = list(live), list(live.values())
+        sums, counts, total, _ = pass_over(rows, now)
+        norms = [np.linalg.norm(s, axis=1) for s in sums]
+        after = [np.where((m <= EPS)[:, None], c, s / np.where(m <= EPS, 1.0, m)[:, None]) for m, c, s in zip(norms, now, sums, strict=True)]
+        missing = max(int((m <= EPS).sum()) for m in norms)
+        if missing:
+            *_, far = pass_over(rows, now, spare=missing)
+            for j, m in enumerate(norms):
                 spare = [f for f in far if f[0] == j and (reseed == "any" or 1.0 - f[1] > EPS)]
-                for c, f in zip(np.flatnonzero(empty[j]), spare, strict=False):
-                    after[j, c] = f[2]
-        still = np.abs(after - now).max(axis=(1, 2)) <= STILL
-        for j in np.flatnonzero(still):
-            done[live[j]] = (n - total[j], now[j], True)
-        live, now = [i for i, s in zip(live, still, strict=True) if not s], after[~still]
+                for c, f in zip(np.flatnonzero(m <= EPS), spare, strict=False):
+                    after[j][c] = f[2]
+        for j, name in enumerate(names):
+            if np.abs(after[j] - now[j]).max() <= STILL:
+                done[name] = (n - total[j], now[j], True)
+                del live[name]
+            else:
+                live[name] = after[j]
         if not live:
-            break
-    if live:
-        log.warning("%d restarts did not rest within %d passes", len(live), most)
-        *_, total, _ = lloyd_pass(rows, now)
-        for j, i in enumerate(live):
-            done[i] = (n - total[j], now[j], False)
-    best = min(done, key=lambda i: (round(done[i][0], V.PLACES), i))
-    objective, centroids, converged = done[best]
-    return Fit(centroids, float(objective), seed * restarts + best, converged)
+            return done
+    log.warning("%d fits did not rest within %d passes", len(live), most)
+    *_, total, _ = pass_over(rows, list(live.values()))
+    for j, (name, centroids) in enumerate(live.items()):
+        done[name] = (n - total[j], centroids, False)
+    return done
+
+
+def silhouettes(rows: DataFrame, fits: list[np.ndarray]) -> list[float | None]:
+    """silhouette() of rows (row_idx, v) under each of several fits, in two passes: the fits' member sums, then every row against them."""
+    sums, counts, _, _ = pass_over(rows, fits)
+    bounds = np.cumsum([0, *(len(f) for f in fits)])
+    shared = rows.sparkSession.sparkContext.broadcast((np.concatenate(fits), np.concatenate(sums), np.concatenate(counts), bounds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, sums, counts, bounds = shared.value
+        total, seen = np.zeros(len(bounds) - 1), 0
+        for batch in batches:
+            whole = np.asarray(batch.column(0).flatten()).reshape(-1, centres.shape[1])
+            seen += len(whole)
+            for lo in range(0, len(whole), TOGETHER):
+                x = whole[lo : lo + TOGETHER]
+                sim, cos = x @ centres.T, x @ sums.T
+                for i, (p, q) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+                    label, size, at = sim[:, p:q].argmax(axis=1), counts[p:q], np.arange(len(x))
+                    own = size[label]
+                    a = 1.0 - (cos[at, p + label] - 1.0) / np.maximum(own - 1, 1)
+                    away = np.where(size > 0, 1.0 - cos[:, p:q] / np.maximum(size, 1), np.inf)
+                    away[at, label] = np.inf
+                    b = away.min(axis=1)
+                    top = np.maximum(a, b)
+                    total[i] += np.where((own > 1) & np.isfinite(b) & (top != 0), (b - a) / np.where(top == 0, 1.0, top), 0.0).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total), pa.array(np.full(len(total), seen))], ["i", "s", "n"])
+
+    found = {r.i: r.s / r.n for r in rows.select("v").mapInArrow(run, "i long, s double, n long").groupBy("i").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect() if r.n}
+    return [found.get(i) if (c > 0).sum() > 1 else None for i, c in enumerate(counts)]
 
 
 def as_prototypes(spark: SparkSession, centroids: np.ndarray) -> DataFrame:

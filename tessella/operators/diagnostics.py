@@ -147,26 +147,26 @@ def sensitivity(base: DataFrame, others: dict[str, DataFrame], budgets: Iterable
     return out
 
 
-def diagnose(rows: DataFrame, ks: Iterable[int], seeds: Iterable[int], restarts: int = 3) -> DataFrame:
+def diagnose(rows: DataFrame, ks: Iterable[int], seeds: Iterable[int], restarts: int = 10) -> DataFrame:
     """Silhouette and inertia of fitted clusters over (k, seed): means, population deviations and the drop of inertia."""
-    seeds, found = list(seeds), []
-    for k in ks:
-        for seed in seeds:
-            scored, fit = cluster.scored(rows, k, seed, restarts)
-            found.append((k, seed, cluster.silhouette(scored.select("v", "cluster")), 2.0 * fit.objective))
+    seeds = list(seeds)
+    jobs = [(k, seed) for k in ks for seed in seeds]
+    fits = cluster.fit_all(rows, jobs, restarts)
+    scores = cluster.silhouettes(rows, [fits[j].centroids for j in jobs])
+    found = [(*job, score, 2.0 * fits[job].objective) for job, score in zip(jobs, scores, strict=True)]
     table = rows.sparkSession.createDataFrame(found, "k int, seed int, silhouette double, inertia double")
     means = table.groupBy("k").agg(F.avg("silhouette").alias("silhouette_mean"), F.stddev_pop("silhouette").alias("silhouette_std"), F.avg("inertia").alias("inertia"), F.stddev_pop("inertia").alias("inertia_std"))
     return inertia_drop(means).withColumnRenamed("inertia", "inertia_mean")
 
 
-def stability(rows: DataFrame, ks: Iterable[int], seeds: Iterable[int], budget: int, reference: int, restarts: int = 3) -> DataFrame:
+def stability(rows: DataFrame, ks: Iterable[int], seeds: Iterable[int], budget: int, reference: int, restarts: int = 10) -> DataFrame:
     """k-sweep: cluster sizes, and how distances and selections agree across seeds and with the reference k."""
     spark: SparkSession = rows.sparkSession
     seeds, runs = list(seeds), {}
-    for k in dict.fromkeys([*ks, reference]):
-        for seed in seeds:
-            scored, _ = cluster.scored(rows, k, seed, restarts)
-            runs[k, seed] = prune.select_by_score(scored.select("image_id", "row_idx", "cluster", "distance"), budget).select("image_id", "cluster", "distance", "selected").persist()
+    jobs = [(k, seed) for k in dict.fromkeys([*ks, reference]) for seed in seeds]
+    for job, fit in cluster.fit_all(rows, jobs, restarts).items():
+        scored = cluster.assigned(rows.select("image_id", "row_idx", "v"), cluster.as_prototypes(spark, fit.centroids)).drop("v")
+        runs[job] = prune.select_by_score(scored, budget).select("image_id", "cluster", "distance", "selected").persist()
 
     def agree(a: DataFrame, b: DataFrame) -> tuple[float, float]:
         both = a.select("image_id", F.col("distance").alias("x"), F.col("selected").alias("s")).join(b.select("image_id", F.col("distance").alias("y"), F.col("selected").alias("t")), "image_id")

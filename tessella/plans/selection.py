@@ -14,6 +14,10 @@ from tessella.plans.book import register
 from tessella.plans.lineage import cut, ranked
 from tessella.sources.tables import table
 
+#: The numbers of clusters of the diagnostics' sweep.
+SWEEP_KS = (2, 3, 4, 5, 6, 8, 10, 12, 15, 20, 25, 30, 40, 50, 75, 100)
+
+
 def pick(source: str, order: str, keep: str = "selected") -> str:
     """SQL of quota pruning at ratio 0.2 and balance 0.5 over (image_id, row_idx, cluster, distance)."""
     return f"""WITH b AS (SELECT CAST(round_even(0.2::DOUBLE * count(*), 0) AS BIGINT) AS budget, count(*) AS n FROM {source}),
@@ -306,13 +310,14 @@ def select_patch_balance(spark, d):
 
 @register()
 def cluster_diagnostics(spark, d):
-    return diagnostics.diagnose(cut(X.emb(spark, d)), (2, 4, 6, 8), (0, 1), 3)
+    """Silhouette and inertia over 16 values of k, three seeds and ten restarts each."""
+    return diagnostics.diagnose(cut(X.emb(spark, d)), SWEEP_KS, (0, 1, 2))
 
 
 @register()
 def k_stability(spark, d):
     rows = cut(X.emb(spark, d))
-    return diagnostics.stability(rows, (5, 8), (0, 1), budget(0.2, rows.count()), 10, 3)
+    return diagnostics.stability(rows, (5, 10, 20, 50, 100), (0, 1, 2), budget(0.2, rows.count()), 20)
 
 
 def tail_sql(q: float) -> str:
