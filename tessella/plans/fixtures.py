@@ -17,8 +17,10 @@ SLICES, WIDTH = 16, 4
 
 def emb(spark: SparkSession, d: str) -> DataFrame:
     """(image_id, row_idx, label, v): unit vectors."""
-    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), "label", double("embedding").alias("raw"))
-    return ranked(rows, [F.asc("image_id")], "row_idx").select("image_id", (F.col("row_idx") - 1).alias("row_idx"), "label", unit("raw").alias("v"))
+    held = table(spark, d, "embeddings")
+    rows = held.select(F.col("vec_id").alias("image_id"), "label", double("embedding").alias("raw"))
+    # Counted by the files' footers.
+    return ranked(rows, [F.asc("image_id")], "row_idx", held.count()).select("image_id", (F.col("row_idx") - 1).alias("row_idx"), "label", unit("raw").alias("v"))
 
 
 def given(spark: SparkSession, d: str) -> DataFrame:

@@ -28,8 +28,9 @@ f AS (SELECT o.*, row_number() OVER (ORDER BY own DESC, keep_rank) <= budget AS
 
 
 def chosen(spark: SparkSession, d: str, **cfg) -> DataFrame:
-    rows, n = X.emb(spark, d), table(spark, d, "embeddings").count()
-    features = {"items": rows, "embedding": rows, "prototypes": X.given(spark, d)} | ({"patch_scores": X.patch_scores(spark, d), "cls": rows, "cls_prototypes": X.given(spark, d)} if cfg.pop("patches", False) else {})
+    rows = cut(X.emb(spark, d))
+    n, given = rows.count(), cluster.prototypes_by(rows, "label")
+    features = {"items": rows, "embedding": rows, "prototypes": given} | ({"patch_scores": X.patch_scores(spark, d), "cls": rows, "cls_prototypes": given} if cfg.pop("patches", False) else {})
     return select.selector(cfg.pop("method", "prototypicality"))(features, budget(0.2, n), 0, cfg)
 
 
@@ -303,9 +304,9 @@ def fit_vocabulary(spark, d):
 
 @register()
 def select_patch_balance(spark, d):
-    patches = X.assigned_patches(spark, d).select("image_id", "proto_id", "distance")
+    patches = cut(X.assigned_patches(spark, d).select("image_id", "proto_id", "distance"))
     rows = X.emb(spark, d)
-    return select.patch_balance({"items": rows, "patches": patches}, budget(0.1, rows.count()), 0, {"K": 10}).where("selected").select("image_id", "keep_rank")
+    return select.patch_balance({"items": rows, "patches": patches}, budget(0.1, table(spark, d, "embeddings").count()), 0, {"K": 10}).where("selected").select("image_id", "keep_rank")
 
 
 @register()
