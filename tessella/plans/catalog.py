@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessella.plans import book, budgets, coverage, reports, rules, selection, views
+from tessella.plans import book, budgets, coverage, reports, rules, selection, stores, views
 
-MODULES = (selection, coverage, budgets, reports, rules, views)
+MODULES = (selection, coverage, budgets, reports, rules, stores, views)
 
 
 def queries() -> dict:

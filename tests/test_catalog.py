@@ -9,7 +9,7 @@ import pytest
 from tessella.plans import catalog
 
 SF = Path("/root/testdata/sf0.001")
-BOOKS = ("tessella.plans.reports", "tessella.plans.rules")
+BOOKS = ("tessella.plans.budgets", "tessella.plans.coverage", "tessella.plans.reports", "tessella.plans.rules", "tessella.plans.stores", "tessella.plans.views")
 NAMES = ["select_prototypicality_given", "select_random", "patch_histogram", "tail_scores", "prototype_mass", "class_iou", "rare_classes", "inertia_drop", "boundary_f"]
 NAMES += [name for name, query in catalog.queries().items() if query.__module__ in BOOKS and name in catalog.oracle_sql()]
 
