@@ -51,11 +51,11 @@ def store_dimension(spark, d):
     return spark.createDataFrame([(store.matrix_dim(table(spark, d, "embeddings")),)], "dim int")
 
 
-@register("SELECT doc_id AS image_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+@register("SELECT o_orderkey AS image_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 30)")
 def store_missing(spark, d):
     """Ids of a pool that have no vector."""
-    ids = table(spark, d, "documents").select(F.col("doc_id").alias("image_id"))
-    return store.missing(ids, table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id")))
+    ids = table(spark, d, "orders").select(F.col("o_orderkey").alias("image_id"))
+    return store.missing(ids, table(spark, d, "lineitem").where("l_quantity > 30").select(F.col("l_orderkey").alias("image_id")))
 
 
 @register("SELECT l_orderkey AS image_id, count(*) AS count FROM lineitem GROUP BY 1 HAVING count(*) > 1")
