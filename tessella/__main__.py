@@ -7,7 +7,7 @@
     python -m tessella diagnose --derived TABLE --manifest INDEX --preset P --ks K ... [--seeds S ...] [--restarts N] [--reference K --ratio R] --out FOLDER
     python -m tessella tails --derived TABLE --manifest INDEX --preset P --qs Q ... --ratios R ... [--against PARAMS ...] --out FOLDER
     python -m tessella coverage --derived TABLE --backbone B --params JSON --patches N --subsets FILE ... --out FOLDER
-    python -m tessella report --runs EXPORT [--ledger CSV] --out FILE [--include RE] [--exclude RE]
+    python -m tessella report --runs EXPORT [--ledger CSV] --out FILE [--include RE] [--exclude RE] [--overview FILE [--dataset D] [--rare C ...]]
 """
 
 from __future__ import annotations
@@ -119,6 +119,8 @@ def run_report(spark: SparkSession, args: argparse.Namespace) -> str:
     for column in ("n_images",):
         runs = runs if column in runs.columns else runs.withColumn(column, F.lit(None).cast("int"))
     book = ledger.read_csv(spark, args.ledger) if args.ledger else None
+    if args.overview:
+        documents.overview(args.overview, runs, book, args.dataset, tuple(args.rare))
     return ", ".join(documents.append_report(args.out, runs, book, args.include, args.exclude)) or "nothing new"
 
 
@@ -175,8 +177,9 @@ def parser() -> argparse.ArgumentParser:
     p = commands.add_parser("report")
     p.add_argument("--runs", required=True)
     p.add_argument("--out", required=True)
-    for flag in ("--ledger", "--include", "--exclude"):
+    for flag in ("--ledger", "--include", "--exclude", "--overview", "--dataset"):
         p.add_argument(flag)
+    p.add_argument("--rare", type=int, nargs="*", default=[])
     p.set_defaults(run=run_report)
     return top
 

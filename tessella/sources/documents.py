@@ -40,7 +40,7 @@ def save_csv(rows: DataFrame, path: str) -> None:
 
 def lines_of(rows: DataFrame, columns: list[str]) -> list[str]:
     """A frame of text columns as Markdown table lines, made by Spark."""
-    cells = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("–")) for c in columns]), F.lit(" |"))
+    cells = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("–")) for c in columns]), F.lit(" |"))
     return ["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns), *(r[0] for r in rows.select(cells).collect())]
 
 
@@ -81,3 +81,32 @@ def append_report(path: str | Path, runs: DataFrame, ledger: DataFrame | None =
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_text(old.rstrip("\n") + "\n\n" + "\n".join(out))
     return order
+
+
+def overview(path: str | Path, runs: DataFrame, ledger: DataFrame | None = None, dataset: str | None = None, rare: tuple[int, ...] = (), baseline: str = "random", metrics: tuple[str, ...] = ("miou", "rare_miou")) -> None:
+    """Write the comparison page anew: a table of methods against the baseline for each metric, by ratio, and classes by method where the ledger holds their IoUs.
+
+    Deltas are in points; + and - mark those outside the baseline's band. A class table has the rare classes, and others that a method moves. The page is a few rows a method.
+    """
+    done = report.finished(runs).where("skip_reason IS NULL").drop("skip_reason") if "state" in runs.columns else runs
+    spark, out = runs.sparkSession, ["# Overview", ""]
+    for metric in metrics:
+        cells = report.deltas(done, baseline, metric)
+        ratios = [r.ratio for r in cells.select("ratio").distinct().orderBy("ratio").collect()]
+        mark = F.when(F.col("mark") > 0, " +").when(F.col("mark") < 0, " -").otherwise("")
+        at = [F.max(F.when(F.col("ratio") == r, F.concat(F.format_string("%+.2f", "delta"), mark))).alias(f"{r:g}") for r in ratios]
+        table = cells.groupBy("dataset", "model", "method").agg(*at, F.count_if(F.col("mark") == 1).alias("wins"), F.count_if(F.col("mark") == -1).alias("losses"), F.format_string("%+.2f", F.avg("delta")).alias("mean"))
+        out += [f"## {metric} against {baseline}", "", *lines_of(table.orderBy("dataset", "model", "method"), ["dataset", "model", "method", *(f"{r:g}" for r in ratios), "wins", "losses", "mean"]), ""]
+    if ledger is not None:
+        classes = report.per_class(report.latest_ledger(ledger).withColumnRenamed("selection_method", "method"), baseline)
+        shown = report.movers(classes, list(rare)).select("class_id").union(spark.createDataFrame([(int(c),) for c in rare], "class_id int")).distinct()
+        names = class_names(dataset) if dataset else None
+        named = spark.createDataFrame([(i, n) for i, n in enumerate(names or ())], "class_id int, name string")
+        methods = [r.method for r in classes.select("method").distinct().orderBy("method").collect()]
+        value = F.concat(F.format_string("%.2f", 100 * F.col("iou")), F.when(F.col("method") != baseline, F.coalesce(F.concat(F.lit(" ("), F.format_string("%+.2f", 100 * F.col("delta")), F.lit(")")), F.lit(""))).otherwise(""))
+        wide = classes.join(shown, "class_id").join(named, "class_id", "left").groupBy("class_id", "name").pivot("method", methods).agg(F.first(value))
+        table = wide.withColumn("rare", F.when(F.col("class_id").isin(list(rare)), "yes").otherwise("")).withColumn("class", F.coalesce("name", F.concat(F.lit("class "), F.col("class_id").cast("string"))))
+        out += ["## Classes", "", *lines_of(table.orderBy("class_id"), ["class", "rare", *methods]), ""]
+    path = Path(path)
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text("\n".join(out))

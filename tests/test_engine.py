@@ -7,10 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella import __main__ as command
+from tessella.functions import scalars
 from tessella.functions.naming import EmbeddingSpec, VocabSpec
 from tessella.operators import cluster, derive, greedy, metrics, prune, report, scoring, submodular
 from tessella.plans.lineage import ranked, ranked_within
-from tessella.sources import documents, ledger, store
+from tessella.sources import datasets, documents, ledger, store
 from tessella.streaming import sinks
 
 ONE = {"dataset": "street", "split": "train", "backbone": "b", "source": "derived"}
@@ -200,6 +201,70 @@ def test_report_only_grows(spark, tmp_path):
         documents.append_report(out, ledger.exported_runs(spark, str(export)), protected=(out,))
 
 
+def test_overview_compares_methods_and_classes(spark, tmp_path):
+    runs = [exported(0, "cs_random", "full", 1.0, 0, 0.8), exported(1, "cs_random", "random", 0.1, 0, 0.4), exported(2, "cs_random", "random", 0.1, 1, 0.5), exported(3, "cs_proto", "proto", 0.1, 0, 0.6), exported(4, "cs_other", "other", 0.1, 0, 0.2), exported(5, "cs_proto", "proto", 0.1, 1, 0.9, "crashed")]
+    (tmp_path / "runs.json").write_text(json.dumps(runs))
+    head = list(ledger.LEDGER)
+    iou = lambda a, b, c: '"' + json.dumps({"0": a, "1": b, "2": c}).replace('"', '""') + '"'
+    lines = [{"wandb_run_id": f"id{n}", "selection_method": m, "per_class_iou_json": iou(*v)} for n, m, v in ((1, "random", (0.5, 0.5, 0.1)), (2, "random", (0.7, 0.5, 0.3)), (3, "proto", (0.605, 0.4, 0.21)))]
+    (tmp_path / "book.csv").write_text("\n".join([",".join(head), *(",".join(x.get(c, "") for c in head) for x in lines)]) + "\n")
+    page = tmp_path / "overview.md"
+    command.main(["report", "--runs", str(tmp_path / "runs.json"), "--ledger", str(tmp_path / "book.csv"), "--out", str(tmp_path / "report.md"), "--overview", str(page), "--dataset", "cityscapes", "--rare", "2"], spark)
+    text = page.read_text()
+    assert "| street | b0 | proto | +15.00 + | 1 | 0 | +15.00 |" in text and "| street | b0 | other | -25.00 - | 0 | 1 | -25.00 |" in text and "random |" not in text.split("## Classes")[0].split("\n", 4)[-1].replace("against random", "")
+    assert "| sidewalk |  | 40.00 (-10.00) | 50.00 |" in text and "| building | yes | 21.00 (+1.00) | 20.00 |" in text and "| road |" not in text
+
+
+def test_dataset_listings_pair_images_with_labels(spark, tmp_path):
+    made = {
+        "cityscapes": (["leftImg8bit/train/b/b_1_leftImg8bit.png", "leftImg8bit/train/a/a_2_leftImg8bit.png", "leftImg8bit/train/a/notes.txt", "leftImg8bit/val/a/v_leftImg8bit.png"], [("a_2", "gtFine/train/a/a_2_gtFine_labelIds.png"), ("b_1", "gtFine/train/b/b_1_gtFine_labelIds.png")]),
+        "ade20k": (["images/train/x2.jpg", "images/train/x1.jpg", "images/train/x1.png"], [("x1", "annotations/train/x1.png"), ("x2", "annotations/train/x2.png")]),
+        "camvid": (["train/q.png", "trainannot/q.png", "val/r.png"], [("q", "trainannot/q.png")]),
+    }
+    for name, (files, wanted) in made.items():
+        root = tmp_path / name
+        for f in files:
+            (root / f).parent.mkdir(parents=True, exist_ok=True)
+            (root / f).write_bytes(b"x")
+        rows = sorted(datasets.dataset(spark, name, str(root), "train").collect(), key=lambda r: r.row_idx)
+        assert [(r.image_id, r.row_idx) for r in rows] == [(i, n) for n, (i, _) in enumerate(wanted)] and all(r.label_path.endswith(f"{name}/{path}") for r, (_, path) in zip(rows, wanted, strict=True))
+    subset = spark.createDataFrame([("x2",)], "image_id string")
+    assert [r.image_id for r in datasets.dataset(spark, "ade20k", str(tmp_path / "ade20k"), "train", subset).collect()] == ["x2"]
+    with pytest.raises(ValueError, match="not in the pool"):
+        datasets.dataset(spark, "ade20k", str(tmp_path / "ade20k"), "train", spark.createDataFrame([("nobody",)], "image_id string"))
+    with pytest.raises(ValueError, match="unknown"):
+        datasets.dataset(spark, "none", "", "train")
+    table = tmp_path / "classes.tsv"
+    table.write_text("Idx\tRatio\tName\n1\t0.1\twall, surface\n2\t0.2\tbuilding\n")
+    assert datasets.class_names(spark, str(table)) == ["wall", "building"] and datasets.class_names(spark, str(tmp_path / "none.tsv"), 2) == ["class_0", "class_1"]
+    assert len(documents.class_names("camvid")) == 11 and scalars.steps_of(3, 25, 8) == 9
+    with pytest.raises(ValueError):
+        scalars.steps_of(3, 7, 8)
+
+
+def test_commands_of_rare_classes_diagnostics_tails_and_coverage(spark, raw, tmp_path):
+    rows, frame = raw
+    p = {n: str(tmp_path / n) for n in ("raw", "derived", "vocabularies", "index.json", "counts", "rare.json", "out", "subsets")}
+    frame.write.parquet(p["raw"])
+    (tmp_path / "index.json").write_text(store.manifest_text([(r[0], f"/x/{r[0]}.png") for r in rows], "street", "b", "train"))
+    shared = ["--raw", p["raw"], "--derived", p["derived"], "--vocabularies", p["vocabularies"], "--dataset", "street", "--backbone", "dinov2_vitb14", "--manifest", p["index.json"]]
+    small = {"K": 3, "n_sample": 4, "seed": 0}
+    for method, params in (("patch_mean", {}), ("patch_dist", small), ("patch_dist", small | {"seed": 1}), ("kmeans_hist", small)):
+        command.main(["derive", *shared, "--method", method, "--params", json.dumps(params)], spark)
+    held = {(r.method, r.source, r.image_path) for r in store.derived(spark, p["derived"]).where("image_id = 'i03'").collect()}
+    assert held == {(m, "patch", "/x/i03.png") for m in ("patch_mean", "patch_dist", "kmeans_hist")} and store.derived(spark, p["derived"]).where("length(config_hash) <> 12").count() == 0
+    spark.createDataFrame([(i % 4 if i % 9 else 255,) for i in range(50)], "class_id int").write.parquet(p["counts"])
+    command.main(["rare", "--counts", p["counts"], "--dataset", "street", "--out", p["rare.json"], "--k", "2"], spark)
+    assert len(json.loads((tmp_path / "rare.json").read_text())["rare_class_ids"]) == 2
+    pick = ["--derived", p["derived"], "--manifest", p["index.json"], "--preset", "prototypicality-hard-patchtail", "--out", p["out"], "--set", "k=2", "n_init=1", "patch_scores.params.K=3", "patch_scores.params.n_sample=4"]
+    command.main(["diagnose", *pick, "--ks", "2", "3", "--seeds", "0", "1", "--restarts", "1", "--reference", "2"], spark)
+    command.main(["tails", *pick, "--qs", "0.5", "--ratios", "0.25", "--against", '{"seed": 1}'], spark)
+    command.main(["select", *pick[:4], "--dataset", "street", "--ratio", "0.5", "--preset", "random", "--out", p["subsets"]], spark)
+    command.main(["coverage", "--derived", p["derived"], "--backbone", "dinov2_vitb14", "--out", p["out"], "--params", json.dumps(small), "--patches", "6", "--subsets", p["subsets"] + "/*"], spark)
+    read = lambda name: spark.read.csv(f"{p['out']}/{name}", header=True).count()
+    assert [read(n) for n in ("silhouette", "stability", "tails", "vocabularies", "coverage")] == [2, 2, 1, 1, 1]
+
+
 def test_rare_class_files_read_back(spark, tmp_path):
     counts = spark.createDataFrame([(0, 50), (1, 5), (2, 5), (3, 40)], "class_id int, n long")
     made = documents.save_rare_classes(tmp_path / "rare.json", "cityscapes", counts, 2)
