@@ -117,7 +117,7 @@ def resample(docs: DataFrame, target: DataFrame, *, ngrams: int = NGRAMS, bucket
 def draw(docs: DataFrame, target: DataFrame, **options) -> DataFrame:
     """The documents drawn, with all their columns: a semi-join of docs with the ranked ids. Rows repeated under a drawn id all stay."""
     held = resample(docs.select("doc_id", "text"), target.select("text"), **options).where("rank IS NOT NULL")
-    return docs.join(held.select("doc_id").distinct(), "doc_id", "left_semi")
+    return docs.join(held.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
 
 
 #: CRC-32 by its table of 256 remainders (polynomial 0xEDB88320), word by word; the SQL twin has no built-in one.

@@ -173,7 +173,7 @@ def test_indicators_equal_plain_python():
     assert len(set(zip(row, bucket, strict=True))) == len(row) and list(row) == sorted(row)
     per = Counter(row)
     # Words, pairs, shapes, pairs of shapes with equality, triples of shapes: all distinct.
-    assert per[0] == 2 + 2 + 2 + 2 + 1 and per[1] == per[2] == 0 and per[4] == 1 + 1 + 1 + 1 + 1
+    assert per[0] == 3 + 2 + 2 + 2 + 1 and per[1] == per[2] == 0 and per[4] == 1 + 1 + 1 + 1 + 1
     again = naivesvm.indicators(pa.array([texts[3]]))[1]
     assert set(again) == {b for r, b in zip(row, bucket, strict=True) if r == 3}
 
@@ -186,12 +186,14 @@ def test_descent_reaches_the_optimum_of_the_dual():
     good = np.array([(r[:-1] < 20).sum() + rng.integers(0, 3) > 4 for r in rows])
     weight = naivesvm.descend(rows, values, good, 1.0)
     sign = np.where(good, 1.0, -1.0)
-    x = np.zeros((60, naivesvm.BUCKETS + 1))
+    used = np.append(np.arange(40), naivesvm.BUCKETS)
+    x = np.zeros((60, 41))
     for i, r in enumerate(rows):
-        x[i, r] = 1 / 3.0
+        x[i, np.searchsorted(used, r)] = 1 / 3.0
     value = lambda w: 0.5 * w @ w + np.maximum(0, 1 - sign * (x @ w)).sum()
-    best = value(weight)
-    w = np.zeros(naivesvm.BUCKETS + 1)
+    assert not np.delete(weight, used).any()
+    best = value(weight[used])
+    w = np.zeros(41)
     for step in range(1, 3000):
         w -= (w - x.T @ (sign * (sign * (x @ w) < 1))) / step
     assert best <= value(w) * 1.01
