@@ -1,8 +1,8 @@
 """Semantic duplicates: groups of rows of one cluster that a chain of cosines of at least tau links, one row of each kept.
 
-The join is exact. Equal vectors are folded first. A cluster's rows are laid out by their nearest pivot and the angle to it, and cut into blocks
+The join is exact. Equal vectors are folded first. A cluster's rows are laid out by cells of their angles to a few pivots and cut into blocks
 of a bounded size; two blocks are compared only if, for every pivot, their ranges of angles come within the angle of tau (angles on the
-sphere obey the triangle inequality). Of a pair of blocks the edges of a spanning forest leave the task, never all links.
+sphere obey the triangle inequality). Groups are found inside blocks first; of a pair of blocks a spanning forest of groups leaves the task, never all links.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from tessella.operators import graph
 from tessella.operators.cluster import prototypes_by
 from tessella.plans.lineage import cut, ranked, ranked_within
 
-BLOCK = 2048
+BLOCK = 1024
 PIVOTS = 8
 #: Angles are bounds only: they are widened by more than their rounding and that of cosines.
 SLACK = 1e-6
@@ -36,34 +36,53 @@ def pivots_of(rows: DataFrame, most: int = PIVOTS) -> DataFrame:
     return found.agg(F.collect_list(F.struct("proto_id", "centroid")).alias("p")).select(F.transform(F.array_sort("p"), lambda e: e["centroid"]).alias("pivots"))
 
 
-def blocks(rows: DataFrame, pivots: DataFrame, size: int = BLOCK) -> DataFrame:
-    """Rows (id, cluster, v) with their angles to the pivots and their block: runs of at most `size` rows of a cluster by nearest pivot and angle."""
+def reach(tau: float) -> float:
+    """The largest angle of two vectors whose rounded cosine is at least tau, widened by the rounding of angles."""
+    return math.acos(max(-1.0, tau - 10.0**-PLACES)) + SLACK
+
+
+def blocks(rows: DataFrame, pivots: DataFrame, tau: float, size: int = BLOCK) -> DataFrame:
+    """Rows (id, cluster, v) with their angles to the pivots and their block: runs of at most `size` rows of a cluster, by cells as wide as the reach of tau.
+
+    Cells are ordered by the first pivot's angle, then the next one's, so a block is narrow in the first few of them.
+    """
     each = rows.crossJoin(F.broadcast(pivots)).withColumn("angles", angles("v", "pivots")).drop("pivots")
-    near = F.array_min("angles")
-    placed = ranked(cut(each.withColumn("__near", F.array_position("angles", near)).withColumn("__angle", near)), [F.asc("cluster"), F.asc("__near"), F.asc("__angle"), F.asc("id")], "__place")
-    placed = cut(placed)
-    inside = ranked_within(placed, "cluster", "__place", "__at", placed.count())
-    return inside.withColumn("block", F.floor((F.col("__at") - 1) / size)).drop("__near", "__angle", "__place", "__at")
+    held = cut(each.withColumn("__cells", F.transform("angles", lambda a: F.floor(a / reach(tau)))))
+    n = held.count()
+    placed = cut(ranked(held, [F.asc("cluster"), F.asc("__cells"), F.asc("id")], "__place", n))
+    inside = ranked_within(placed, "cluster", "__place", "__at", n)
+    return inside.withColumn("block", F.floor((F.col("__at") - 1) / size)).drop("__cells", "__place", "__at")
 
 
 def block_pairs(rows: DataFrame, tau: float) -> DataFrame:
-    """(cluster, a, b) of blocks a <= b of one cluster that no pivot tells apart. The table has a row a block, so it is small beside the rows."""
-    reach = math.acos(max(-1.0, tau - 10.0**-PLACES)) + SLACK
+    """(cluster, a, b) of blocks a < b of one cluster that no pivot tells apart. The table has a row a block, so it is small beside the rows."""
+    far = reach(tau)
     ends = rows.select("cluster", "block", F.posexplode("angles").alias("p", "angle")).groupBy("cluster", "block", "p").agg(F.min("angle").alias("lo"), F.max("angle").alias("hi"))
     box = cut(ends.groupBy("cluster", "block").agg(F.array_sort(F.collect_list(F.struct("p", "lo", "hi"))).alias("box")))
     a, b = box.select("cluster", F.col("block").alias("a"), F.col("box").alias("x")), box.select("cluster", F.col("block").alias("b"), F.col("box").alias("y"))
-    apart = F.exists(F.zip_with("x", "y", lambda s, t: (t["lo"] - s["hi"] > reach) | (s["lo"] - t["hi"] > reach)), lambda out: out)
-    return a.join(b, "cluster").where((F.col("a") <= F.col("b")) & ~apart).select("cluster", "a", "b")
+    apart = F.exists(F.zip_with("x", "y", lambda s, t: (t["lo"] - s["hi"] > far) | (s["lo"] - t["hi"] > far)), lambda out: out)
+    return a.join(b, "cluster").where((F.col("a") < F.col("b")) & ~apart).select("cluster", "a", "b")
+
 
+def grouped(close: np.ndarray) -> np.ndarray:
+    """Of each node of a graph, given as a symmetric matrix, the smallest node that it is connected to."""
+    label = np.arange(len(close))
+    while True:
+        least = np.minimum(label, np.where(close, label[None, :], len(label)).min(axis=1, initial=len(label)))
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least
 
-def forest(left: np.ndarray, right: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of a graph on n nodes."""
-    parent = np.arange(n)
+
+def forest(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the edges (left, right) between any node numbers."""
+    parent: dict[int, int] = {}
 
     def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
+        while (up := parent.setdefault(i, i)) != i:
+            parent[i] = parent[up]
+            i = up
         return i
 
     out = []
@@ -76,24 +95,33 @@ def forest(left: np.ndarray, right: np.ndarray, n: int) -> list[tuple[int, int]]
 
 
 def links(rows: DataFrame, tau: float, size: int = BLOCK) -> DataFrame:
-    """(a, b) edges that connect the same rows as all pairs (id, cluster, v) of one cluster with a cosine of at least tau do."""
-    placed = cut(blocks(rows, pivots_of(rows), size))
+    """(a, b) edges that connect the same rows as all pairs (id, cluster, v) of one cluster with a cosine of at least tau do.
+
+    First each block by itself: its rows are named by the smallest id that they reach in it. Then pairs of blocks, which link names alone: a
+    spanning forest of the names that meet, at most one edge a name.
+    """
+    placed = cut(blocks(rows, pivots_of(rows), tau, size)).select("id", "cluster", "block", "v", "angles")
+
+    def inside(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("id")
+        x, ids = np.stack(part["v"]), part["id"].to_numpy()
+        return pd.DataFrame({"id": ids, "name": ids[grouped(np.round(x @ x.T, PLACES) >= tau)]})
+
+    named = cut(placed.groupBy("cluster", "block").applyInPandas(inside, "id long, name long"))
     pairs = cut(block_pairs(placed, tau))
-    narrow = placed.select("id", "cluster", "block", "v")
-    one = narrow.join(pairs.select("cluster", F.col("a").alias("block"), F.col("b").alias("other")), ["cluster", "block"]).select("cluster", F.col("block").alias("a"), F.col("other").alias("b"), F.lit(0).alias("side"), "id", "v")
-    two = narrow.join(pairs.where("a < b").select("cluster", F.col("b").alias("block"), F.col("a").alias("other")), ["cluster", "block"]).select("cluster", F.col("other").alias("a"), F.col("block").alias("b"), F.lit(1).alias("side"), "id", "v")
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["side", "id"])
-        ids, side, x = part["id"].to_numpy(), part["side"].to_numpy(), np.stack(part["v"])
-        first = int((side == 0).sum())
-        same = first == len(ids)
-        close = np.round(x[:first] @ (x if same else x[first:]).T, PLACES) >= tau
-        left, right = np.nonzero(np.triu(close, 1) if same else close)
-        found = forest(left, right + (0 if same else first), len(ids))
-        return pd.DataFrame([(ids[i], ids[j]) for i, j in found], columns=["a", "b"]).astype("int64")
-
-    return one.unionByName(two).groupBy("cluster", "a", "b").applyInPandas(run, "a long, b long")
+    narrow = cut(placed.drop("angles").join(named, "id"))
+    side = lambda own, other, n: narrow.join(pairs.withColumnRenamed(own, "block"), ["cluster", "block"]).select("cluster", F.col("block").alias(own), other, F.lit(n).alias("side"), "name", "v")
+    both = side("a", "b", 0).unionByName(side("b", "a", 1))
+
+    def across(part: pd.DataFrame) -> pd.DataFrame:
+        one, two = part[part["side"] == 0], part[part["side"] == 1]
+        close = np.round(np.stack(one["v"]) @ np.stack(two["v"]).T, PLACES) >= tau
+        i, j = np.nonzero(close)
+        met = np.unique(np.stack((one["name"].to_numpy()[i], two["name"].to_numpy()[j]), axis=1), axis=0)
+        return pd.DataFrame(forest(met[:, 0], met[:, 1]), columns=["a", "b"]).astype("int64")
+
+    crossed = both.groupBy("cluster", "a", "b").applyInPandas(across, "a long, b long")
+    return named.where("id <> name").select(F.col("id").alias("a"), F.col("name").alias("b")).unionByName(crossed)
 
 
 def duplicates(rows: DataFrame, tau: float, size: int = BLOCK) -> DataFrame:
