@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.scalars import budget, draw_key
 from tessella.functions.vectors import PLACES
-from tessella.operators import cluster, derive, diagnostics, greedy, metrics, prune, scoring, select
+from tessella.operators import cluster, derive, diagnostics, greedy, metrics, scoring, select
 from tessella.plans import fixtures as X
 from tessella.plans.book import register
 from tessella.plans.lineage import cut, ranked
