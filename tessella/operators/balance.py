@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -79,20 +81,30 @@ def labelled(grid: np.ndarray) -> np.ndarray:
 def regions(patches: DataFrame, width: int) -> DataFrame:
     """(image_id, region, proto_id, pixels) of patches (image_id, patch_idx, proto_id): the connected parts of one concept in each image's grid of `width` columns.
 
-    pixels counts patches; a region's id is its smallest patch_idx. Missing patches and null concepts belong to no region. A group is one image's grid.
+    pixels counts patches; a region's id is its smallest patch_idx. Missing patches and null concepts belong to no region. A row is one image's grid; a
+    batch's grids are labelled as one tall grid, an empty line after each.
     """
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        at = part["patch_idx"].to_numpy()
-        grid = np.full((int(at.max()) // width + 1) * width, -1, dtype=np.int64)
-        grid[at] = part["proto_id"].to_numpy()
-        found = labelled(grid.reshape(-1, width)).ravel()
-        ids, sizes = np.unique(found[found >= 0], return_counts=True)
-        return pd.DataFrame({"image_id": part["image_id"].iloc[0], "region": ids.astype(np.int32), "proto_id": grid[ids].astype(np.int32), "pixels": sizes.astype(np.int64)})
-
-    held = patches.where("image_id IS NOT NULL AND patch_idx >= 0 AND proto_id >= 0").select("image_id", "patch_idx", "proto_id")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.diff(np.asarray(batch.column(1).offsets))
+            at, label = np.asarray(batch.column(1).flatten()), np.asarray(batch.column(2).flatten())
+            if len(at) == 0:
+                continue
+            height = np.maximum.reduceat(at, np.cumsum(sizes) - sizes) // width + 2
+            start = (np.cumsum(height) - height) * width
+            grid = np.full(int(height.sum()) * width, -1, dtype=np.int64)
+            grid[np.repeat(start, sizes) + at] = label
+            found = labelled(grid.reshape(-1, width)).ravel()
+            ids, pixels = np.unique(found[found >= 0], return_counts=True)
+            owner = np.searchsorted(start, ids, side="right") - 1
+            columns = [batch.column(0).take(pa.array(owner)), pa.array((ids - start[owner]).astype(np.int32)), pa.array(grid[ids].astype(np.int32)), pa.array(pixels.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["image_id", "region", "proto_id", "pixels"])
+
+    held = patches.where("image_id IS NOT NULL AND patch_idx >= 0 AND proto_id >= 0").select("image_id", F.struct(F.col("patch_idx").cast("long").alias("at"), F.col("proto_id").cast("long").alias("label")).alias("p"))
     kind = held.schema["image_id"].dataType.simpleString()
-    return held.groupBy("image_id").applyInPandas(run, f"image_id {kind}, region int, proto_id int, pixels long")
+    grids = held.groupBy("image_id").agg(F.collect_list("p").alias("p")).select("image_id", F.col("p.at"), F.col("p.label"))
+    return grids.mapInArrow(run, f"image_id {kind}, region int, proto_id int, pixels long")
 
 
 def choose_regions(found: DataFrame, budget: int, *, rarity: float = 1.0, concave: float = 0.5) -> DataFrame:

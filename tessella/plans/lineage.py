@@ -38,15 +38,15 @@ def ranked(df: DataFrame, order: list[Column], name: str, n: int | None = None,
     if (df.count() if n is None else n) <= one_task:
         return df.withColumn(name, F.row_number().over(W.orderBy(*order)).cast("long"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = cut(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
-    placed = placed.withColumn("__part", F.shiftright("__at", 33))
-    counts = sorted((r[0], r[1]) for r in placed.groupBy("__part").count().collect())
+    placed = cut(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__ranked_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("__ranked_part", F.shiftright("__ranked_at", 33))
+    counts = sorted((r[0], r[1]) for r in placed.groupBy("__ranked_part").count().collect())
     before, total = [], 0
     for part, n in counts:
         before.append((part, total))
         total += n
-    offsets = df.sparkSession.createDataFrame(before, "__part long, __before long")
-    return placed.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__at", "__part", "__before")
+    offsets = df.sparkSession.createDataFrame(before, "__ranked_part long, __ranked_before long")
+    return placed.join(F.broadcast(offsets), "__ranked_part").withColumn(name, F.col("__ranked_before") + F.col("__ranked_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__ranked_at", "__ranked_part", "__ranked_before")
 
 
 def ranked_within(df: DataFrame, group: str, place: str, name: str, n: int, one_task: int = ONE_TASK) -> DataFrame:
