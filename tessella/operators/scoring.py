@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessella.functions.vectors import PLACES, unit
+from tessella.functions.vectors import rounded, unit
 from tessella.plans.lineage import ONE_TASK, cut, ranked
 
 FUSIONS = ("meanrank", "minrank")
@@ -19,7 +19,7 @@ def tail_mean(distances: Column | str, q: float) -> Column:
     if not 0.0 < q <= 1.0:
         raise ValueError(f"q={q} is no share above 0 and up to 1")
     m = F.ceil(F.lit(float(q)) * F.size(distances)).cast("int")
-    return F.round(F.aggregate(F.slice(F.sort_array(distances, False), F.lit(1), m), F.lit(0.0), lambda s, x: s + x) / m, PLACES)
+    return rounded(F.aggregate(F.slice(F.sort_array(distances, False), F.lit(1), m), F.lit(0.0), lambda s, x: s + x) / m)
 
 
 def tail_feature(patches: DataFrame, tail_percent: float) -> DataFrame:
@@ -58,7 +58,7 @@ def fuse(rows: DataFrame, views: list[str], fusion: str = "meanrank") -> DataFra
     out = reduce(lambda df, v: percentile(df, v, f"p_{v}", n), views, rows)
     columns = [F.col(f"p_{v}") for v in views]
     value = reduce(lambda a, b: a + b, columns) / len(columns) if fusion == "meanrank" else (F.least(*columns) if len(columns) > 1 else columns[0])
-    return out.withColumn("fused", F.round(value, PLACES))
+    return out.withColumn("fused", rounded(value))
 
 
 def running_sum(rows: DataFrame, value: str, place: str, name: str, block: int = ONE_TASK) -> DataFrame:
