@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessella.operators import scoring
+from tessella.operators import cluster, scoring
 from tessella.plans.lineage import ranked
 
 
@@ -21,3 +21,24 @@ def test_tail_means_that_end_in_a_half_round_as_in_sql(spark):
     found = dict(frame.select("i", scoring.tail_mean("d", 0.2)).collect())
     expected = duckdb.connect().execute("SELECT round(list_sum(list_sort(d, 'DESC')[1:4]) / 4, 9) FROM (SELECT unnest($1::DOUBLE[][]) AS d)", [[d for _, d in rows]]).fetchall()
     assert [found[i] for i in range(3000)] == [e for (e,) in expected]
+
+
+def test_fits_deal_the_rows_of_one_task_over_the_cores(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    points = rng.normal(size=(900, 3))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "row_idx long, v array<double>").coalesce(1)
+    blocks = cluster.packed(rows, 900)
+    assert blocks.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(cluster, "SLICE", 4)
+    fits = [points[:4], points[10:17]]
+    sums, counts, total, _ = cluster.pass_over(blocks, fits)
+    for f, s, c, t in zip(fits, sums, counts, total, strict=True):
+        label = (points @ f.T).argmax(axis=1)
+        assert np.allclose(s, [points[label == j].sum(axis=0) for j in range(len(f))]) and c.tolist() == np.bincount(label, minlength=len(f)).tolist()
+        assert np.isclose(t, (points @ f.T).max(axis=1).sum())
+    *_, far = cluster.pass_over(blocks, fits, spare=2)
+    away = [np.sort((points @ f.T).max(axis=1))[:2] for f in fits]
+    assert np.allclose([f[1] for f in far], np.concatenate(away)) and [f[0] for f in far] == [0, 0, 1, 1]
+    found = {r.row_idx: r for r in cluster.placed(rows, fits).collect()}
+    assert all(found[i].clusters == [int((f @ p).argmax()) for f in fits] for i, p in enumerate(points))
