@@ -75,6 +75,17 @@ def votes(rows: DataFrame, dims: np.ndarray, places: np.ndarray) -> DataFrame:
     return nearest.groupBy(F.col("m.row_idx").alias("row_idx")).agg(F.count(F.lit(1)).alias("votes"))
 
 
+def least(away: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, value) of the `most` least finite values of each line, ties by ids: only those up to a line's last one are sorted."""
+    edge = np.partition(away, most - 1, axis=1)[:, most - 1, None] if 0 < most < away.shape[1] else np.inf
+    i, j = np.nonzero((away <= edge) & np.isfinite(away))
+    value = away[i, j]
+    order = np.lexsort((ids[j], value, i))
+    i, j, value = i[order], j[order], value[order]
+    kept = np.arange(len(i)) - np.searchsorted(i, i) < most
+    return i[kept], j[kept], value[kept]
+
+
 def redundancy(rows: DataFrame, voted: DataFrame, neighbours: int, fall: float) -> DataFrame:
     """(row_idx, lost): over the voted rows (row_idx, v, votes), votes times each nearest other's share, in proportion to (nearest distance / distance) ** fall.
 
@@ -92,11 +103,8 @@ def redundancy(rows: DataFrame, voted: DataFrame, neighbours: int, fall: float)
             for lo in range(0, len(own) if len(ids) else 0, TOGETHER):
                 away = distance(centre[lo : lo + TOGETHER], x)
                 away[own[lo : lo + TOGETHER, None] == ids[None, :]] = np.inf
-                order = np.lexsort((np.broadcast_to(ids, away.shape), away), axis=1)[:, :neighbours]
-                value = np.take_along_axis(away, order, axis=1)
-                who = np.repeat(own[lo : lo + TOGETHER], order.shape[1])
-                keep = np.isfinite(value.ravel())
-                yield pa.RecordBatch.from_arrays([pa.array(who[keep]), pa.array(ids[order].ravel()[keep]), pa.array(value.ravel()[keep])], ["centre", "row_idx", "away"])
+                i, j, value = least(away, ids, neighbours)
+                yield pa.RecordBatch.from_arrays([pa.array(own[lo + i]), pa.array(ids[j]), pa.array(value)], ["centre", "row_idx", "away"])
 
     near = rows.select("row_idx", "v").mapInArrow(run, "centre long, row_idx long, away double")
     place = F.row_number().over(W.partitionBy("centre").orderBy("away", "row_idx"))
@@ -118,7 +126,8 @@ def scores(rows: DataFrame, *, draws: int = DRAWS, subspace: int = SUBSPACE, nei
     """
     if draws < 0 or subspace < 1 or neighbours < 0:
         raise ValueError(f"draws={draws}, subspace={subspace} and neighbours={neighbours} must be no less than 0, 1 and 0")
-    rows = cut(rows.select("image_id", "row_idx", "v"))
+    # Ranked rows lie in one partition; every draw is compared with all of them.
+    rows = cut(rows.select("image_id", "row_idx", "v").repartition(rows.sparkSession.sparkContext.defaultParallelism, "row_idx"))
     limits = ranges(rows)
     if limits.size == 0:
         return rows.select("image_id", "row_idx", F.lit(0).cast("long").alias("votes"), F.lit(0.0).alias("lost"), F.lit(0.0).alias("score"))

@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessella.operators import cluster, scoring
+from tessella.operators import cluster, scoring, semdedup, zcore
 from tessella.plans.lineage import ranked
 
 
@@ -42,3 +42,33 @@ def test_fits_deal_the_rows_of_one_task_over_the_cores(spark, monkeypatch):
     assert np.allclose([f[1] for f in far], np.concatenate(away)) and [f[0] for f in far] == [0, 0, 1, 1]
     found = {r.row_idx: r for r in cluster.placed(rows, fits).collect()}
     assert all(found[i].clusters == [int((f @ p).argmax()) for f in fits] for i, p in enumerate(points))
+
+
+def test_least_values_of_lines_equal_a_whole_sort():
+    rng = np.random.default_rng(2)
+    away = np.round(rng.random((40, 90)), 1)
+    away[3, 5:] = np.inf
+    ids = rng.permutation(90)
+    for most in (0, 1, 7, 90, 200):
+        order = np.lexsort((np.broadcast_to(ids, away.shape), away), axis=1)[:, :most]
+        expected = [(i, j, away[i, j]) for i in range(40) for j in order[i] if np.isfinite(away[i, j])]
+        assert list(zip(*zcore.least(away, ids, most), strict=True)) == expected
+
+
+def test_scores_deal_the_rows_of_one_task_over_the_cores(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(zcore, "votes", lambda rows, *points, own=zcore.votes: seen.append(rows.rdd.getNumPartitions()) or own(rows, *points))
+    rows = spark.createDataFrame([(i, i, [float(np.cos(i)), float(np.sin(i))]) for i in range(60)], "image_id long, row_idx long, v array<double>").coalesce(1)
+    assert zcore.scores(rows, draws=20).count() == 60 and seen[0] >= spark.sparkContext.defaultParallelism
+
+
+def test_blocks_that_are_one_group_meet_no_row_of_it(spark, monkeypatch):
+    pairs = []
+    monkeypatch.setattr(semdedup, "block_pairs", lambda rows, tau, own=semdedup.block_pairs: pairs.append(own(rows, tau)) or pairs[-1])
+    x = np.linspace(0, 1.5, 300)
+    rows = spark.createDataFrame([(i, 0, 0.0, [float(np.cos(a)), float(np.sin(a))]) for i, a in enumerate(x)], "row_idx long, cluster int, distance double, v array<double>")
+    found = semdedup.duplicates(rows, 0.5, 20)
+    assert pairs[0].count() > 50 and {r.component for r in found.collect()} == {0}
+    # A chain that only far blocks close: the ends' rows are alike through no neighbour.
+    far = spark.createDataFrame([(i, 0, 0.0, [float(np.cos(a)), float(np.sin(a))]) for i, a in enumerate([0.0, 1.0, 2.0, 0.05, 1.05, 2.05, 3.0])], "row_idx long, cluster int, distance double, v array<double>")
+    assert {r.row_idx: r.component for r in semdedup.duplicates(far, 0.99, 1).collect()} == {0: 0, 3: 0, 1: 1, 4: 1, 2: 2, 5: 2, 6: 6}
