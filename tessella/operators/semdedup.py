@@ -110,8 +110,6 @@ def links(rows: DataFrame, tau: float, size: int = BLOCK) -> DataFrame:
     named = cut(placed.groupBy("cluster", "block").applyInPandas(inside, "id long, name long"))
     pairs = cut(block_pairs(placed, tau))
     narrow = cut(placed.drop("angles").join(named, "id"))
-    side = lambda own, other, n: narrow.join(pairs.withColumnRenamed(own, "block"), ["cluster", "block"]).select("cluster", F.col("block").alias(own), other, F.lit(n).alias("side"), "name", "v")
-    both = side("a", "b", 0).unionByName(side("b", "a", 1))
 
     def across(part: pd.DataFrame) -> pd.DataFrame:
         one, two = part[part["side"] == 0], part[part["side"] == 1]
@@ -120,8 +118,24 @@ def links(rows: DataFrame, tau: float, size: int = BLOCK) -> DataFrame:
         met = np.unique(np.stack((one["name"].to_numpy()[i], two["name"].to_numpy()[j]), axis=1), axis=0)
         return pd.DataFrame(forest(met[:, 0], met[:, 1]), columns=["a", "b"]).astype("int64")
 
-    crossed = both.groupBy("cluster", "a", "b").applyInPandas(across, "a long, b long")
-    return named.where("id <> name").select(F.col("id").alias("a"), F.col("name").alias("b")).unionByName(crossed)
+    def crossed(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Edges between names of the pairs' blocks. What a row reaches already it is not compared with: rows go to no block that is all of their name."""
+        whole = cut(rows.groupBy("cluster", "block").agg(F.when(F.min("name") == F.max("name"), F.min("name")).alias("only")))
+        told = pairs.join(whole.select("cluster", F.col("block").alias("a"), F.col("only").alias("only_a")), ["cluster", "a"]).join(whole.select("cluster", F.col("block").alias("b"), F.col("only").alias("only_b")), ["cluster", "b"])
+        told = cut(told.where(~F.coalesce(F.col("only_a") == F.col("only_b"), F.lit(False))))
+
+        def side(own: str, other: str, n: int) -> DataFrame:
+            met = rows.join(told.withColumnRenamed(own, "block"), ["cluster", "block"]).where(~F.coalesce(F.col("name") == F.col(f"only_{other}"), F.lit(False)))
+            return met.select("cluster", F.col("block").alias(own), other, F.lit(n).alias("side"), "name", "v")
+
+        return side("a", "b", 0).unionByName(side("b", "a", 1)).groupBy("cluster", "a", "b").applyInPandas(across, "a long, b long")
+
+    # Blocks next to each other first: where they are dense, most names are one by then, and few rows are left for the other pairs.
+    inner = named.where("id <> name").select(F.col("id").alias("a"), F.col("name").alias("b"))
+    near = cut(crossed(narrow, pairs.where("b = a + 1")))
+    joined = cut(graph.components(near))
+    renamed = cut(narrow.join(joined.withColumnRenamed("id", "name"), "name", "left").withColumn("name", F.coalesce("component", "name")).drop("component"))
+    return inner.unionByName(near).unionByName(crossed(renamed, pairs.where("b > a + 1")))
 
 
 def duplicates(rows: DataFrame, tau: float, size: int = BLOCK) -> DataFrame:
@@ -142,6 +156,8 @@ def keep_one(rows: DataFrame, tau: float, keep: str = "hard", size: int = BLOCK)
     """Rows (row_idx, cluster, distance, v) with component, its size and kept: the farthest from the prototype of each group (hard), or the nearest (easy), the first on ties."""
     if keep not in ("hard", "easy"):
         raise ValueError(f"keep must be hard or easy, got {keep!r}")
+    # Ranked rows lie in one partition, and are read for the groups and for the rows.
+    rows = cut(rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, "row_idx"))
     held = rows.join(duplicates(rows, tau, size), "row_idx")
     distance = F.col("distance") if keep == "easy" else -F.col("distance")
     # One row a group comes back; the groups' minima are made in each task first.
