@@ -7,12 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.llm import kernels as K
+from tessella.llm.frames import bounded, cut, stored
 
 BUCKETS = 1 << 16
-LABELLED = 20_000
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 SMOOTH = 0.5
@@ -111,7 +112,10 @@ def score(docs: DataFrame, weight: np.ndarray, id_col: str = "doc_id") -> DataFr
 
 
 def best_threshold(scores: list[tuple[float, int]]) -> float:
-    """The score that best splits labelled rows by balanced accuracy, midway in its gap, the lowest on ties; minus infinity without both labels."""
+    """The score that best splits labelled rows by balanced accuracy, midway in its gap, the lowest on ties; minus infinity without both labels.
+
+    The plain definition of split(), for tests.
+    """
     rows = sorted(scores)
     good, bad = sum(q == 1 for _, q in rows), sum(q == 0 for _, q in rows)
     if not good or not bad:
@@ -127,24 +131,45 @@ def best_threshold(scores: list[tuple[float, int]]) -> float:
     return at
 
 
-def apply(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> DataFrame:
+def split(judged: DataFrame) -> float:
+    """best_threshold of (score, good) rows of any number: distinct scores are sorted over ranges, running counts add those of the ranges before.
+
+    One row a range reaches the driver. Values are compared as whole numbers.
+    """
+    each = judged.groupBy("score").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
+    held = cut(each.repartitionByRange("score").sortWithinPartitions("score").withColumn("part", F.spark_partition_id()))
+    ranges = sorted(tuple(r) for r in held.groupBy("part").agg(F.sum("good"), F.sum("bad")).collect())
+    good, bad = sum(r[1] for r in ranges), sum(r[2] for r in ranges)
+    if not good or not bad:
+        return float("-inf")
+    before = [(part, sum(r[1] for r in ranges[:i]), sum(r[2] for r in ranges[:i])) for i, (part, _, _) in enumerate(ranges)]
+    offsets = judged.sparkSession.createDataFrame(before, "part int, good_before long, bad_before long")
+    run = W.partitionBy("part").orderBy("score")
+    lost, caught = (F.col(f"{c}_before") + F.sum(c).over(run) for c in ("good", "bad"))
+    best = held.join(F.broadcast(offsets), "part").select("score", (caught * good - lost * bad).alias("value")).orderBy(F.desc("value"), "score").first()
+    if best.value <= 0:
+        return float("-inf")
+    follow = held.where(F.col("score") > best.score).agg(F.min("score")).first()[0]
+    return (best.score + follow) / 2 if follow is not None else float(np.nextafter(best.score, np.inf))
+
+
+def apply(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row a document: base counts, score, base_failed and kept.
 
-    At most `labelled` good and as many bad labelled rows, taken by the hash of their ids, name the trusted text and set the
-    threshold; the raw multinomial counts every document. A document is kept when its base rules hold and its score
+    All labelled documents name the trusted text and set the threshold, the raw multinomial counts every document; the labelled ones' texts
+    are written once. A document is kept when its base rules hold and its score
     reaches the threshold. A null text counts as empty, so fails; rows repeated or with a null id are judged by their
     text alone; labels with nulls, or twice for one id, are left out or taken once (bad wins). Without labels of both
     kinds the base rules decide alone.
     """
     marked = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min(F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).otherwise(0)).alias("good"), F.min("quality").alias("quality"))
-    pick = lambda q: marked.where(q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
-    sample = pick("good = 1").unionByName(pick("quality = 0")).select("doc_id", "good")
-    sample = docs.sparkSession.createDataFrame(sample.collect(), "doc_id long, good int")
-    known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left")
-    weight = weights(count_grams(known.withColumn("trusted", F.col("good") == 1)))
-    seen = score(docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi"), weight)
-    judged = seen.join(F.broadcast(sample), "doc_id").where(~failed()).groupBy("doc_id").agg(F.min("score").alias("score"), F.min("good").alias("good"))
-    threshold = best_threshold([(r[1], r[2]) for r in judged.collect()])
+    known = cut(marked.where("good = 1 OR quality = 0").select("doc_id", "good"))
+    seen = stored(docs.select("doc_id", "text").join(bounded(known), "doc_id"))
+    raw = count_grams(docs.select("text", F.lit(False).alias("trusted")))
+    trusted = count_grams(seen.where("good = 1").select("text", F.lit(True).alias("trusted"))).where("trusted")
+    weight = weights(raw.unionByName(trusted))
+    scores = score(seen, weight).where(~failed()).groupBy("doc_id").agg(F.min("score").alias("score"))
+    threshold = split(scores.join(bounded(known), "doc_id").select("score", "good"))
     return score(docs, weight).withColumn("base_failed", failed()).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(threshold)))
 
 
