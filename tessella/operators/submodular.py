@@ -63,6 +63,12 @@ class Block:
         at = lambda name: batch.column(batch.schema.get_field_index(name))
         return cls(np.asarray(at("row_idx")), np.repeat(np.arange(len(sizes)), sizes), np.asarray(lists.flatten()), np.asarray(at("masses").flatten()), np.asarray(at("bonus")))
 
+    @classmethod
+    def laid(cls, rows: list) -> Block:
+        """Of Row objects."""
+        flat = lambda name, kind: np.array([x for r in rows for x in r[name]], dtype=kind)
+        return cls(np.array([r.row_idx for r in rows]), np.repeat(np.arange(len(rows)), [len(r.protos) for r in rows]), flat("protos", np.int64), flat("masses", float), np.array([r.bonus for r in rows]))
+
     def gains(self, objective, state: np.ndarray) -> np.ndarray:
         return self.summed(objective.parts(state[self.protos], self.protos, self.masses))
 
@@ -145,24 +151,29 @@ def exact(rows: DataFrame, budget: int, objective, k: int, top: int = TOP) -> li
     return order
 
 
-def threshold(rows: DataFrame, budget: int, objective, k: int, eps: float = 0.1, top: int = TOP, parts: int | None = None) -> tuple[DataFrame, int]:
+def threshold(rows: DataFrame, budget: int, objective, k: int, eps: float = 0.1, top: int = TOP, parts: int | None = None, told: int = TOLD) -> tuple[DataFrame, int]:
     """(row_idx, keep_rank, gain) of picks that each gain at least (1 - eps) of what any row could, and the number of passes.
 
     So the value is at least 1 - exp(-(1 - eps)) of the best. After one lazy pass, each pass lowers a threshold to (1 - eps) of the
     largest gain, if no row is above it, and takes the rows above it in a fixed order: every task first sums the masses of its candidates, and a
     candidate is picked if it is above the threshold even after all candidates before it, of its task and of earlier ones. Sums of k numbers a task
-    reach the driver, never rows: picks stay in Spark. The number of passes depends on how often the largest gain falls by eps, not on the budget.
+    reach the driver. A pass writes its picks alone; those of passes of at most `told` in all are told to later passes, which skip them, and picks of larger
+    ones stay in Spark and leave the table. The number of passes depends on how often the largest gain falls by eps, not on the budget.
     """
     check(rows, budget)
     spark = rows.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("row_idx", "protos", "masses", "bonus").repartition(parts, F.xxhash64("row_idx")).sortWithinPartitions(F.xxhash64("row_idx", F.lit(1)), "row_idx")
-    left = cut(dealt)
+
+    def placed(rows: DataFrame) -> DataFrame:
+        # Without a number, adaptive execution makes no more tasks than the rows' bytes ask for.
+        return cut(rows.select("row_idx", "protos", "masses", "bonus").repartition(*([parts] if parts else []), F.xxhash64("row_idx")).sortWithinPartitions(F.xxhash64("row_idx", F.lit(1)), "row_idx"))
+
+    left = placed(rows)
     head: list[tuple[int, float]] = []
     state, passes = lazy_pass(left, objective, np.zeros(k), head, budget, set(), top), 1
     gone = np.array(sorted(i for i, _ in head), dtype=np.int64)
-    found = [spark.createDataFrame([(i, n + 1, g) for n, (i, g) in enumerate(head)], "row_idx long, keep_rank long, gain double")]
-    done, level = len(head), np.inf
+    # Picks that passes are told of, and frames of those that left the table.
+    listed, found = [(i, n + 1, g) for n, (i, g) in enumerate(head)], []
+    done, level, few = len(head), np.inf, max(1, told // max(1, left.rdd.getNumPartitions()))
 
     def sums(state: np.ndarray, level: float) -> dict[int, tuple[float, int, np.ndarray]]:
         shared = spark.sparkContext.broadcast((objective, state, gone))
@@ -196,10 +207,28 @@ def threshold(rows: DataFrame, budget: int, objective, k: int, eps: float = 0.1,
                 place = np.where(picked, n + np.cumsum(picked), 0)
                 n += int(picked.sum())
                 columns = [pa.array(picked), pa.array(np.full(len(place), part, np.int32)), pa.array(place), pa.array(sure)]
-                out = pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "picked", "part", "place", "gain"])
-                yield out.filter(pa.array(open_))
+                out = pa.RecordBatch.from_arrays([*batch.columns, *columns[1:]], [*batch.schema.names, "part", "place", "gain"])
+                yield out.filter(columns[0])
+
+        return left.mapInArrow(run, ROW + ", part int, place long, gain double")
+
+    def near(state: np.ndarray, level: float, most: int) -> dict[int, Block] | None:
+        """The candidates of each task, in its order; None if one has more than `most`."""
+        shared = spark.sparkContext.broadcast((objective, state, gone))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            objective, state, gone = shared.value
+            n = 0
+            for batch in batches:
+                block = Block.of(batch)
+                own = batch.filter(pa.array(~np.isin(block.ids, gone) & (block.gains(objective, state) >= level))).slice(0, most + 1 - n)
+                n += own.num_rows
+                yield own.append_column("part", pa.array(np.full(own.num_rows, TaskContext.get().partitionId(), np.int32)))
 
-        return left.mapInArrow(run, ROW + ", picked boolean, part int, place long, gain double")
+        by: dict[int, list] = {}
+        for r in left.mapInArrow(run, ROW + ", part int").collect():
+            by.setdefault(r.part, []).append(r)
+        return None if any(len(rows) > most for rows in by.values()) else {part: Block.laid(by[part]) for part in sorted(by)}
 
     def covered(picks: DataFrame) -> dict[int, tuple[int, np.ndarray]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,24 +245,52 @@ def threshold(rows: DataFrame, budget: int, objective, k: int, eps: float = 0.1,
         best = max(b for b, _, _ in seen.values())
         if best <= 0:
             break
-        if not any(n for _, n, _ in seen.values()):
+        counted = sum(n for _, n, _ in seen.values())
+        if not counted:
             level = (1.0 - eps) * best
+        held = near(state, level, few) if counted <= few * len(seen) and len(gone) < told else None
+        while held is not None and done < budget:
+            # All candidates of this threshold are here, so its passes end here.
+            met, new, passes = state, [], passes + 1
+            for block in held.values():
+                among = ~np.isin(block.ids, gone) & (block.gains(objective, state) >= level)
+                sure = block.summed(objective.parts(block.before(among, met), block.protos, block.masses))
+                met = met + block.total(among, k)
+                new += [(block, i, float(sure[i])) for i in np.flatnonzero(among & (sure >= level))]
+            if not new:
+                passes -= 1
+                break
+            listed += [(int(block.ids[i]), done + n + 1, g) for n, (block, i, g) in enumerate(new)]
+            done += len(new)
+            gone = np.sort(np.append(gone, [block.ids[i] for block, i, _ in new])).astype(np.int64)
+            for block in held.values():
+                state = state + block.total(np.isin(np.arange(len(block.ids)), [i for b, i, _ in new if b is block]), k)
+        if held is not None:
+            continue
+        if not counted:
             seen = sums(state, level)
         passes += 1
         offsets, so_far = {}, np.zeros(k)
         for part in sorted(seen):
             offsets[part] = so_far
             so_far = so_far + seen[part][2]
-        both = cut(accepted(state, level, offsets))
-        picks, left = both.where("picked"), both.where("NOT picked").select("row_idx", "protos", "masses", "bonus")
+        picks = cut(accepted(state, level, offsets))
         counts, before = covered(picks), []
         for part in sorted(counts):
             before.append((part, done))
             done += counts[part][0]
             state = state + counts[part][1]
-        gone = np.zeros(0, np.int64)
+        if len(gone) + sum(n for n, _ in counts.values()) <= told:
+            ranks = dict(before)
+            new = [(r.row_idx, ranks[r.part] + r.place, r.gain) for r in picks.select("row_idx", "part", "place", "gain").collect()]
+            listed += new
+            gone = np.sort(np.append(gone, np.array([i for i, _, _ in new], dtype=np.int64)))
+            continue
         ranks = spark.createDataFrame(before, "part int, before long")
         found.append(picks.join(F.broadcast(ranks), "part").select("row_idx", (F.col("before") + F.col("place")).alias("keep_rank"), "gain"))
+        away = picks.select("row_idx").unionByName(spark.createDataFrame([(int(i),) for i in gone], "row_idx long"))
+        left, gone = placed(left.join(away, "row_idx", "left_anti")), np.zeros(0, np.int64)
+    found.append(spark.createDataFrame(listed, "row_idx long, keep_rank long, gain double"))
     picked = reduce(DataFrame.unionByName, found).where(F.col("keep_rank") <= budget)
     if done < budget:
         # Nothing gains any more: plain greedy would go on with the first rows.

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from tessella.operators import coverage, graph, greedy, kcenter, semdedup, submodular, zcore
+from tessella.plans.lineage import cut
 
 
 def unit(x):
@@ -223,3 +224,16 @@ def test_zcore_scores_equal_plain_python(spark):
     picked = zcore.choose(rows, 9, 2, draws=300, neighbours=4, fall=3.0).where("selected").collect()
     assert {r.row_idx for r in picked} == set(sorted(range(75), key=lambda i: (-found[i].score, i))[:9])
     assert zcore.scores(rows.where("false")).count() == 0
+
+
+def test_threshold_passes_of_few_picks_write_nothing_and_give_the_same_picks(sparse, monkeypatch):
+    _, rows = sparse
+    written = []
+    monkeypatch.setattr(submodular, "cut", lambda df: written.append(1) or cut(df))
+    picks = []
+    for told in (submodular.TOLD, 3, 0):
+        written.clear()
+        found, passes = submodular.threshold(rows, 60, submodular.Survival(np.linspace(1, 3, 9)), 9, 0.2, top=1, parts=3, told=told)
+        picks.append((passes, sorted(tuple(r) for r in found.collect())))
+        assert (len(written) == 1) == (told == submodular.TOLD)
+    assert picks[0] == picks[1] == picks[2]
