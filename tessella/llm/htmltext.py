@@ -9,8 +9,8 @@ footers, sidebars, forms or comments goes. On a page with an article, what stand
 if it is covered and its own class names it boilerplate, or if most pages of the host share it, unless the whole article is so.
 On a page without one the runs decide.
 
-A host's pages are dealt to shards of about SHARD characters, so one host never meets in one task; boilerplate repeats
-within every shard.
+A host's pages are dealt to shards of about SHARD characters, so one host never meets in one task. The windows of hosts of several shards that
+decide on a text are counted over the whole host by 64-bit keys, so the texts do not depend on the shards.
 """
 
 from __future__ import annotations
@@ -26,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.frames import cut
+from tessella.llm import kernels as K
+from tessella.llm.frames import BROADCAST_ROWS, bounded, cut, stored
 
 WIDTH = 8
+PLACE = np.random.default_rng(20240608).integers(1, 1 << 63, size=WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHARD = 2_000_000
 COVERED = 0.5
 #: Share of an article's words, in blocks that most pages share, from which on the article itself is the copy, not a notice in it.
@@ -257,12 +259,37 @@ def shared_runs(streams: list[list[str]]) -> list[np.ndarray]:
     return [covered[e - n : e] for e, n in zip(ends, lengths, strict=True)]
 
 
-def main_text(parsed: list[list[Block]]) -> list[str]:
-    """Main texts of pages of one host that are seen together."""
-    streams = [[t for b in page for t in b.text.split()] for page in parsed]
-    most = max(COMMON, len(parsed) // 2 + 1)
+def window_keys(column: pa.Array, salt: np.ndarray) -> tuple[np.ndarray, K.Words]:
+    """The 64-bit key of the window of WIDTH tokens at each token of each text, its row's salt included; a text's end is part of a shorter window."""
+    words = K.split(column)
+    at, end, out = np.arange(len(words.hash)), words.first[words.row + 1], np.zeros(len(words.hash), dtype=np.uint64)
+    for j in range(WIDTH):
+        inside = at + j < end
+        out[inside] += words.hash[at[inside] + j] * PLACE[j]
+    return K.mix(K.mix(out) ^ salt[words.row]), words
+
+
+def told_runs(keys: np.ndarray, words: K.Words, known: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """shared_runs() of texts by their window keys, where the pages of whole hosts are known: sorted keys, and counts of at least 2."""
+    spread = np.zeros(len(keys), dtype=np.int64)
+    if len(known[0]) and len(keys):
+        at = np.minimum(np.searchsorted(known[0], keys), len(known[0]) - 1)
+        spread = np.where(known[0][at] == keys, known[1][at], 0)
+    row = words.row
+    starts = np.where(np.arange(len(keys)) + WIDTH <= words.first[row + 1], spread, 0)
+    covered = starts.copy()
+    for step in range(1, WIDTH):
+        covered[step:] = np.maximum(covered[step:], np.where(row[step:] == row[:-step], starts[:-step], 0))
+    covered = np.where(np.diff(words.first)[row] < WIDTH, spread, covered)
+    return np.split(covered, words.first[1:-1])
+
+
+def main_text(parsed: list[list[Block]], pages: int | None = None, runs: list[np.ndarray] | None = None) -> list[str]:
+    """Main texts of pages of one host. Without its number of pages, and runs over all of them, the pages are the host's only ones."""
+    runs = shared_runs([[t for b in page for t in b.text.split()] for page in parsed]) if runs is None else runs
+    most = max(COMMON, (len(parsed) if pages is None else pages) // 2 + 1)
     out = []
-    for page, spread in zip(parsed, shared_runs(streams), strict=True):
+    for page, spread in zip(parsed, runs, strict=True):
         article = any(b.main and not b.aside for b in page)
         sizes = [len(b.text.split()) for b in page]
         common = [n > 0 and (s >= most).mean() >= COVERED for n, s in zip(sizes, np.split(spread, np.cumsum(sizes)), strict=False)]
@@ -284,23 +311,122 @@ def main_text(parsed: list[list[Block]]) -> list[str]:
     return out
 
 
+def page_blocks(texts: list[str], marks: list[int]) -> list[Block]:
+    return [Block(t, bool(m & 1), bool(m & 2), bool(m & 4)) for t, m in zip(texts, marks, strict=True)]
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, K.Words]]:
+    """Slices of parsed pages with their windows' keys."""
+    for batch in batches:
+        texts = pa.array([" ".join(t) for t in batch.column("texts").to_pylist()], pa.large_string())
+        for lo, hi in K.slices(texts, 4 * K.SLICE_BYTES):
+            own = batch.slice(lo, hi - lo)
+            yield own, *window_keys(texts[lo:hi], np.asarray(own.column("salt")).view(np.uint64))
+
+
+def windows_apart(parsed: DataFrame) -> DataFrame:
+    """(host, shard, key, n): of the windows that decide on a text, in how many pages they stand, by shard and task.
+
+    Windows decide if they lie over blocks that other pages' runs may remove, or stand in most pages of a host, so in most of its pages in some slice of
+    a task. If such ones are few, only they are counted, else all.
+    """
+
+    def deciding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, keys, words in sliced(batches):
+            found = []
+            for r, (texts, marks) in enumerate(zip(own.column("texts").to_pylist(), own.column("marks").to_pylist(), strict=True)):
+                article, at = any(m & 1 and not m & 2 for m in marks), words.first[r]
+                for text, m in zip(texts, marks, strict=True):
+                    n = len(text.split())
+                    if not m & 2 and (m & 5 == 5 if article else True):
+                        found.append(keys[max(words.first[r], at - WIDTH + 1) : at + n])
+                    at += n
+            _, host = np.unique(np.asarray(own.column("salt")), return_inverse=True)
+            once = np.unique(np.stack((keys, words.row.astype(np.uint64))), axis=1) if len(keys) else np.zeros((2, 0), np.uint64)
+            key, first, n = np.unique(once[0], return_index=True, return_counts=True)
+            found.append(key[2 * n > np.bincount(host)[host[once[1][first].astype(np.int64)]]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)).view(np.int64))], ["key"])
+
+    wanted = stored(parsed.select("salt", "texts", "marks").mapInArrow(deciding, "key long").distinct())
+    few = wanted.count() <= BROADCAST_ROWS
+    shared = parsed.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in wanted.collect()], dtype=np.int64).view(np.uint64)) if few else None)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, keys, words in sliced(batches):
+            held = np.isin(keys, shared.value) if shared.value is not None else np.ones(len(keys), dtype=bool)
+            once = np.unique(np.stack((keys[held], words.row[held].astype(np.uint64))), axis=1)
+            row = once[1].astype(np.int64)
+            shard = np.asarray(own.column("shard")).astype(np.int64)[row]
+            order = np.lexsort((shard, once[0]))
+            key, shard, row = once[0][order], shard[order], row[order]
+            start = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (shard[1:] != shard[:-1])))) if len(key) else np.zeros(0, np.int64)
+            columns = [own.column("host").take(pa.array(row[start])), pa.array(shard[start].astype(np.int32)), pa.array(key[start].view(np.int64)), pa.array(np.diff(np.append(start, len(key))))]
+            yield pa.RecordBatch.from_arrays(columns, ["host", "shard", "key", "n"])
+
+    return stored(parsed.select("host", "salt", "shard", "texts", "marks").mapInArrow(counted, "host string, shard int, key long, n long"))
+
+
+def settled(parsed: DataFrame) -> DataFrame:
+    """(page_id, url, text, n_chars) of the parsed pages of hosts of several shards. Few known windows come along; else they meet the pages by shard."""
+    each = windows_apart(parsed)
+    totals = stored(each.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"))
+    schema = "page_id long, url string, text string, n_chars long"
+
+    def texts_of(own: pa.RecordBatch, keys: np.ndarray, words: K.Words, known: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        pages = zip(*(own.column(c).to_pylist() for c in ("texts", "marks", "pages")), told_runs(keys, words, known), strict=True)
+        texts = [main_text([page_blocks(t, m)], n, [runs])[0] for t, m, n, runs in pages]
+        return pa.RecordBatch.from_arrays([own.column("page_id"), own.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    def ordered(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = key.astype(np.int64).view(np.uint64)
+        order = np.argsort(key)
+        return key[order], n[order].astype(np.int64)
+
+    if totals.count() <= BROADCAST_ROWS:
+        rows = np.array(totals.collect(), dtype=np.int64).reshape(-1, 2)
+        shared = parsed.sparkSession.sparkContext.broadcast(ordered(rows[:, 0].copy(), rows[:, 1]))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for own, keys, words in sliced(batches):
+                yield texts_of(own, keys, words, shared.value)
+
+        return parsed.mapInArrow(run, schema)
+
+    def meet(pages: pa.Table, known: pa.Table) -> pa.Table:
+        held = ordered(known.column("key").to_numpy(), known.column("n").to_numpy())
+        found = [texts_of(own, keys, words, held) for own, keys, words in sliced(iter(pages.combine_chunks().to_batches()))]
+        return pa.Table.from_batches(found, pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())]))
+
+    known = each.select("host", "shard", "key").distinct().join(totals, "key").select("host", "shard", "key", "n")
+    return parsed.groupBy("host", "shard").cogroup(known.groupBy("host", "shard")).applyInArrow(meet, schema)
+
+
 def extract(pages: DataFrame, shard: int = SHARD) -> DataFrame:
     """(page_id, url, text, n_chars) of every row: the article's blocks, joined by two newlines.
 
     A null or empty page gives an empty text; pages with a null or odd url form a host of their own; a page alone on its host
     has no shared runs, so its marks decide. Rows repeated stay repeated: they share runs with each other, which the
-    article's marks outweigh. A page of any length is one task's row. Shards of a host are dealt by the hash of the page
-    id and text, by the host's total length.
+    article's marks outweigh. A page of any length is one task's row. Pages are parsed once; shards of a host are dealt by the hash of the page
+    id and text, by the host's total length, and change no text: windows of hosts of several shards are counted over the whole host.
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.col("url"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html")).withColumn("host", host)
-    sizes = cut(rows.groupBy("host").agg(F.ceil(F.sum(F.length("html")) / F.lit(shard)).cast("int").alias("shards")).where("shards > 1"))
-    split = F.pmod(F.xxhash64("page_id", "url", F.length("html")), F.greatest(F.coalesce("shards", F.lit(1)), F.lit(1))).cast("int")
-    hot = F.broadcast(sizes) if sizes.count() <= 100_000 else sizes
-    dealt = rows.join(hot, "host", "left").withColumn("shard", split).drop("shards")
+    sizes = cut(rows.groupBy("host").agg(F.ceil(F.sum(F.length("html")) / F.lit(shard)).cast("int").alias("shards"), F.count(F.lit(1)).alias("pages")).where("shards > 1"))
+    split = F.when(F.col("shards") > 1, F.pmod(F.xxhash64("page_id", "url", F.length("html")), F.col("shards"))).otherwise(0).cast("int")
+    dealt = rows.join(bounded(sizes, 100_000), "host", "left").select("page_id", "url", "host", "pages", split.alias("shard"), F.xxhash64("host").alias("salt"), "html")
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in K.slices(batch.column("html"), 4 * K.SLICE_BYTES):
+                parsed = [blocks(h) for h in batch.column("html")[lo:hi].to_pylist()]
+                lists = [pa.array([[b.text for b in page] for page in parsed], pa.list_(pa.string())), pa.array([[b.main + 2 * b.aside + 4 * b.hinted for b in page] for page in parsed], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i)[lo:hi] for i in range(6)), *lists], [*batch.schema.names[:6], "texts", "marks"])
+
+    parsed = lambda rows: rows.mapInArrow(parse, "page_id long, url string, host string, pages long, shard int, salt long, texts array<string>, marks array<int>")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        texts = main_text([blocks(h) for h in group["html"]])
+        texts = main_text([page_blocks(*page) for page in zip(group["texts"], group["marks"], strict=True)])
         return pd.DataFrame({"page_id": group["page_id"], "url": group["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    return dealt.groupBy("host", "shard").applyInPandas(run, "page_id long, url string, text string, n_chars long")
+    small = parsed(dealt.where("pages IS NULL")).groupBy("host").applyInPandas(run, "page_id long, url string, text string, n_chars long")
+    return small if sizes.isEmpty() else small.unionByName(settled(stored(parsed(dealt.where("pages IS NOT NULL")), "zstd")))

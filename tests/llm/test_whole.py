@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessella.llm import quality
+from tessella.llm import htmltext, quality
 
 
 def test_threshold_takes_every_labelled_row(spark):
@@ -24,3 +24,22 @@ def test_quality_learns_from_more_than_20000_labels(spark):
     # Words of the last good documents by hash stand in no other: without them as trusted text they would score as bad.
     kept = quality.apply(docs, labels).groupBy((F.col("doc_id") < n).alias("good"), "kept").count()
     assert {(r.good, r.kept): r["count"] for r in kept.collect()} == {(True, True): n, (False, False): 200}
+
+
+def test_html_texts_do_not_depend_on_the_shards_of_a_host(spark, monkeypatch):
+    dice = np.random.default_rng(7)
+    own = lambda n: " ".join(f"w{x}" for x in dice.integers(0, 9_999, n))
+    often, twice, short = own(12), [own(10) for _ in range(15)], "All rights reserved"
+    rows = []
+    for i in range(30):
+        p, q = f"<p>{often}</p>" if i % 3 else "", f"<p class='cookie-notice'>{twice[i // 2]}</p>"
+        rows.append((i, "http://big.example/", f"<article>{p}<p>{own(40)}</p>{q}</article>"))
+        rows.append((100 + i, "http://big.example/", f"<div>{twice[i // 2]}</div><p>{own(30)}</p>" if i % 4 else f"<p>{short}</p>"))
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    texts = [sorted(tuple(r) for r in htmltext.extract(frame, shard).collect()) for shard in (1 << 30, 1_500, 100)]
+    monkeypatch.setattr(htmltext, "BROADCAST_ROWS", 0)
+    texts.append(sorted(tuple(r) for r in htmltext.extract(frame, 1_500).collect()))
+    assert texts[0] == texts[1] == texts[2] == texts[3]
+    plain = htmltext.main_text([htmltext.blocks(h) for _, _, h in rows])
+    assert [(i, t) for i, _, t, _ in texts[0]] == sorted(zip([r[0] for r in rows], plain, strict=True))
+    assert {t for i, _, t, _ in texts[0] if i == 100} == {""} and all(w not in t for _, _, t, _ in texts[0] for w in twice)
