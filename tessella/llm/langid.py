@@ -23,6 +23,8 @@ from tessella.llm.frames import free
 
 BUCKETS = 1 << 15
 SAMPLE = 20_000
+#: Bytes of text seen at once: half of a usual slice, as every byte has several n-grams.
+SLICE = K.SLICE_BYTES // 2
 SWITCH = 12.0
 FOREIGN = 1e-3
 LEAST = 0.5
@@ -124,7 +126,7 @@ def learn(docs: DataFrame, limit: int = SAMPLE) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
-            for lo, hi in K.slices(batch.column(1)):
+            for lo, hi in K.slices(batch.column(1), SLICE):
                 g = grams(batch.column(1)[lo:hi])
                 langs = np.array(batch.column(0)[lo:hi].to_pylist(), dtype=object)
                 names, code = np.unique(langs.astype(str), return_inverse=True)
@@ -214,7 +216,7 @@ def labeller(docs: DataFrame, model: Model, switch: float, kept: list[int], text
         model = shared.value
         n = len(model.languages)
         for batch in batches:
-            for lo, hi in K.slices(batch.column(text)):
+            for lo, hi in K.slices(batch.column(text), SLICE):
                 column = batch.column(text)[lo:hi]
                 g = grams(column)
                 first = g.words.first
