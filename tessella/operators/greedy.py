@@ -34,7 +34,7 @@ def packed(mass: DataFrame, order: DataFrame) -> DataFrame:
     return order.join(lists, "image_id", "left").select("row_idx", F.coalesce(F.transform("m", lambda e: e["proto_id"].cast("int")), F.array().cast("array<int>")).alias("protos"), F.coalesce(F.transform("m", lambda e: e["mass"]), F.array().cast("array<double>")).alias("masses"))
 
 
-def greedy(rows: DataFrame, budget: int, alpha: float, k: int, top: int = submodular.TOP) -> list[int]:
+def greedy(rows: DataFrame, budget: int, alpha: float, k: int, top: int = submodular.FETCH) -> list[int]:
     """row_idx in pick order, maximising the summed covered mass to the power alpha; the first row on ties."""
     if not 0.0 < alpha <= 1.0:
         raise ValueError(f"alpha must be in (0, 1], got {alpha}")

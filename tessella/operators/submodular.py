@@ -21,9 +21,12 @@ from tessella.plans.lineage import cut, ranked
 
 PLACES = 9
 TOP = 4096
+#: Of exact(): rows that a pass brings to the driver, rows and masses that stay there between passes, and the rows that a pick is looked for in at once.
+FETCH, HELD, WINDOW = 1 << 14, 1 << 22, 512
 #: Picked rows that a pass is told of; beyond it they leave the table.
 TOLD = 8192
 ROW = "row_idx long, protos array<int>, masses array<double>, bonus double"
+PACKED = "n long, entries long, ids binary, sizes binary, protos binary, masses binary, bonus binary"
 
 
 @dataclass(frozen=True)
@@ -69,6 +72,29 @@ class Block:
         flat = lambda name, kind: np.array([x for r in rows for x in r[name]], dtype=kind)
         return cls(np.array([r.row_idx for r in rows]), np.repeat(np.arange(len(rows)), [len(r.protos) for r in rows]), flat("protos", np.int64), flat("masses", float), np.array([r.bonus for r in rows]))
 
+    @classmethod
+    def read(cls, row) -> Block:
+        """Of a row of packed()."""
+        sizes = np.frombuffer(row["sizes"], np.int32)
+        return cls(np.frombuffer(row["ids"], np.int64), np.repeat(np.arange(len(sizes)), sizes), np.frombuffer(row["protos"], np.int32), np.frombuffer(row["masses"]), np.frombuffer(row["bonus"]))
+
+    @classmethod
+    def joined(cls, blocks: list[Block]) -> Block:
+        before = np.cumsum([0, *(len(b.ids) for b in blocks)])
+        return cls(*(np.concatenate([getattr(b, name) + (n if name == "owner" else 0) for b, n in zip(blocks, before, strict=False)]) for name in ("ids", "owner", "protos", "masses", "bonus")))
+
+    def bytes(self) -> pa.RecordBatch:
+        sizes = np.bincount(self.owner, minlength=len(self.ids)).astype(np.int32)
+        parts = (self.ids.astype(np.int64), sizes, self.protos.astype(np.int32), self.masses, self.bonus)
+        return pa.RecordBatch.from_arrays([pa.array([len(self.ids)]), pa.array([len(self.protos)]), *(pa.array([p.tobytes()], pa.binary()) for p in parts)], ["n", "entries", "ids", "sizes", "protos", "masses", "bonus"])
+
+    def taken(self, at: np.ndarray) -> Block:
+        """The rows at those places, in that order."""
+        sizes = np.bincount(self.owner, minlength=len(self.ids))
+        start, own = np.cumsum(sizes) - sizes, sizes[at]
+        entries = np.repeat(start[at] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+        return Block(self.ids[at], np.repeat(np.arange(len(at)), own), self.protos[entries], self.masses[entries], self.bonus[at])
+
     def gains(self, objective, state: np.ndarray) -> np.ndarray:
         return self.summed(objective.parts(state[self.protos], self.protos, self.masses))
 
@@ -131,23 +157,128 @@ def check(rows: DataFrame, budget: int) -> None:
         raise ValueError(f"budget={budget} is out of range")
 
 
-def exact(rows: DataFrame, budget: int, objective, k: int, top: int = TOP) -> list[tuple[int, float]]:
+def packed(rows: DataFrame) -> DataFrame:
+    """Rows as blocks of bytes, which passes read whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield Block.of(batch).bytes()
+
+    return rows.select("row_idx", "protos", "masses", "bonus").mapInArrow(run, PACKED)
+
+
+def without(blocks: DataFrame, gone: np.ndarray) -> DataFrame:
+    """Packed blocks without the rows of sorted ids."""
+    shared = blocks.sparkSession.sparkContext.broadcast(gone)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                block = Block.read(row)
+                yield block.taken(np.flatnonzero(~np.isin(block.ids, shared.value))).bytes()
+
+    return blocks.mapInArrow(run, PACKED)
+
+
+def largest(blocks: DataFrame, objective, state: np.ndarray, known: np.ndarray, top: int) -> tuple[list[Block], tuple[float, int]]:
+    """About `top` rows of the largest gains that are not in `known`, sorted ids, and the (-gain, row_idx) that all others come after.
+
+    Tasks first name the gains at every so many of their ranks, which give a bound; then the rows up to it alone travel, so what reaches the driver
+    does not grow with the number of tasks' rows.
+    """
+    context = blocks.sparkSession.sparkContext
+    step = max(1, top // max(64, blocks.rdd.getNumPartitions()))
+    shared = context.broadcast((objective, state, known))
+
+    def open_(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, np.ndarray, np.ndarray]]:
+        objective, state, known = shared.value
+        for batch in batches:
+            for row in batch.to_pylist():
+                block = Block.read(row)
+                left = ~np.isin(block.ids, known)
+                yield block, left, block.gains(objective, state)
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gain, ids = np.zeros(0), np.zeros(0, np.int64)
+        for block, left, value in open_(batches):
+            gain, ids = np.append(gain, value[left]), np.append(ids, block.ids[left])
+            first = np.lexsort((ids, -gain))[: top + step]
+            gain, ids = gain[first], ids[first]
+        yield pa.RecordBatch.from_arrays([pa.array([x[step - 1 :: step].tobytes()], pa.binary()) for x in (gain, ids)], ["gain", "ids"])
+
+    named = blocks.mapInArrow(marks, "gain binary, ids binary").collect()
+    gain, ids = (np.concatenate([np.frombuffer(r[i], kind) for r in named] or [np.zeros(0, kind)]) for i, kind in enumerate((np.float64, np.int64)))
+    order = np.lexsort((ids, -gain))[: max(1, top // step)]
+    whole = len(order) < max(1, top // step)
+    bound = (np.inf, 0) if whole else (-gain[order[-1]], int(ids[order[-1]]))
+
+    def up_to(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, left, value in open_(batches):
+            at = np.flatnonzero(left & ((-value < bound[0]) | ((-value == bound[0]) & (block.ids <= bound[1]))))
+            if len(at):
+                yield block.taken(at).bytes()
+
+    found = [Block.read(r) for r in blocks.mapInArrow(up_to, PACKED).collect()]
+    shared.destroy()
+    return found, bound
+
+
+def pick(held: Block, objective, state: np.ndarray, order: list[tuple[int, float]], budget: int, bound: tuple[float, int]) -> tuple[Block, np.ndarray]:
+    """Picks of `held` while they come before `bound`, which no other row does. Returns what is left of it, and the new state.
+
+    As gains only shrink, a pick is looked for among the WINDOW rows of the largest gains as long as it comes before all others' earlier gains.
+    """
+    state = state.copy()
+    while len(order) < budget and len(held.ids):
+        gain = held.gains(objective, state)
+        first = np.lexsort((held.ids, -gain))[: WINDOW + 1]
+        limit = min(bound, (-gain[first[WINDOW]], int(held.ids[first[WINDOW]]))) if len(first) > WINDOW else bound
+        first = first[:WINDOW]
+        first = first[np.argsort(held.ids[first])]
+        near, left = held.taken(first), np.ones(len(first), bool)
+        while len(order) < budget and left.any():
+            now = np.where(left, near.gains(objective, state), -np.inf)
+            at = int(now.argmax())
+            if (-now[at], int(near.ids[at])) > limit:
+                break
+            own = near.owner == at
+            np.add.at(state, near.protos[own], near.masses[own])
+            order.append((int(near.ids[at]), float(now[at])))
+            left[at] = False
+        if left.all():
+            break
+        kept = np.ones(len(held.ids), bool)
+        kept[first[~left]] = False
+        held = held.taken(np.flatnonzero(kept))
+    return held, state
+
+
+def exact(rows: DataFrame, budget: int, objective, k: int, top: int = FETCH) -> list[tuple[int, float]]:
     """(row_idx, gain) in the order of plain greedy, the first row on ties.
 
-    Gains only shrink as rows are picked, so a pass's gains bound later ones. On the driver are at most `top` rows a pass and the
-    picks' numbers: for budgets of millions use threshold(). Passes are told of at most TOLD picks; then those leave the table.
+    Gains only shrink as rows are picked, so a pass's gains bound later ones. A pass brings about `top` rows that are not on the driver yet, and those not
+    picked stay there, up to HELD masses: a row hardly travels twice, whatever the number of passes. For budgets of many millions use threshold(), as
+    the picks' numbers are on the driver. Passes are told of at most TOLD picks; then those leave the table.
     """
-    check(rows, budget)
-    state, order, told = np.zeros(k), [], 0
-    rows = rows.persist()
+    blocks = packed(rows).persist()
+    n, entries = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("entries"), F.lit(0))).first()
+    if budget < 0 or budget > n:
+        raise ValueError(f"budget={budget} is out of range")
+    top = max(1, min(top, HELD // 4 * n // max(1, entries)))
+    state, order, told, held = np.zeros(k), [], 0, []
     while len(order) < budget:
         if len(order) - told > TOLD:
-            gone = rows.sparkSession.createDataFrame([(int(i),) for i, _ in order[told:]], "row_idx long")
-            held, rows = rows, cut(rows.join(gone, "row_idx", "left_anti"))
-            held.unpersist()
+            whole, blocks = blocks, cut(without(blocks, np.sort(np.array([i for i, _ in order[told:]], dtype=np.int64))))
+            whole.unpersist()
             told = len(order)
-        state = lazy_pass(rows, objective, state, order, budget, {i for i, _ in order[told:]}, top)
-    rows.unpersist()
+        known = np.sort(np.concatenate([np.array([i for i, _ in order[told:]], dtype=np.int64), *(b.ids for b in held)]))
+        new, bound = largest(blocks, objective, state, known, top)
+        left, state = pick(Block.joined([*held, *new]), objective, state, order, budget, bound)
+        if len(left.ids) + len(left.protos) > HELD:
+            left = left.taken(np.sort(np.lexsort((left.ids, -left.gains(objective, state)))[: len(left.ids) // 2]))
+        held = [left]
+    blocks.unpersist()
     return order
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pickle
 
 import numpy as np
 import pytest
@@ -48,6 +49,24 @@ def test_exact_greedy_equals_numpy_with_few_rows_a_pass(sparse, monkeypatch):
     assert greedy.greedy(rows.drop("bonus"), 50, 0.5, 9) == order
 
 
+def test_rows_of_exact_greedy_hardly_reach_the_driver_twice(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    mass = rng.exponential(size=(1500, 6))
+    mass[40:80] = mass[40]
+    rows = spark.createDataFrame([(i, list(range(6)), m.tolist(), 0.0) for i, m in enumerate(mass)], submodular.ROW).repartition(3).cache()
+    kind, sent = type(rows), []
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: sent.append(collect(self)) or sent[-1])
+    power = lambda s, m: ((s + m) ** 0.5 - s**0.5).sum()
+    order, _ = plain_greedy(power, 1500, 300, 6, mass)
+    monkeypatch.setattr(submodular, "WINDOW", 8)
+    assert [i for i, _ in submodular.exact(rows, 300, submodular.Power(0.5), 6, 100)] == order
+    assert sum(len(pickle.dumps(r)) for r in sent) < len(pickle.dumps(collect(rows)))
+    # Rows that find no place on the driver go back, and come again.
+    monkeypatch.setattr(submodular, "HELD", 800)
+    assert [i for i, _ in submodular.exact(rows, 300, submodular.Power(0.5), 6, 100)] == order
+
+
 @pytest.mark.parametrize("eps", [0.05, 0.3])
 def test_threshold_passes_reach_the_factor_and_do_not_grow_with_the_budget(sparse, eps):
     mass, rows = sparse
