@@ -22,9 +22,9 @@ def norm(v: Column | str) -> Column:
 
 def unit(v: Column | str, eps: float = 1e-12) -> Column:
     """The vector over its norm; a norm under eps raises, since cosine is undefined for it."""
-    n = norm(v)
-    checked = F.when(n < eps, F.raise_error(F.lit("a vector has almost no norm; cosine distance is undefined for it"))).otherwise(n)
-    return F.transform(v, lambda x: x / checked)
+    # The norm is bound as the one element of an array, so that it is taken once a vector and not once a coordinate.
+    checked = lambda n: F.when(n < eps, F.raise_error(F.lit("a vector has almost no norm; cosine distance is undefined for it"))).otherwise(n)
+    return F.transform(F.array(norm(v)), lambda n: F.transform(v, lambda x: x / checked(n)))[0]
 
 
 def rounded(x: Column) -> Column:
