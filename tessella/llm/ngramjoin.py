@@ -9,7 +9,7 @@ the other orders' prefixes are intersected, then the sets are compared.
 
 Groups of copies do not turn into all pairs: each prefix token first pairs its classes with one leader, for some rounds.
 Tokens whose classes are in one component are done. Of the rest, classes outside a token's largest component are paired
-with its other classes. Pairs left out are joined already, so the components are those of all links.
+with its other classes, for one token of those that the same classes hold. Pairs left out are joined already, so the components are those of all links.
 """
 
 from __future__ import annotations
@@ -183,6 +183,13 @@ def shared_tokens(chosen: DataFrame) -> DataFrame:
     return both.select("token", "id", "n", F.struct("leader.id", "leader.n").alias("leader"))
 
 
+def one_of_equals(tokens: DataFrame) -> DataFrame:
+    """The rows (token, id, ...) of one token of those that the same classes hold, by two 64-bit hashes of their ids: the others' pairs are the same."""
+    held = [F.sum(F.xxhash64("id", F.lit(i)).cast("decimal(38,0)")).alias(f"h{i}") for i in range(2)]
+    of_token = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("rows"), *held)
+    return tokens.join(bounded(stored(of_token.groupBy("rows", "h0", "h1").agg(F.min("token").alias("token")).select("token"))), "token", "left_semi")
+
+
 def group(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row.
 
@@ -224,8 +231,7 @@ def group(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id"
             led = held.join(bounded(mixed), "token")
             apart = led.where("comp <> leader.comp").where(sized(percent, "n", "leader.n")).select("id", F.col("leader.id").alias("other"))
         else:
-            tokens = held.join(bounded(mixed), "token")
-            each = stored(tokens.join(facts.select("id", "sketch"), "id").select("token", "id", "n", "sketch", "comp", (F.col("comp") != F.col("largest")).alias("minor")))
+            each = stored(one_of_equals(held.join(bounded(mixed), "token")).join(facts.select("id", "sketch"), "id").select("token", "id", "n", "sketch", "comp", (F.col("comp") != F.col("largest")).alias("minor")))
             one = each.where("minor").select("token", *[F.col(c).alias(f"a_{c}") for c in ("id", "n", "sketch", "comp")])
             two = each.select(F.col("token").alias("token2"), *[F.col(c).alias(f"b_{c}") for c in ("id", "n", "sketch", "comp")], "minor")
             met = one.join(two, (F.col("token") == F.col("token2")) & (F.col("a_comp") != F.col("b_comp")) & (~F.col("minor") | (F.col("a_id") < F.col("b_id"))) & alike(percent))

@@ -242,3 +242,12 @@ def test_bpe_of_repeated_rows_and_null_ids(spark):
     docs = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b")], "doc_id long, text string").selectExpr("*", "0 AS n_tokens", "'x' AS ids")
     found = bpe.encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN).collect()
     assert sorted((r.doc_id or 0, r.n_tokens) for r in found) == [(0, 1), (1, 1), (1, 1)]
+
+
+def test_tokens_that_the_same_classes_hold_meet_once(spark):
+    held = {1: [10, 20, 30], 2: [10, 20, 30], 3: [10, 20], 4: [10, 20, 30, 30], 5: [20, 10, 30], -6: [10, 20]}
+    rows = spark.createDataFrame([(t, i) for t, ids in held.items() for i in ids], "token long, id long")
+    kept = {}
+    for r in ngramjoin.one_of_equals(rows).collect():
+        kept.setdefault(r.token, []).append(r.id)
+    assert {t: sorted(ids) for t, ids in kept.items()} == {1: [10, 20, 30], -6: [10, 20], 4: [10, 20, 30, 30]}
