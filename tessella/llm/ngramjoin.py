@@ -9,12 +9,13 @@ the other orders' prefixes are intersected, then the sets are compared.
 
 Groups of copies do not turn into all pairs: each prefix token first pairs its classes with one leader, for some rounds.
 Tokens whose classes are in one component are done. Of the rest, classes outside a token's largest component are paired
-with its other classes, for one token of those that the same classes hold. Pairs left out are joined already, so the components are those of all links.
+with its other classes, for one token of those that the same classes hold, and a pair under the first token that it has in common. Pairs left out are joined already, so the components are those of all links.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,44 +24,57 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import kernels as K
-from tessella.llm.frames import bounded, components, cut, stored
+from tessella.llm.frames import batches, bounded, components, cut, stored
 
 HEAVY_SHARE = 0.0001
 HEAVY_ROWS = 200_000
 HEAVY_BATCH = 1 << 22
 #: Turns after the first; in the last one all pairs of a token meet that are still apart.
 ROUNDS = 2
+#: Of so many tokens of a class in the last turn, the smallest that a pair has in common is the one that it meets under.
+FIRST = 64
 #: In turns between, tokens of MANY classes have so many leaders.
 LEADERS, MANY = 8, 64
 SKETCH = 8
 _ORDERS = (K.U64(0xD6E8FEB86659FD93), K.U64(0xA0761D6478BD642F))
 
 
+def repeated(tokens: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens that stand at least so often, sorted, and their counts. The array is sorted where it lies, so it takes no copies."""
+    tokens.sort()
+    early = tokens[: max(0, len(tokens) - least + 1)]
+    found = np.unique(early[early == tokens[least - 1 :]])
+    return found, np.searchsorted(tokens, found, "right") - np.searchsorted(tokens, found, "left")
+
+
 def heavy_tokens(docs: DataFrame, k: int, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     """Frequent shingles, sorted, and their ranks by count: those of HEAVY_SHARE of the texts, by counts of parts of the table that leave out rare ones.
 
     They only order tokens, so that neither the bound on them nor an undercount loses anything. At most HEAVY_ROWS reach the driver.
     """
 
-    def often(sets: list[np.ndarray], texts: int) -> pa.RecordBatch:
-        token, n = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
-        kept = n >= max(3, HEAVY_SHARE * texts)
-        return pa.RecordBatch.from_arrays([pa.array(np.append(token[kept].view(np.int64), 0)), pa.array(np.append(n[kept], 0)), pa.array(np.append(np.zeros(kept.sum(), np.int64), texts))], ["token", "n", "rows"])
+    def often(tokens: np.ndarray, texts: int) -> pa.RecordBatch:
+        token, n = repeated(tokens, max(3, math.ceil(HEAVY_SHARE * texts)))
+        return pa.RecordBatch.from_arrays([pa.array(np.append(token.view(np.int64), 0)), pa.array(np.append(n, 0)), pa.array(np.append(np.zeros(len(token), np.int64), texts))], ["token", "n", "rows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, held, texts = [], 0, 0
+        tokens, held, texts = np.empty(HEAVY_BATCH, np.uint64), 0, 0
         for batch in batches:
             for lo, hi in K.slices(batch.column(0)):
                 hashes, _ = K.windows(K.split(batch.column(0)[lo:hi], lower=True), k)
-                sets.append(hashes)
+                if held + len(hashes) > len(tokens):
+                    yield often(tokens[:held], texts)
+                    held, texts = 0, 0
+                if len(hashes) > len(tokens):
+                    yield often(hashes, hi - lo)
+                    continue
+                tokens[held : held + len(hashes)] = hashes
                 held, texts = held + len(hashes), texts + hi - lo
-                if held >= HEAVY_BATCH:
-                    yield often(sets, texts)
-                    sets, held, texts = [], 0, 0
-        yield often(sets, texts)
+        yield often(tokens[:held], texts)
 
     found = docs.select(text_col).mapInArrow(run, "token long, n long, rows long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))
-    found = cut(found)
+    with batches(docs.sparkSession):
+        found = cut(found)
     total = found.agg(F.sum("rows")).first()[0] or 0
     rows = found.where(F.col("n") >= max(12, HEAVY_SHARE * total)).orderBy(F.desc("n"), "token").limit(HEAVY_ROWS).select("token").collect()
     tokens = np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64)
@@ -190,6 +204,19 @@ def one_of_equals(tokens: DataFrame) -> DataFrame:
     return tokens.join(bounded(stored(of_token.groupBy("rows", "h0", "h1").agg(F.min("token").alias("token")).select("token"))), "token", "left_semi")
 
 
+def with_first(tokens: DataFrame) -> DataFrame:
+    """The rows (token, id, ...) with the FIRST smallest tokens of their id."""
+    return tokens.join(tokens.groupBy("id").agg(F.slice(F.sort_array(F.collect_set("token")), 1, FIRST).alias("first")), "id")
+
+
+def meets_here() -> Column:
+    """Whether token is the smallest of those that a pair surely has in common (a_first, b_first): so it comes out once.
+
+    Where the smallest common token is not among both lists, they have none in common, and the pair comes out under each of its tokens.
+    """
+    return F.coalesce(F.array_min(F.array_intersect("a_first", "b_first")), F.col("token")) == F.col("token")
+
+
 def group(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row.
 
@@ -200,7 +227,8 @@ def group(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id"
     """
     docs = docs.select(id_col, text_col)
     heavy = heavy_tokens(docs, k, text_col)
-    rows = stored(features(docs, heavy, k, percent, id_col, text_col))
+    with batches(docs.sparkSession):
+        rows = stored(features(docs, heavy, k, percent, id_col, text_col))
     own = rows.where("doc_id IS NOT NULL AND n > 0")
     classes = stored(own.groupBy("digest").agg(F.min("doc_id").alias("id")))
     chosen = own.withColumnRenamed("doc_id", "id").join(bounded(classes.select("id")), "id", "left_semi")
@@ -210,7 +238,10 @@ def group(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id"
 
     def verified(pairs: DataFrame) -> DataFrame:
         near = stored(pairs.join(side("a"), "a").join(side("b"), "b").where(alike(percent)).where(alike_wide(percent)).select("a", "b").distinct())
-        return near if near.isEmpty() else stored(compared(near, docs, heavy, k, percent, id_col, text_col).distinct())
+        if near.isEmpty():
+            return near
+        with batches(docs.sparkSession):
+            return stored(compared(near, docs, heavy, k, percent, id_col, text_col).distinct())
 
     tokens = stored(shared_tokens(chosen))
     links = verified(tokens.where("id <> leader.id").where(sized(percent, "n", "leader.n")).select("id", F.col("leader.id").alias("other")).select(*pair).distinct())
@@ -231,10 +262,10 @@ def group(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id"
             led = held.join(bounded(mixed), "token")
             apart = led.where("comp <> leader.comp").where(sized(percent, "n", "leader.n")).select("id", F.col("leader.id").alias("other"))
         else:
-            each = stored(one_of_equals(held.join(bounded(mixed), "token")).join(facts.select("id", "sketch"), "id").select("token", "id", "n", "sketch", "comp", (F.col("comp") != F.col("largest")).alias("minor")))
-            one = each.where("minor").select("token", *[F.col(c).alias(f"a_{c}") for c in ("id", "n", "sketch", "comp")])
-            two = each.select(F.col("token").alias("token2"), *[F.col(c).alias(f"b_{c}") for c in ("id", "n", "sketch", "comp")], "minor")
-            met = one.join(two, (F.col("token") == F.col("token2")) & (F.col("a_comp") != F.col("b_comp")) & (~F.col("minor") | (F.col("a_id") < F.col("b_id"))) & alike(percent))
+            each = stored(with_first(one_of_equals(held.join(bounded(mixed), "token"))).join(facts.select("id", "sketch"), "id").select("token", "id", "n", "sketch", "first", "comp", (F.col("comp") != F.col("largest")).alias("minor")))
+            one = each.where("minor").select("token", *[F.col(c).alias(f"a_{c}") for c in ("id", "n", "sketch", "first", "comp")])
+            two = each.select(F.col("token").alias("token2"), *[F.col(c).alias(f"b_{c}") for c in ("id", "n", "sketch", "first", "comp")], "minor")
+            met = one.join(two, (F.col("token") == F.col("token2")) & (F.col("a_comp") != F.col("b_comp")) & (~F.col("minor") | (F.col("a_id") < F.col("b_id"))) & alike(percent) & meets_here())
             apart = met.select(F.col("a_id").alias("id"), F.col("b_id").alias("other"))
         links = links.union(verified(apart.select(*pair).distinct()))
         named = components(links)
