@@ -269,6 +269,15 @@ def window_keys(column: pa.Array, salt: np.ndarray) -> tuple[np.ndarray, K.Words
     return K.mix(K.mix(out) ^ salt[words.row]), words
 
 
+def once(keys: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of a key and a row by key, then row; the rows given ascend."""
+    order = np.argsort(keys, kind="stable")
+    key, row = keys[order], row[order]
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+    return key[new], row[new]
+
+
 def told_runs(keys: np.ndarray, words: K.Words, known: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
     """shared_runs() of texts by their window keys, where the pages of whole hosts are known: sorted keys, and counts of at least 2."""
     spread = np.zeros(len(keys), dtype=np.int64)
@@ -284,6 +293,13 @@ def told_runs(keys: np.ndarray, words: K.Words, known: tuple[np.ndarray, np.ndar
     return np.split(covered, words.first[1:-1])
 
 
+def mostly(hit: np.ndarray, sizes: list[int]) -> list[bool]:
+    """Of each block of so many tokens, whether COVERED of them are hit."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    total, n = np.append(0, np.cumsum(hit)), np.diff(ends, prepend=0)
+    return ((n > 0) & (total[ends] - total[ends - n] >= COVERED * n)).tolist()
+
+
 def main_text(parsed: list[list[Block]], pages: int | None = None, runs: list[np.ndarray] | None = None) -> list[str]:
     """Main texts of pages of one host. Without its number of pages, and runs over all of them, the pages are the host's only ones."""
     runs = shared_runs([[t for b in page for t in b.text.split()] for page in parsed]) if runs is None else runs
@@ -292,16 +308,13 @@ def main_text(parsed: list[list[Block]], pages: int | None = None, runs: list[np
     for page, spread in zip(parsed, runs, strict=True):
         article = any(b.main and not b.aside for b in page)
         sizes = [len(b.text.split()) for b in page]
-        common = [n > 0 and (s >= most).mean() >= COVERED for n, s in zip(sizes, np.split(spread, np.cumsum(sizes)), strict=False)]
+        common, shared = (mostly(spread >= least, sizes) for least in (most, 2))
         main = [n if b.main and not b.aside else 0 for n, b in zip(sizes, page, strict=True)]
         copied = article and sum(n for n, c in zip(main, common, strict=True) if c) >= COPIED * sum(main)
-        at, kept, rare = 0, [], []
-        for block, n, often in zip(page, sizes, common, strict=True):
-            own = spread[at : at + n]
-            at += n
+        kept, rare = [], []
+        for block, often, covered in zip(page, common, shared, strict=True):
             if block.aside or (article and not block.main):
                 continue
-            covered = n > 0 and (own > 1).mean() >= COVERED
             if covered and (block.hinted or not article):
                 continue
             kept.append(block.text)
@@ -342,9 +355,9 @@ def windows_apart(parsed: DataFrame) -> DataFrame:
                         found.append(keys[max(words.first[r], at - WIDTH + 1) : at + n])
                     at += n
             _, host = np.unique(np.asarray(own.column("salt")), return_inverse=True)
-            once = np.unique(np.stack((keys, words.row.astype(np.uint64))), axis=1) if len(keys) else np.zeros((2, 0), np.uint64)
-            key, first, n = np.unique(once[0], return_index=True, return_counts=True)
-            found.append(key[2 * n > np.bincount(host)[host[once[1][first].astype(np.int64)]]])
+            each, row = once(keys, words.row)
+            key, first, n = np.unique(each, return_index=True, return_counts=True)
+            found.append(key[2 * n > np.bincount(host)[host[row[first]]]])
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)).view(np.int64))], ["key"])
 
     wanted = stored(parsed.select("salt", "texts", "marks").mapInArrow(deciding, "key long").distinct())
@@ -354,11 +367,10 @@ def windows_apart(parsed: DataFrame) -> DataFrame:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, keys, words in sliced(batches):
             held = np.isin(keys, shared.value) if shared.value is not None else np.ones(len(keys), dtype=bool)
-            once = np.unique(np.stack((keys[held], words.row[held].astype(np.uint64))), axis=1)
-            row = once[1].astype(np.int64)
+            each, row = once(keys[held], words.row[held])
             shard = np.asarray(own.column("shard")).astype(np.int64)[row]
-            order = np.lexsort((shard, once[0]))
-            key, shard, row = once[0][order], shard[order], row[order]
+            order = np.lexsort((shard, each))
+            key, shard, row = each[order], shard[order], row[order]
             start = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (shard[1:] != shard[:-1])))) if len(key) else np.zeros(0, np.int64)
             columns = [own.column("host").take(pa.array(row[start])), pa.array(shard[start].astype(np.int32)), pa.array(key[start].view(np.int64)), pa.array(np.diff(np.append(start, len(key))))]
             yield pa.RecordBatch.from_arrays(columns, ["host", "shard", "key", "n"])
