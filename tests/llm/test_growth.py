@@ -61,3 +61,50 @@ def test_sketches_pass_linked_lines_and_stop_most_others(spark):
     rows = told.collect()
     assert sum(r.linked for r in rows) >= 100 and all(r.alike for r in rows if r.linked)
     assert sum(r.alike for r in rows if not r.linked and 9 <= r.a_n <= 120) < 12
+
+
+def test_line_dedup_common_pairs_bring_no_rows(spark):
+    """Lines that have fewer than SHARED large blocks meet in none, and a line leaves its largest."""
+    dice = random.Random(8)
+    line = lambda i: " ".join([f"w{i}x{dice.randrange(1 << 30)}" for _ in range(8)] + ["common head and tail"] + [f"v{i}x{dice.randrange(1 << 30)}" for _ in range(8)])
+    docs = spark.createDataFrame([(i, line(i)) for i in range(300)], "doc_id long, text string")
+    once = docs.select(F.xxhash64("text").alias("h"), "text")
+    again = spark.createDataFrame([], "h long, first struct<doc_id:long,line:int>")
+    held = linededup.blocks(docs, again, 80)
+    assert linededup.large(held, linededup.sketches(once), 80).count() == 0
+    keys = linededup.keyed(spark.createDataFrame([(1, "a b a b a b a b a b")], "h long, text string"), 80).first()["keys"]
+    assert len(keys) == len(set(keys)) == 8
+
+
+def test_line_dedup_of_few_words_equals_all_pairs(spark):
+    """Lines of few different words, so that all blocks are large and pairs of words repeat in a line."""
+    dice = random.Random(9)
+    words = ["lantern", "harbour", "meadow", "copper", "violet"]
+    rows = []
+    for _ in range(60):
+        x = [dice.choice(words) for _ in range(dice.randrange(4, 24))]
+        rows.append(x)
+        for _ in range(2):
+            y = list(x)
+            for _ in range(dice.randrange(1, 2 + len(x) // 4)):
+                i = dice.randrange(len(y))
+                y[i : i + 1] = dice.choice(([dice.choice(words)], [], [y[i], dice.choice(words)]))
+                y = y or [words[0]]
+            rows.append(y)
+
+    def edits(a: list, b: list) -> int:
+        d = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, d[0] = d[0], i
+            for j, y in enumerate(b, 1):
+                last, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, last + (x != y))
+        return d[-1]
+
+    root = list(range(len(rows)))
+    for i, a in enumerate(rows):
+        for j in range(i):
+            if edits(a, rows[j]) <= 20 * max(len(a), len(rows[j])) // 100 and root[i] != root[j]:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(rows)], "doc_id long, text string")
+    assert {r.doc_id for r in linededup.repeats(docs).collect()} == {i for i, r in enumerate(root) if r != i}
