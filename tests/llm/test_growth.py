@@ -108,3 +108,12 @@ def test_line_dedup_of_few_words_equals_all_pairs(spark):
                 root = [new if r == old else r for r in root]
     docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(rows)], "doc_id long, text string")
     assert {r.doc_id for r in linededup.repeats(docs).collect()} == {i for i, r in enumerate(root) if r != i}
+
+
+def test_line_dedup_pairs_meet_under_one_block(spark):
+    held = {i: range(i % 2, 30 + i) for i in range(6)} | {6: range(900, 903)}
+    rows = spark.createDataFrame([(k, i) for i, own in held.items() for k in own], "key long, id long")
+    each = linededup.with_first(rows)
+    side = lambda s: each.select(F.col("key").alias(f"{s}_key"), F.col("id").alias(s), F.col("first").alias(f"{s}_first"))
+    met = side("a").join(side("b"), F.expr("a_key = b_key AND a < b")).withColumn("key", F.col("a_key")).where(linededup.meets_here())
+    assert sorted(tuple(r) for r in met.select("a", "b").collect()) == [(a, b) for a in range(6) for b in range(a + 1, 6)]
